@@ -49,3 +49,8 @@ def add_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     broadcast size is bounded by its column count.
     """
     return df.crossJoin(F.broadcast(scalars))
+
+
+def idiv(a, b) -> Column:
+    """Exact integer division (truncating; operands are non-negative here)."""
+    return F.call_function("div", _c(a), _c(b))

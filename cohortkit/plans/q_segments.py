@@ -118,7 +118,7 @@ SELECT segment AS label, count(*) AS count, count(*) * 100.0 / any_value(n) AS p
   sum(Monetary) AS total_revenue,
   CASE WHEN any_value(rev) > 0 THEN sum(Monetary) * 100.0 / any_value(rev) ELSE 0.0 END AS pct_revenue
 FROM seg, tot GROUP BY segment"""
-H1_R = {"pct_customers": RATIO, "avg_recency": RATIO, "avg_frequency": RATIO, "avg_monetary": MONEY,
+H1_R = {"pct_customers": RATIO, "avg_recency": RATIO, "avg_frequency": RATIO, "avg_monetary": RATIO,
         "total_revenue": MONEY, "pct_revenue": RATIO}
 
 
@@ -131,7 +131,7 @@ def h1(spark, sf):
 SELECT segment AS label, count(*) AS count, count(*) * 100.0 / any_value(n) AS pct_customers,
   avg(monetary) AS avg_monetary, sum(monetary) AS total_revenue,
   CASE WHEN any_value(rev) > 0 THEN sum(monetary) * 100.0 / any_value(rev) ELSE 0.0 END AS pct_revenue
-FROM abc, tot GROUP BY segment""", {"pct_customers": RATIO, "avg_monetary": MONEY, "total_revenue": MONEY,
+FROM abc, tot GROUP BY segment""", {"pct_customers": RATIO, "avg_monetary": RATIO, "total_revenue": MONEY,
                                     "pct_revenue": RATIO})
 def h2(spark, sf):
     return H.abc_summary(abc_method(orders_clean(spark, sf)))
@@ -191,7 +191,7 @@ _RFM3 = {"recency": "Recency", "frequency": "Frequency", "monetary": "Monetary"}
 
 
 @register("h9_cluster_stats", f"{SEG_SQL} {_stats_sql('seg', _RFM3)}",
-          {f"{m}_{s}": (MONEY if m == "monetary" and s != "std" else 4) for m in _RFM3 for s in
+          {f"{m}_{s}": (MONEY if m == "monetary" and s in ("min", "max") else RATIO) for m in _RFM3 for s in
            ("mean", "std", "min", "max")})
 def h9(spark, sf):
     return H.cluster_stats(segmented(spark, sf), _RFM3)
@@ -229,7 +229,7 @@ def h13(spark, sf):
 
 
 @register("h14_bubble", f"WITH {H1_CTE} SELECT label, avg_recency, avg_monetary, count, avg_frequency FROM h",
-          {"avg_recency": RATIO, "avg_monetary": MONEY, "avg_frequency": RATIO})
+          {"avg_recency": RATIO, "avg_monetary": RATIO, "avg_frequency": RATIO})
 def h14(spark, sf):
     return H.bubble(H.segment_summary(segmented(spark, sf)))
 
@@ -238,7 +238,7 @@ def h14(spark, sf):
 SELECT segment, avg(Recency) AS Recency, avg(Frequency) AS Frequency, avg(Monetary) AS Monetary,
   sum(Monetary) AS Monetary_sum, sum(Frequency) AS Frequency_sum, count(*) AS count,
   count(*) * 100.0 / any_value(n) AS pct FROM seg, n GROUP BY segment""",
-          {"Recency": RATIO, "Frequency": RATIO, "Monetary": MONEY, "Monetary_sum": MONEY, "pct": RATIO,
+          {"Recency": RATIO, "Frequency": RATIO, "Monetary": RATIO, "Monetary_sum": MONEY, "pct": RATIO,
            "Frequency_sum": 0})
 def h15(spark, sf):
     return H.cluster_profile(segmented(spark, sf), "segment", ["Recency", "Frequency", "Monetary"],
@@ -276,7 +276,7 @@ prof AS (SELECT segment, avg(Recency) AS L, avg(Recency) AS R, avg(Monetary) AS
 med AS (SELECT quantile_cont(Recency, 0.5) AS ml, quantile_cont(Recency, 0.5) AS mr, quantile_cont(Monetary, 0.5) AS mm FROM seg)
 SELECT segment, L, R, M, CASE WHEN L < ml THEN CASE WHEN R < mr THEN 'CLIENTES NUEVOS ACTIVOS' ELSE 'CLIENTES NUEVOS INACTIVOS' END
   ELSE CASE WHEN R < mr THEN CASE WHEN M > mm THEN 'CLIENTES VIP/LEALES' ELSE 'CLIENTES LEALES' END
-  ELSE 'CLIENTES EN RIESGO' END END AS cluster_type FROM prof, med""", {"L": RATIO, "R": RATIO, "M": MONEY})
+  ELSE 'CLIENTES EN RIESGO' END END AS cluster_type FROM prof, med""", {"L": RATIO, "R": RATIO, "M": RATIO})
 def s11(spark, sf):
     seg = segmented(spark, sf)
     prof = seg.groupBy("segment").agg(F.avg("Recency").alias("L"), F.avg("Recency").alias("R"),

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None, rounds: dict | None = None):
 
 
 def _round_df(df: DataFrame, rounds: dict) -> DataFrame:
-    cols = {c: F.round(F.col(c).cast("double") * (10.0 ** d)) / (10.0 ** d)
+    cols = {c: F.round(F.col(c).cast("double") * (10.0 ** d)) / (10.0 ** d) + F.lit(0.0)
             for c, d in rounds.items() if c in df.columns}
     return df.withColumns(cols) if cols else df
 
@@ -33,7 +33,7 @@ def _round_df(df: DataFrame, rounds: dict) -> DataFrame:
 def _round_sql(sql: str, rounds: dict) -> str:
     if not rounds:
         return sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE) * {10.0 ** d!r}) / {10.0 ** d!r} AS {c}"
+    rep = ", ".join(f"round(CAST({c} AS DOUBLE) * {10.0 ** d!r}) / {10.0 ** d!r} + 0.0 AS {c}"
                     for c, d in rounds.items())
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
 
