@@ -1,20 +1,17 @@
 """K-Means over a k range with Spark ML.
 
-The feature table is assembled and cached once.  For every k the restarts
-(different seeds, k-means|| init) run as concurrent Spark jobs from a small
-driver thread pool and the lowest-cost model is kept; the chosen k reuses
-its model instead of refitting.  All labelings are then scored together:
+The feature table is cached once, with partitions sized to its rows.  All
+restarts of all k advance together: each Lloyd iteration is one pass over
+the data that updates every model, and the lowest-cost restart per k is
+kept; the chosen k reuses it instead of refitting.  All labelings are then scored together:
 WCSS / Davies-Bouldin / Calinski-Harabasz from grouped aggregates, the
 Euclidean silhouette from one n^2 block-pair pass for all k at once.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -43,16 +40,151 @@ def sized(data: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
     return out
 
 
-def fit_best(data: DataFrame, k: int, n_init: int = 10, seed: int = SEED, max_iter: int = 300,
-             tol: float = 1e-4, threads: int = 10):
-    """F8: ``n_init`` restarts, keep the lowest WCSS (training cost)."""
-    def one(s):
-        m = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, initMode="k-means||",
-                   featuresCol="features", predictionCol="prediction").fit(data)
-        return m.summary.trainingCost, s, m
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        fits = list(ex.map(one, [seed + i for i in range(n_init)]))
-    return min(fits, key=lambda t: (t[0], t[1]))
+def _kmeanspp(cand: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Weighted k-means++ seeding on the candidate set (driver, bounded size)."""
+    p = w / w.sum()
+    centres = [cand[rng.choice(len(cand), p=p)]]
+    d2 = ((cand - centres[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        prob = w * d2
+        tot = prob.sum()
+        idx = rng.choice(len(cand), p=prob / tot) if tot > 0 else rng.choice(len(cand), p=p)
+        centres.append(cand[idx])
+        d2 = np.minimum(d2, ((cand - cand[idx]) ** 2).sum(1))
+    return np.array(centres)
+
+
+def _stats_schema(d: int) -> str:
+    return "m int, c int, n long, cost double, " + ", ".join(f"s{j} double" for j in range(d))
+
+
+def _pass(data: DataFrame, feats: list[str], centres: list[np.ndarray]):
+    """One distributed pass: per model and cluster, member count, coordinate
+    sums and squared-distance cost (partial per partition, then summed)."""
+    d = len(feats)
+
+    def step(it):
+        for pdf in it:
+            x = pdf[feats].to_numpy(dtype=float)
+            if len(x) == 0:
+                continue
+            rows = []
+            for m, c in enumerate(centres):
+                d2 = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * x @ c.T
+                lab = d2.argmin(1)
+                best = np.maximum(d2[np.arange(len(x)), lab], 0.0)
+                k = len(c)
+                cnt = np.bincount(lab, minlength=k)
+                cost = np.bincount(lab, weights=best, minlength=k)
+                sums = np.zeros((k, d))
+                np.add.at(sums, lab, x)
+                for j in range(k):
+                    if cnt[j]:
+                        rows.append((m, j, int(cnt[j]), float(cost[j]), *sums[j]))
+            yield pd.DataFrame(rows, columns=["m", "c", "n", "cost"] + [f"s{j}" for j in range(d)])
+    agg = data.select(*feats).mapInPandas(step, _stats_schema(d)).groupBy("m", "c").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
+    return agg.collect()  # one row per (model, cluster): sum of k over models
+
+
+def kmeans_batch(data: DataFrame, feats: list[str], ks: list[int], n_init: int = 10, seed: int = SEED,
+                 max_iter: int = 300, tol: float = 1e-4, n_candidates: int | None = None) -> list[dict]:
+    """F8 for many (k, seed) restarts at once: Lloyd iterations where every
+    pass over the data updates all models (one job per iteration for the
+    whole k range instead of one per model).
+
+    Seeding follows k-means||: a bounded candidate set (chosen by a seeded
+    hash, weighted by the points nearest to each candidate in one pass) is
+    seeded with k-means++ per restart.  Convergence as the common rule:
+    total squared centre shift <= tol * mean feature variance.
+    Returns one dict per restart: k, seed, centres, inertia, iterations.
+    """
+    var = data.agg(*[F.var_pop(c).alias(c) for c in feats]).first()
+    tol_abs = tol * float(np.mean([var[c] or 0.0 for c in feats]))
+    n_cand = n_candidates or max(50 * max(ks), 2000)
+    cand = np.array(data.orderBy(F.xxhash64(F.lit(seed), F.col("customer_id").cast("string")), "customer_id")
+                    .limit(n_cand).select(*feats).collect(), dtype=float)
+    wrows = _pass(data, feats, [cand])
+    w = np.zeros(len(cand))
+    for r in wrows:
+        w[r["c"]] = r["n"]
+    w = np.maximum(w, 1e-12)
+    models = []
+    for k in ks:
+        for i in range(n_init):
+            kk = min(k, len(cand))
+            models.append({"k": k, "seed": seed + i,
+                           "centres": _kmeanspp(cand, w, kk, np.random.default_rng(seed + i)),
+                           "done": False, "iterations": 0, "inertia": None})
+    for _ in range(max_iter):
+        active = [m for m in models if not m["done"]]
+        if not active:
+            break
+        rows = _pass(data, feats, [m["centres"] for m in active])
+        mi = np.array([r["m"] for r in rows], dtype=int)
+        ci = np.array([r["c"] for r in rows], dtype=int)
+        ni = np.array([r["n"] for r in rows], dtype=float)
+        si = np.array([[r[f"s{j}"] for j in range(len(feats))] for r in rows], dtype=float)
+        for idx, m in enumerate(active):
+            new = m["centres"].copy()
+            sel = (mi == idx) & (ni > 0)
+            new[ci[sel]] = si[sel] / ni[sel][:, None]
+            shift = float(((new - m["centres"]) ** 2).sum())
+            m["centres"] = new
+            m["iterations"] += 1
+            if shift <= tol_abs:
+                m["done"] = True
+    rows = _pass(data, feats, [m["centres"] for m in models])
+    for idx, m in enumerate(models):
+        m["inertia"] = float(sum(r["cost"] for r in rows if r["m"] == idx))
+    return models
+
+
+def best_per_k(models: list[dict]) -> dict:
+    out = {}
+    for m in models:
+        cur = out.get(m["k"])
+        if cur is None or (m["inertia"], m["seed"]) < (cur["inertia"], cur["seed"]):
+            out[m["k"]] = m
+    return out
+
+
+def nearest(feats: list[str], centres: np.ndarray):
+    """Index of the nearest centre as a JVM expression (centres are literals)."""
+    dists = [sum(((F.col(f) - F.lit(float(c[j]))) ** 2 for j, f in enumerate(feats)), F.lit(0.0))
+             for c in centres]
+    arr = F.array(*dists)
+    return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
+
+
+def assign(df: DataFrame, feats: list[str], centres: np.ndarray, out: str) -> DataFrame:
+    return df.withColumn(out, nearest(feats, centres))
+
+
+def label_all(data: DataFrame, feats: list[str], best: dict, id_col: str = "customer_id") -> DataFrame:
+    """``label_k{k}`` for every k in one pass; clusters renumbered by
+    descending size, then smallest member id (stable names).  The size
+    table has sum(k) rows, so the renumbering is applied as literal maps."""
+    raw = data.select(id_col, *feats, *[nearest(feats, m["centres"]).alias(f"_raw{k}")
+                                        for k, m in best.items()]).checkpoint()
+    parts = [raw.groupBy(F.lit(k).alias("k"), F.col(f"_raw{k}").alias("raw")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")) for k in best]
+    sizes = parts[0]
+    for p in parts[1:]:
+        sizes = sizes.unionByName(p)
+    rows = sizes.collect()
+    maps = {}
+    for k in best:
+        ordered = sorted((r for r in rows if r["k"] == k), key=lambda r: (-r["n"], r["first"]))
+        maps[k] = F.create_map(*[F.lit(x) for i, r in enumerate(ordered) for x in (int(r["raw"]), i)])
+    return raw.select(id_col, *feats, *[maps[k][F.col(f"_raw{k}")].cast("int").alias(f"label_k{k}") for k in best])
+
+
+def fit_best(data: DataFrame, k: int, n_init: int = 10, seed: int = SEED, feats: list[str] | None = None):
+    """F8 for one k: best of ``n_init`` restarts.  Returns (inertia, seed, centres)."""
+    feats = feats or [c for c in data.columns if c != "customer_id"]
+    b = best_per_k(kmeans_batch(data, feats, [k], n_init, seed))[k]
+    return b["inertia"], b["seed"], b["centres"]
 
 
 def relabel(pred: DataFrame, pred_col: str, out: str) -> DataFrame:
@@ -107,29 +239,23 @@ def silhouette(points: DataFrame, feats: list[str], label_cols: dict, id_col: st
 
 
 def evaluate_k_range(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_max: int = 10,
-                     n_init: int = 10, seed: int = SEED, threads: int = 10):
-    """F13 (+F14): fit every k and score it.
+                     n_init: int = 10, seed: int = SEED):
+    """F13 (+F14): fit every k (all restarts batched) and score it.
 
     Returns (scores DataFrame with k, wcss, silhouette, davies_bouldin,
     calinski_harabasz, combined; labelled DataFrame with ``label_k{k}``;
-    {k: model}).
+    {k: best restart}).
     """
-    data = sized(assemble(feats_df.select("customer_id", *feats), feats))
-    models = {}
-    with ThreadPoolExecutor(max_workers=3) as ex:
-        res = list(ex.map(lambda k: (k, fit_best(data, k, n_init, seed, threads=threads)),
-                          range(k_min, k_max + 1)))
-    labelled = data
-    for k, (cost, _s, m) in res:
-        models[k] = m
-        labelled = relabel(m.transform(labelled), "prediction", f"label_k{k}")
-    labelled = labelled.checkpoint()
-    label_cols = {k: f"label_k{k}" for k in models}
+    data = sized(feats_df.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats]))
+    best = best_per_k(kmeans_batch(data, feats, list(range(k_min, k_max + 1)), n_init, seed))
+    labelled = label_all(data, feats, dict(sorted(best.items()))).checkpoint()
+    label_cols = {k: f"label_k{k}" for k in best}
     metrics = label_metrics(labelled, feats, label_cols)
     sil = silhouette(labelled, feats, label_cols)
     scores = combined_score(metrics.join(sil, "k"))
     data.unpersist()
-    return scores.select("k", "wcss", "silhouette", "davies_bouldin", "calinski_harabasz", "combined"), labelled, models
+    return (scores.select("k", "wcss", "silhouette", "davies_bouldin", "calinski_harabasz", "combined"),
+            labelled, best)
 
 
 def cluster_segments(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_max: int = 10,

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from cohortkit.functions.core import add_scalars
 from cohortkit.operators.ordering import grouped_exact_quantiles, top_n_per_group
 
-_ALL = Window.partitionBy()  # over a per-segment table only (bounded)
+
+
+def _all():
+    return Window.partitionBy()  # over a per-segment table only (bounded)
 
 
 def _round(c, digits):
@@ -159,7 +162,7 @@ def profile_minmax(summary: DataFrame, cols: list[str]) -> DataFrame:
     """Segment means min-max scaled over segments (constant -> 0.5)."""
     out = summary
     for c in cols:
-        lo, hi = F.min(c).over(_ALL), F.max(c).over(_ALL)
+        lo, hi = F.min(c).over(_all()), F.max(c).over(_all())
         out = out.withColumn(f"{c}_norm", F.when(hi == lo, F.lit(0.5)).otherwise((F.col(c) - lo) / (hi - lo)))
     return out
 
@@ -168,7 +171,7 @@ def profile_pct_of_max(summary: DataFrame, cols: list[str]) -> DataFrame:
     """Segment means as % of the largest segment mean."""
     out = summary
     for c in cols:
-        mx = F.max(c).over(_ALL)
+        mx = F.max(c).over(_all())
         out = out.withColumn(f"{c}_pct", F.when(mx == 0, F.lit(0.0)).otherwise(F.col(c) * 100.0 / mx))
     return out
 
@@ -209,7 +212,7 @@ def run_kpis(df: DataFrame, seg: str = "segment", r: str = "Recency", m: str = "
 
 def normalised_wcss(scores: DataFrame) -> DataFrame:
     """WCSS min-max over the evaluated k (constant -> 1)."""
-    lo, hi = F.min("wcss").over(_ALL), F.max("wcss").over(_ALL)
+    lo, hi = F.min("wcss").over(_all()), F.max("wcss").over(_all())
     return scores.select("k", "wcss", F.when(hi == lo, F.lit(1.0))
                          .otherwise((F.col("wcss") - lo) / (hi - lo)).alias("wcss_norm"))
 

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from cohortkit.functions.core import US_PER_DAY, add_scalars, idiv, micros_between, whole_days
 from cohortkit.operators.ordering import top_n_per_group
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 # Churn-risk levels and the segment names of the monthly report.
 RISK_HIGH = "ALTO (Abandono Inminente)"
@@ -32,11 +35,11 @@ SEGMENT_OTHER = "Otros"
 
 
 def _us(ts) -> Column:
-    return micros_between(EPOCH, F.col(ts) if isinstance(ts, str) else ts)
+    return micros_between(_epoch(), F.col(ts) if isinstance(ts, str) else ts)
 
 
 def _ts(us: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", us, EPOCH)
+    return F.timestamp_add("MICROSECOND", us, _epoch())
 
 
 def equal_intervals(orders: DataFrame, n: int) -> DataFrame:

@@ -11,7 +11,7 @@ from cohortkit.operators import marts as H
 from cohortkit.operators import orders as A
 from cohortkit.operators import pairs as PR
 from cohortkit.operators import scaling as SC
-from cohortkit.operators.kmeans import assemble, evaluate_k_range, fit_best, pca2, silhouette, sized
+from cohortkit.operators.kmeans import assign, evaluate_k_range, fit_best, pca2, silhouette, sized
 from cohortkit.operators.dbscan import dbscan
 from cohortkit.plans import flows
 from cohortkit.plans.q_base import LRFM_SQL, MONEY, RATIO, RFM_SQL, orders_clean, rfm_base
@@ -200,9 +200,9 @@ def f19(spark, sf):
 
 @register("f8_kmeans")
 def f8(spark, sf):
-    data = sized(assemble(scaled(spark, sf), RFM3))
-    cost, seed, model = fit_best(data, 4, n_init=10)
-    return model.transform(data).select("customer_id", F.col("prediction").alias("cluster"))
+    data = sized(scaled(spark, sf).select("customer_id", *RFM3))
+    _cost, _seed, centres = fit_best(data, 4, n_init=10, feats=RFM3)
+    return assign(data, RFM3, centres, "cluster").select("customer_id", "cluster")
 
 
 @register("f13_evaluate_k_range")
