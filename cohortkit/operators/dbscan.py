@@ -33,9 +33,9 @@ def _offsets(d: int) -> list[tuple]:
     return [o for o in offs if next(v for v in o if v != 0) > 0]
 
 
-def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int = 5,
-           id_col: str = "customer_id", max_rounds: int = 100) -> DataFrame:
-    """Returns ``id_col``, ``segment`` ("Cluster i" or "Noise"), ``is_core``."""
+def _grid(df: DataFrame, feats: list[str], eps: float, id_col: str):
+    """Weighted unique points, their cells, cross-cell pairs within eps and
+    the weighted neighbour count ``_n`` of every unique point (incl. itself)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     d = len(feats)
@@ -62,8 +62,26 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
              .unionByName(pairs.select(F.col("b__pid").alias("_pid"), F.col("a__w").alias("_x")))
              .groupBy("_pid").agg(F.sum("_x").alias("_x")))
     counted = (uniq.join(cell_w, gcols).join(extra, "_pid", "left")
-               .withColumn("_n", F.col("_cw") + F.coalesce(F.col("_x"), F.lit(0)))
-               .withColumn("_core", F.col("_n") >= min_samples).checkpoint())
+               .withColumn("_n", F.col("_cw") + F.coalesce(F.col("_x"), F.lit(0))))
+    return pts, pairs, counted, gcols
+
+
+def eps_neighbour_counts(df: DataFrame, feats: list[str], eps: float = 0.5,
+                         id_col: str = "customer_id") -> DataFrame:
+    """J7 as DBSCAN uses it: per customer, the number of customers within
+    ``eps`` (itself included), from the grid join without pairing same-cell points."""
+    pts, _pairs, counted, _g = _grid(df, feats, eps, id_col)
+    return pts.join(counted.select(*feats, "_n"), feats).select(
+        F.col("_id").alias(id_col), F.col("_n").cast("bigint").alias("n_eps"))
+
+
+def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int = 5,
+           id_col: str = "customer_id", max_rounds: int = 100) -> DataFrame:
+    """Returns ``id_col``, ``segment`` ("Cluster i" or "Noise"), ``is_core``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    d = len(feats)
+    pts, pairs, counted, gcols = _grid(df, feats, eps, id_col)
+    counted = counted.withColumn("_core", F.col("_n") >= min_samples).checkpoint()
     core = counted.where("_core")
     # cell graph over cells holding core points; seed label = smallest core id in the cell
     ckey = F.concat_ws(",", *[F.col(g).cast("string") for g in gcols])

@@ -550,3 +550,41 @@ def j5(spark, sf):
 
 
 del os
+
+
+# ------------------------------------------------------- sinks round trips (K)
+
+@register("k1_read_csv")
+def k1(spark, sf):
+    """K6 then K1: orders written as CSV in the shared folder, read back (types inferred)."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    io.write_csv(td.std_orders(spark, sf), path)
+    return io.read_csv(spark, path)
+
+
+@register("k5_preview")
+def k5(spark, sf):
+    return io.preview(td.raw_dirty_orders(spark, sf).orderBy("ord"), 10)
+
+
+@register("k10_write_run_parquet",
+          RFM_SQL + """ SELECT *, 'run-parquet' AS run_id, TIMESTAMP '2024-05-03 08:00:00' AS run_timestamp,
+          'rfm_quintiles' AS method, '{"n_quantiles": 5}' AS params FROM rfm""",
+          {"Monetary": MONEY})
+def k10(spark, sf):
+    from datetime import datetime
+    import uuid
+    prefix = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    meta = io.run_meta("rfm_quintiles", {"n_quantiles": 5}, "run-parquet", datetime(2024, 5, 3, 8))
+    path = io.write_run_parquet(rfm_base(spark, sf), prefix, meta)
+    return spark.read.parquet(path)
+
+
+@register("m3_auto_map")
+def m3(spark, sf):
+    o = td.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_number"),
+        F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("total_price"),
+        F.col("o_orderpriority").alias("priority"))
+    return M.auto_map(o, threshold=0.5, sample=None)

@@ -15,7 +15,7 @@ from cohortkit.operators.kmeans import assign, evaluate_k_range, fit_best, pca2,
 from cohortkit.operators.dbscan import dbscan
 from cohortkit.plans import flows
 from cohortkit.plans.q_base import LRFM_SQL, MONEY, RATIO, RFM_SQL, orders_clean, rfm_base
-from cohortkit.plans.q_series import returns_orders
+from cohortkit.plans.q_series import LONG_SQL, returns_orders
 from cohortkit.plans.registry import register
 from cohortkit.sources import testdata as td
 
@@ -333,3 +333,82 @@ SELECT 10 AS k, count(DISTINCT label) AS clusters FROM x""")
 def f9b(spark, sf):
     e = td.table(spark, sf, "embeddings")
     return e.agg(F.lit(10).alias("k"), F.count_distinct("label").alias("clusters"))
+
+
+# -------------------------------------------------- monthly multivariate line
+
+def monthly_series(spark, sf):
+    """T12-T15 + F2: normalised monthly L, R', F, M per customer as arrays."""
+    from cohortkit.operators import series as T
+    from cohortkit.plans.q_series import normed
+    n = normed(spark, sf).fillna(0.0, ["R_prime"])
+    return T.pack_series(n, "month", ["L", "R_prime", "F", "M"]), n
+
+
+@register("t18_dtw_distances")
+def t18(spark, sf):
+    packed, _ = monthly_series(spark, sf)
+    n = packed.count()
+    return PR.pair_distances(packed.withColumnRenamed("customer_id", "id"), "id", PR.dtw_kernel("series"),
+                             PR.n_blocks_for(n, 200), ["series"])
+
+
+@register("f22_spectral_clusters")
+def f22(spark, sf):
+    e = emb(spark, sf)
+    pairs = emb_pairs(spark, sf).checkpoint()
+    peaks = D.density_peaks(pairs, e.select("id"), 4)
+    centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
+    u = D.spectral_embedding(D.fuzzy_membership(pairs, e.select("id"), centers), 4)
+    feats = [f"u{i}" for i in range(4)]
+    flat = sized(u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)]))
+    _c, _s, centres = fit_best(flat, 4, n_init=10, feats=feats)
+    return assign(flat, feats, centres, "cluster").select(F.col("customer_id").alias("id"), "cluster")
+
+
+@register("t23_mts_segments")
+def t23(spark, sf):
+    """T12-T15 -> F2 -> T18 (all customers) -> F20 -> F21 -> F22 -> S10 -> T21."""
+    from cohortkit.operators import series as T
+    from cohortkit.operators.scores import rename_segments
+    packed, normed_series = monthly_series(spark, sf)
+    n = packed.count()
+    ids = packed.select(F.col("customer_id").alias("id"))
+    pairs = PR.pair_distances(packed.withColumnRenamed("customer_id", "id"), "id", PR.dtw_kernel("series"),
+                              PR.n_blocks_for(n, 200), ["series"]).checkpoint()
+    peaks = D.density_peaks(pairs, ids, 4)
+    centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
+    u = D.spectral_embedding(D.fuzzy_membership(pairs, ids, centers), 4)
+    feats = [f"u{i}" for i in range(4)]
+    flat = sized(u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)]))
+    _c, _s, centres = fit_best(flat, 4, n_init=10, feats=feats)
+    labels = assign(flat, feats, centres, "cluster").select("customer_id", "cluster")
+    report = T.churn_risk(normed_series, labels)
+    return rename_segments(report, {}, "Nombre_Segmento")
+
+
+@register("j7_eps_neighbours", f"""{SCALED_SQL} SELECT a.customer_id, count(*) AS n_eps FROM sc a JOIN sc b
+  ON pow(a.Recency - b.Recency, 2) + pow(a.Frequency - b.Frequency, 2) + pow(a.Monetary - b.Monetary, 2) <= 0.25
+  GROUP BY a.customer_id""")
+def j7(spark, sf):
+    from cohortkit.operators.dbscan import eps_neighbour_counts
+    return eps_neighbour_counts(scaled(spark, sf), RFM3, 0.5)
+
+
+@register("h3b_lrfms_summary_given_labels", LONG_SQL + """, m AS (SELECT customer_id, avg(L) AS avg_l, avg(R) AS avg_r,
+  avg(F) AS avg_f, avg(M) AS avg_m, avg(S) AS avg_s FROM lg GROUP BY 1),
+s AS (SELECT *, 'Cluster ' || CAST(CAST(customer_id AS BIGINT) % 3 AS VARCHAR) AS segment FROM m),
+t AS (SELECT count(*) AS n, sum(avg_m) AS rev FROM s)
+SELECT segment AS label, count(*) AS count, count(*) * 100.0 / any_value(n) AS pct_customers, avg(avg_l) AS avg_l,
+  avg(avg_r) AS avg_r, avg(avg_f) AS avg_f, avg(avg_m) AS avg_m, avg(avg_s) AS avg_s, avg(avg_m) AS avg_monetary,
+  sum(avg_m) AS total_revenue, CASE WHEN any_value(rev) > 0 THEN sum(avg_m) * 100.0 / any_value(rev) ELSE 0.0 END AS pct_revenue,
+  avg(avg_r) AS avg_recency, avg(avg_f) AS avg_frequency FROM s, t GROUP BY segment""",
+          {c: RATIO for c in ["pct_customers", "avg_l", "avg_r", "avg_f", "avg_m", "avg_s", "avg_monetary",
+                              "total_revenue", "pct_revenue", "avg_recency", "avg_frequency"]})
+def h3b(spark, sf):
+    from cohortkit.operators import series as T
+    from cohortkit.plans.q_series import binned
+    lg = T.lrfms_long(binned(spark, sf), 3, compute_s=True)
+    m = lg.groupBy("customer_id").agg(*[F.avg(c).alias(f"avg_{c.lower()}") for c in ["L", "R", "F", "M", "S"]])
+    s = m.withColumn("segment", F.concat(F.lit("Cluster "), (F.col("customer_id").cast("bigint") % 3).cast("string")))
+    return H.lrfms_summary(s)

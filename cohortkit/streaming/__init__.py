@@ -1,0 +1 @@
+"""Incremental intake of transaction files (the original has no streaming)."""
