@@ -101,7 +101,7 @@ def latest_run(spark: SparkSession, path: str) -> DataFrame:
             .drop("_d", "_t", "run_date"))
 
 
-_URI = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(/.*)?$|^/")
+_URI = re.compile(r"^([a-zA-Z][a-zA-Z0-9+.-]*:/.+|/.+)$")
 
 
 def write_run_parquet(df: DataFrame, prefix: str, meta: dict, mode: str = "errorifexists") -> str:
