@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.operators.ordering import global_positions
-from cohortkit.session import ensure_checkpoint_dir
+from cohortkit.session import cut, ensure_checkpoint_dir
 
 
 def _offsets(d: int) -> list[tuple]:
@@ -44,7 +44,7 @@ def _grid(df: DataFrame, feats: list[str], eps: float, id_col: str):
     gcols = [f"_g{i}" for i in range(d)]
     pts = df.select(F.col(id_col).cast("string").alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats])
     uniq = (pts.groupBy(*feats).agg(F.count(F.lit(1)).alias("_w"), F.min("_id").alias("_pid"))
-            .select("_pid", "_w", *feats, *cells).checkpoint())
+            .select("_pid", "_w", *feats, *cells).transform(cut))
     cell_w = uniq.groupBy(*gcols).agg(F.sum("_w").alias("_cw"))
     # candidate pairs between different cells (J7), exact distance filter
     offs = spark.createDataFrame(_offsets(d), ", ".join(f"_o{i} int" for i in range(d)))
@@ -56,7 +56,7 @@ def _grid(df: DataFrame, feats: list[str], eps: float, id_col: str):
     dist2 = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in feats), F.lit(0.0))
     pairs = (shifted.join(b, cond).where(dist2 <= eps * eps)
              .select("a__pid", "a__w", "b__pid", "b__w", *[f"a__g{i}" for i in range(d)],
-                     *[f"b__g{i}" for i in range(d)]).checkpoint())
+                     *[f"b__g{i}" for i in range(d)]).transform(cut))
     # neighbour counts: own cell (all within eps) + partial pairs, both directions
     extra = (pairs.select(F.col("a__pid").alias("_pid"), F.col("b__w").alias("_x"))
              .unionByName(pairs.select(F.col("b__pid").alias("_pid"), F.col("a__w").alias("_x")))
@@ -81,7 +81,7 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
     ensure_checkpoint_dir(df.sparkSession)
     d = len(feats)
     pts, pairs, counted, gcols = _grid(df, feats, eps, id_col)
-    counted = counted.withColumn("_core", F.col("_n") >= min_samples).checkpoint()
+    counted = counted.withColumn("_core", F.col("_n") >= min_samples).transform(cut)
     core = counted.where("_core")
     # cell graph over cells holding core points; seed label = smallest core id in the cell
     ckey = F.concat_ws(",", *[F.col(g).cast("string") for g in gcols])
@@ -92,15 +92,15 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
           .select(F.concat_ws(",", *[F.col(f"a__g{i}").cast("string") for i in range(d)]).alias("_u"),
                   F.concat_ws(",", *[F.col(f"b__g{i}").cast("string") for i in range(d)]).alias("_v"))
           .distinct())
-    edges = ce.unionByName(ce.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))).checkpoint()
-    labels = node.select("_cell", "_lab").checkpoint()
+    edges = ce.unionByName(ce.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))).transform(cut)
+    labels = node.select("_cell", "_lab").transform(cut)
     for _ in range(max_rounds):
         nb = (edges.join(labels.withColumnRenamed("_cell", "_v"), "_v")
               .groupBy(F.col("_u").alias("_cell")).agg(F.min("_lab").alias("_nl")))
         new = (labels.join(nb, "_cell", "left")
                .select("_cell", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"),
                        (F.col("_nl") < F.col("_lab")).alias("_chg"))
-               .checkpoint())
+               .transform(cut))
         changed = new.where("_chg").limit(1).count()
         labels = new.drop("_chg")
         if changed == 0:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.operators.cluster_metrics import combined_score, label_metrics, select_k
 from cohortkit.operators.pairs import n_blocks_for, silhouette_sums
+from cohortkit.session import cut
 
 SEED = 42
 
@@ -166,7 +167,7 @@ def label_all(data: DataFrame, feats: list[str], best: dict, id_col: str = "cust
     descending size, then smallest member id (stable names).  The size
     table has sum(k) rows, so the renumbering is applied as literal maps."""
     raw = data.select(id_col, *feats, *[nearest(feats, m["centres"]).alias(f"_raw{k}")
-                                        for k, m in best.items()]).checkpoint()
+                                        for k, m in best.items()]).transform(cut)
     parts = [raw.groupBy(F.lit(k).alias("k"), F.col(f"_raw{k}").alias("raw")).agg(
         F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")) for k in best]
     sizes = parts[0]
@@ -248,7 +249,7 @@ def evaluate_k_range(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_ma
     """
     data = sized(feats_df.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats]))
     best = best_per_k(kmeans_batch(data, feats, list(range(k_min, k_max + 1)), n_init, seed))
-    labelled = label_all(data, feats, dict(sorted(best.items()))).checkpoint()
+    labelled = label_all(data, feats, dict(sorted(best.items()))).transform(cut)
     label_cols = {k: f"label_k{k}" for k in best}
     metrics = label_metrics(labelled, feats, label_cols)
     sil = silhouette(labelled, feats, label_cols)

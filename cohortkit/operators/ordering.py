@@ -12,25 +12,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.session import ensure_checkpoint_dir, shuffle_partitions
+from cohortkit.session import cut, ensure_checkpoint_dir, shuffle_partitions
 
 _LOCAL_MASK = (1 << 33) - 1
 
+# Tables up to this many rows may be ordered in one task (checked by a count
+# first); larger ones take the range-partitioned path.
+SINGLE_TASK_ROWS = 1_000_000
+
+
+def _small(df: DataFrame, limit: int | None) -> bool:
+    limit = SINGLE_TASK_ROWS if limit is None else limit
+    return limit > 0 and df.limit(limit + 1).count() <= limit
+
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
     return n_parts or shuffle_partitions(df.sparkSession)
 
 
 def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
-                     n_parts: int | None = None) -> DataFrame:
+                     n_parts: int | None = None, single_task_rows: int | None = None) -> DataFrame:
     """Add a 1-based position in the total order ``order`` (must be unique).
 
     Range exchange + sort within partitions; the local index comes from
     ``monotonically_increasing_id`` (partition id << 33 | row index), so no
     second exchange is needed.  The numbered table is checkpointed so that
-    both uses see the same rows even if executors are lost.
+    both uses see the same rows even if executors are lost.  A table of at
+    most ``SINGLE_TASK_ROWS`` rows (counted first) is numbered by one window.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist()
+    if _small(df, single_task_rows):  # size-checked: one task holds at most SINGLE_TASK_ROWS
+        return df.withColumn(pos_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     n = _n_parts(df, n_parts)
     numbered = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)
@@ -38,7 +50,7 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
                 .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
                 .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)))
                 .drop("_mid")
-                .checkpoint())
+                .transform(cut))
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per range partition: bounded by n, safe to order in one task
     offsets = counts.select(
@@ -50,22 +62,27 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
 
 
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
-                pos_col: str | None = "pos", n_parts: int | None = None) -> DataFrame:
+                pos_col: str | None = "pos", n_parts: int | None = None,
+                single_task_rows: int | None = None) -> DataFrame:
     """Add inclusive running sums (and optionally a 1-based position) over ``order``.
 
     ``order`` must be a total order.  Local running sums use a window
     partitioned by the range partition id, so each window task holds one
     range partition; the per-partition totals are prefixed and broadcast.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist()
+    if _small(df, single_task_rows):  # size-checked: one task holds at most SINGLE_TASK_ROWS
+        w1 = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        cols = {name: F.sum(expr).over(w1) for name, expr in sums.items()}
+        if pos_col:
+            cols[pos_col] = F.row_number().over(Window.orderBy(*order)).cast("long")
+        return df.withColumns(cols)
     n = _n_parts(df, n_parts)
-    sort_names = [f"_s{i}" for i in range(len(order))]
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cols = {name: F.sum(expr).over(w) for name, expr in sums.items()}
     cols["_local"] = F.count(F.lit(1)).over(w)
-    local = ranged.withColumns(cols).checkpoint()
-    del sort_names
+    local = ranged.withColumns(cols).transform(cut)
     tot = local.groupBy("_pid").agg(
         F.count(F.lit(1)).alias("_cnt"),
         *[F.sum(expr).alias(f"_tot_{name}") for name, expr in sums.items()])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.core import add_scalars
 from cohortkit.operators.ordering import exact_quantiles, global_positions, grouped_exact_quantiles, prefix_sums
+from cohortkit.session import cut
 
 # Built-in RFM segment rules, priority order, full match, first wins.
 SEGMENT_RULES = [
@@ -75,13 +76,15 @@ def qcut_edges(df: DataFrame, col: str, q: int = 5) -> DataFrame:
 
 
 def qcut_score(df: DataFrame, col: str, out: str, q: int = 5, descending: bool = False,
-               on_ties: str = "raise") -> DataFrame:
+               on_ties: str = "raise", edges: DataFrame | None = None) -> DataFrame:
     """Quantile bin 1..q (right-closed bins, lowest edge included).
 
     ``descending`` gives labels q..1 (Recency).  Equal edges raise as
     ``pd.qcut`` does; ``on_ties="collapse"`` counts only distinct edges.
     """
-    edges = qcut_edges(df, col, q)
+    if edges is None:
+        df = df.persist()  # read twice: for its edges and for the scores
+        edges = qcut_edges(df, col, q)
     x = F.col(col)
     inner = [F.col(f"e{j}") for j in range(1, q)]
     if on_ties == "collapse":
@@ -152,17 +155,29 @@ def custom_rules(segments: list[dict]) -> list:
     return [(s["pattern"], s["name"]) for s in segments if s.get("enabled", True)]
 
 
+def multi_qcut_edges(df: DataFrame, cols: list[str], q: int = 5) -> dict:
+    """qcut edges of several columns from one grouped quantile job (long
+    form column/value); returns {column: one-row edges DataFrame}."""
+    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (_col, _val)")
+    e = grouped_exact_quantiles(long, ["_col"], "_val", [i / q for i in range(q + 1)], prefix="e").persist()
+    return {c: e.where(F.col("_col") == c).drop("_col") for c in cols}
+
+
 def rfm_scores(rfm_df: DataFrame, q: int = 5, on_ties: str = "raise") -> DataFrame:
     """Recency (reversed) and Monetary by S1, Frequency by S2, code by S3."""
-    out = qcut_score(rfm_df, "Recency", "Recency_score", q, descending=True, on_ties=on_ties)
+    rfm_df = rfm_df.persist()
+    edges = multi_qcut_edges(rfm_df, ["Recency", "Monetary"], q)
+    out = qcut_score(rfm_df, "Recency", "Recency_score", q, descending=True, on_ties=on_ties,
+                     edges=edges["Recency"])
+    out = qcut_score(out, "Monetary", "Monetary_score", q, on_ties=on_ties, edges=edges["Monetary"])
     out = rank_qcut_score(out, "Frequency", "Frequency_score", q)
-    out = qcut_score(out, "Monetary", "Monetary_score", q, on_ties=on_ties)
     return rfm_code(out)
 
 
 def rfm_quintile_segments(rfm_df: DataFrame, rules=None, n_quantiles: int = 5) -> DataFrame:
     """A3 output -> scores -> code -> first-match segment."""
-    scored = rfm_scores(rfm_df, n_quantiles).checkpoint()
+    scored = rfm_scores(rfm_df, n_quantiles)
     return assign_segment(scored, rules).select(
         "customer_id", "Recency", "Frequency", "Monetary", "Recency_score",
         "Frequency_score", "Monetary_score", "RFM_Score", "segment")
@@ -201,9 +216,11 @@ def rename_segments(df: DataFrame, renames: dict, col: str = "segment") -> DataF
 def cluster_type(profile: DataFrame, population: DataFrame, l: str = "L", r: str = "R",
                  m: str = "M") -> DataFrame:
     """Name clusters by comparing mean L, R', M with population medians."""
-    med = (exact_quantiles(population, l, [0.5], "ml")
-           .crossJoin(exact_quantiles(population, r, [0.5], "mr"))
-           .crossJoin(exact_quantiles(population, m, [0.5], "mm")))
+    pop = population.select(F.col(l).alias("_l"), F.col(r).alias("_r"), F.col(m).alias("_m"))
+    stack = "stack(3, 'l', CAST(_l AS DOUBLE), 'r', CAST(_r AS DOUBLE), 'm', CAST(_m AS DOUBLE)) as (_col, _val)"
+    q = grouped_exact_quantiles(pop.selectExpr(stack), ["_col"], "_val", [0.5], prefix="q")
+    med = q.groupBy().pivot("_col", ["l", "r", "m"]).agg(F.first("q0")).select(
+        F.col("l").alias("ml0"), F.col("r").alias("mr0"), F.col("m").alias("mm0"))
     t = (F.when(F.col(l) < F.col("ml0"),
                 F.when(F.col(r) < F.col("mr0"), CLUSTER_TYPES["new_active"])
                 .otherwise(CLUSTER_TYPES["new_inactive"]))
@@ -215,9 +232,11 @@ def cluster_type(profile: DataFrame, population: DataFrame, l: str = "L", r: str
 
 
 def quantile_scores(df: DataFrame, cols: list[str], q: int = 5, on_ties: str = "collapse") -> DataFrame:
-    """S1 score ``{c}_score`` for each metric."""
+    """S1 score ``{c}_score`` for each metric (all edges from one job)."""
+    df = df.persist()
+    edges = multi_qcut_edges(df, cols, q)
     for c in cols:
-        df = qcut_score(df, c, f"{c}_score", q, on_ties=on_ties)
+        df = qcut_score(df, c, f"{c}_score", q, on_ties=on_ties, edges=edges[c])
     return df
 
 

@@ -18,6 +18,7 @@ from cohortkit.plans.q_base import LRFM_SQL, MONEY, RATIO, RFM_SQL, orders_clean
 from cohortkit.plans.q_series import LONG_SQL, returns_orders
 from cohortkit.plans.registry import register
 from cohortkit.sources import testdata as td
+from cohortkit.session import cut
 
 RFM3 = ["Recency", "Frequency", "Monetary"]
 KS = [2, 3, 4]
@@ -316,7 +317,7 @@ SELECT id, center_rank, pow(1.0 / (dist + 1e-9), 0.5) / sum(pow(1.0 / (dist + 1e
 FROM cd""", {"membership": RATIO})
 def f21(spark, sf):
     e = emb(spark, sf)
-    pairs = emb_pairs(spark, sf).checkpoint()
+    pairs = emb_pairs(spark, sf).transform(cut)
     peaks = D.density_peaks(pairs, e.select("id"), 4)
     centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
     return D.fuzzy_membership(pairs, e.select("id"), centers)
@@ -356,7 +357,7 @@ def t18(spark, sf):
 @register("f22_spectral_clusters")
 def f22(spark, sf):
     e = emb(spark, sf)
-    pairs = emb_pairs(spark, sf).checkpoint()
+    pairs = emb_pairs(spark, sf).transform(cut)
     peaks = D.density_peaks(pairs, e.select("id"), 4)
     centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
     u = D.spectral_embedding(D.fuzzy_membership(pairs, e.select("id"), centers), 4)
@@ -375,7 +376,7 @@ def t23(spark, sf):
     n = packed.count()
     ids = packed.select(F.col("customer_id").alias("id"))
     pairs = PR.pair_distances(packed.withColumnRenamed("customer_id", "id"), "id", PR.dtw_kernel("series"),
-                              PR.n_blocks_for(n, 200), ["series"]).checkpoint()
+                              PR.n_blocks_for(n, 200), ["series"]).transform(cut)
     peaks = D.density_peaks(pairs, ids, 4)
     centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
     u = D.spectral_embedding(D.fuzzy_membership(pairs, ids, centers), 4)

@@ -278,7 +278,7 @@ SELECT segment, L, R, M, CASE WHEN L < ml THEN CASE WHEN R < mr THEN 'CLIENTES N
   ELSE CASE WHEN R < mr THEN CASE WHEN M > mm THEN 'CLIENTES VIP/LEALES' ELSE 'CLIENTES LEALES' END
   ELSE 'CLIENTES EN RIESGO' END END AS cluster_type FROM prof, med""", {"L": RATIO, "R": RATIO, "M": RATIO})
 def s11(spark, sf):
-    seg = segmented(spark, sf)
+    seg = segmented(spark, sf).persist()  # read for the profile and the population
     prof = seg.groupBy("segment").agg(F.avg("Recency").alias("L"), F.avg("Recency").alias("R"),
                                       F.avg("Monetary").alias("M"))
     pop = seg.select(F.col("Recency").alias("L"), F.col("Recency").alias("R"), F.col("Monetary").alias("M"))

@@ -63,3 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def cut(df):
+    """Cut lineage with a reliable checkpoint in the shared folder.
+
+    The input is persisted first so that writing the checkpoint does not
+    recompute it (a bare checkpoint runs the plan twice)."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
