@@ -119,7 +119,10 @@ def grouped_exact_quantiles(df: DataFrame, group: list[str], value: str, probs:
             .groupBy(*group, F.col(value).cast("double").alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
     order = [F.col(g).asc() for g in group] + [F.col("_v").asc()]
-    cum = prefix_sums(vals, order, {"_cum": F.col("_c")}, pos_col=None)
+    vals = vals.persist()
+    if _small(vals, None):
+        return _small_quantiles(vals, group, probs, prefix)
+    cum = prefix_sums(vals, order, {"_cum": F.col("_c")}, pos_col=None).persist()  # read twice below
     stats = cum.groupBy(*group).agg(F.min(F.col("_cum") - F.col("_c")).alias("_goff"),
                                     F.sum("_c").alias("_n"))
     probs_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)],
@@ -131,31 +134,57 @@ def grouped_exact_quantiles(df: DataFrame, group: list[str], value: str, probs:
                .withColumn("_frac", F.col("_h") - F.col("_lo"))
                .withColumn("_glo", F.col("_goff") + F.col("_lo"))
                .withColumn("_ghi", F.col("_goff") + F.col("_hi")))
-
-    # the order statistic at global 0-based position p is in the row with cum-c <= p < cum
     keyed = [F.col(g).alias(f"_k{i}") for i, g in enumerate(group)]
-
-    def pick(pos: str, name: str) -> DataFrame:
-        t = F.broadcast(targets.select(*keyed, "_i", F.col(pos).alias("_pos")))
-        cond = (F.col("_cum") - F.col("_c") <= F.col("_pos")) & (F.col("_pos") < F.col("_cum"))
-        for i, g in enumerate(group):
-            cond = cond & F.col(g).eqNullSafe(F.col(f"_k{i}"))
-        return cum.join(t, cond).select(*[F.col(f"_k{i}").alias(g) for i, g in enumerate(group)],
-                                        "_i", F.col("_v").alias(name))
-    lo = pick("_glo", "_vlo")
-    hi = pick("_ghi", "_vhi")
+    # both neighbouring order statistics of every quantile in one broadcast join;
+    # the one at global 0-based position p is in the row with cum - c <= p < cum
+    wanted = targets.select(*keyed, "_i", "_frac", F.explode(F.array(
+        F.struct(F.lit(0).alias("_w"), F.col("_glo").alias("_pos")),
+        F.struct(F.lit(1).alias("_w"), F.col("_ghi").alias("_pos")))).alias("_t")).select(
+        "*", "_t._w", "_t._pos").drop("_t")
+    cond = (F.col("_cum") - F.col("_c") <= F.col("_pos")) & (F.col("_pos") < F.col("_cum"))
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_k{i}"))
+    picked = cum.join(F.broadcast(wanted), cond).groupBy(*[f"_k{i}" for i in range(len(group))], "_i").agg(
+        F.first("_frac").alias("_frac"), F.max(F.when(F.col("_w") == 0, F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_w") == 1, F.col("_v"))).alias("_vhi"))
     # numpy's lerp: a + (b-a)t below t=0.5, b - (b-a)(1-t) from 0.5 on
     interp = F.when(F.col("_frac") >= 0.5,
                     F.col("_vhi") - (F.col("_vhi") - F.col("_vlo")) * (F.lit(1.0) - F.col("_frac"))
                     ).otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-    keys = group + ["_i"]
-    q = (targets.select(*keys, "_frac").join(lo, keys, "left").join(hi, keys, "left")
-         .select(*group, "_i", F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo"))
-                 .otherwise(interp).alias("_q")))
+    q = picked.select(*[F.col(f"_k{i}").alias(g) for i, g in enumerate(group)], "_i",
+                      F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(interp).alias("_q"))
     return q.groupBy(*group).pivot("_i", list(range(len(probs)))).agg(F.first("_q")).select(
         *group, *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(len(probs))])
 
 
+def _small_quantiles(vals: DataFrame, group: list[str], probs: list[float], prefix: str) -> DataFrame:
+    """Size-checked path of ``grouped_exact_quantiles`` (the distinct-value
+    table has at most SINGLE_TASK_ROWS rows): running counts by window, then
+    one grouping whose conditional aggregates pick each quantile's two
+    neighbouring order statistics.  No joins."""
+    gw = Window.partitionBy(*group) if group else Window.partitionBy()
+    run = gw.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    t = vals.withColumns({"_cum": F.sum("_c").over(run), "_n": F.sum("_c").over(gw)})
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("_n") - 1)
+
+        def hit(pos):
+            return (F.col("_cum") - F.col("_c") <= pos) & (pos < F.col("_cum"))
+        aggs += [F.max(F.when(hit(lo), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(hit(hi), F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(h - lo).alias(f"_fr{i}")]
+    g = t.groupBy(*group).agg(*aggs)
+    outs = []
+    for i in range(len(probs)):
+        a, b, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
+        lerp = F.when(fr >= 0.5, b - (b - a) * (F.lit(1.0) - fr)).otherwise(a + (b - a) * fr)
+        outs.append(F.when(a == b, a).otherwise(lerp).alias(f"{prefix}{i}"))
+    return g.select(*group, *outs)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], prefix: str = "q") -> DataFrame:
     """One row of exact quantiles of ``value`` over the whole table (see above).
 
