@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontam, mixing, quality_rules, secrets
+from cohortkit.llm import decontam, html_text, mixing, ngram_join, quality_rules, secrets, substrings
 from cohortkit.llm.common import table
 from cohortkit.llm.sql import ORACLES
 
@@ -18,22 +18,38 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *[c.alias(n) for n, c in secrets.digest_columns(F.col("_spans")).items()])
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), "kept_sha256")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op5_host_rules, op8_winnowing, op10_mixing)}
+    return {f.__name__: f for f in (
+        op1_secret_scan, op3_html_text, op5_host_rules, op7_substrings, op8_winnowing, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
