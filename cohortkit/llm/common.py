@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortkit.session import cut, ensure_checkpoint_dir  # noqa: F401  (re-exported)
@@ -45,3 +45,20 @@ def join_by_key(rows: DataFrame, small: DataFrame, key: str, salts: int = 64) ->
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total UTF-8 bytes of a text column (one aggregate)."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, rows: int, max_bytes: int, seed: int) -> DataFrame:
+    """A bounded training sample: the columns of ``labels`` (but doc_id) that ``keep`` allows, with ``text``.
+
+    Labels are taken in the order of a seeded hash of ``doc_id``, at most
+    ``rows`` of them, which bounds the broadcast; of their whole texts as many
+    as fit into ``max_bytes``.  The window runs over the bounded sample only.
+    """
+    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    some = labels.where(F.col("doc_id").isNotNull() & keep).orderBy(order, *labels.columns).limit(rows)
+    some = some.select(order.alias("_o"), *[F.col(c).alias(c if c != "doc_id" else "_doc") for c in labels.columns])
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(some), texts["_id"] == some["_doc"])
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("_o", *[c for c in labels.columns if c != "doc_id"], "text")
+                                                .rowsBetween(Window.unboundedPreceding, 0))
+    return sample.withColumn("_bytes", so_far).where(F.col("_bytes") <= max_bytes).drop("_id", "_doc", "_bytes", "_o")

@@ -253,3 +253,17 @@ def _block_pass(rows: DataFrame, block) -> DataFrame:
 
     return rows.mapInArrow(run, "doc_id bigint, digest binary, block bigint, n_words bigint, "
                                 "spans array<struct<a:bigint,b:bigint>>, items array<string>")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` (all columns) without the documents that hold a benchmark window; one narrow pass per block."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("text").alias("text"))
+    for _, block in blocks(docs.sparkSession, benchmark, block_windows):
+        def run(batches, block=block):
+            for batch in batches:
+                clean = [starts is None for _, starts, _, _ in _document_rows(batch, block.value)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("doc.*")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontam, html_text, mixing, ngram_join, quality_rules, secrets, substrings
+from cohortkit.llm import (
+    decontam, html_text, licenses, mixing, ngram_join, quality_model, quality_rules, secrets, substrings, toxicity)
 from cohortkit.llm.common import table
 from cohortkit.llm.sql import ORACLES
 
@@ -18,16 +19,37 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *[c.alias(n) for n, c in secrets.digest_columns(F.col("_spans")).items()])
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, quality_model.graded(table(spark, sf_dir, "labels")), n_grades=3)
+    scored = quality_model.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "expected_grade", "tail_probability",
+                         (F.col("tail_probability") >= quality_model.SELECT).alias("kept"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, F.lit(1)).otherwise(F.lit(0)).cast("int").alias("predicted"),
+                         F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
@@ -49,7 +71,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op3_html_text, op5_host_rules, op7_substrings, op8_winnowing, op9_jaccard_join, op10_mixing)}
+        op1_secret_scan, op2_ordinal_quality, op3_html_text, op4_toxic_spans, op5_host_rules, op6_license_scan,
+        op7_substrings, op8_winnowing, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
