@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions.core import is_negative, not_zero
+from cohortkit.operators.mapping import apply_mapping
 from cohortkit.operators.profile import is_missing, numeric_columns
 
 KEY_COLUMNS = ["customer_id", "order_id", "order_date", "order_total"]
@@ -104,17 +105,43 @@ def clean(df: DataFrame, remove_nulls: bool = True, remove_negatives: bool = Tru
     return df
 
 
+def clean_raw(raw: DataFrame, mapping: dict, remove_nulls: bool = True, remove_negatives: bool = True,
+              remove_duplicates: bool = True, **mapping_options) -> DataFrame:
+    """C1 + M5 + C13: duplicates are whole *raw* rows.
+
+    Lines of one order that differ only in unmapped columns (two products of
+    one price) are different sales; mapping first would merge them.
+    """
+    rows = dedup_raw(raw) if remove_duplicates else raw
+    return clean(apply_mapping(rows, mapping, **mapping_options), remove_nulls, remove_negatives, remove_duplicates=False)
+
+
+def clean_stats_raw(raw: DataFrame, mapping: dict, remove_nulls: bool = True, remove_negatives: bool = True,
+                    remove_duplicates: bool = True, **mapping_options) -> DataFrame:
+    """C11 with duplicates counted on the raw rows."""
+    if not remove_duplicates:
+        return clean_stats(apply_mapping(raw, mapping, **mapping_options), remove_nulls, remove_negatives, False)
+    names = raw.columns
+    counted = raw.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    mapped = apply_mapping(counted, {**mapping, "_copies": "_copies"}, **mapping_options)
+    return clean_stats(mapped.withColumn("_copies", F.col("_copies").cast("bigint")), remove_nulls, remove_negatives, True,
+                       copies="_copies")
+
+
 def clean_stats(df: DataFrame, remove_nulls: bool = True, remove_negatives: bool = True,
-                remove_duplicates: bool = True) -> DataFrame:
+                remove_duplicates: bool = True, copies: str | None = None) -> DataFrame:
     """C11: rows before/after, rows removed per step, distinct customers and orders.
 
+    ``copies`` names a column that already counts the copies of each row.
+
     Each row gets the index of the step that removes it (dedup marks every
     copy after the first); one aggregate then counts all steps together.
     """
-    nums = numeric_columns(df)
+    nums = [c for c in numeric_columns(df) if c != copies]
     keys = [k for k in KEY_COLUMNS if k in df.columns]
-    dup = F.lit(0)
-    if remove_duplicates:
+    if copies:
+        counted = df
+    elif remove_duplicates:
         counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     else:
         counted = df.withColumn("_copies", F.lit(1))
@@ -127,7 +154,6 @@ def clean_stats(df: DataFrame, remove_nulls: bool = True, remove_negatives: bool
         keep_total = (F.col("order_total") > 0) if remove_negatives else not_zero("order_total")
         step = step.when(~F.coalesce(keep_total, F.lit(False)), 4)
     step = step.otherwise(0)
-    del dup
     flagged = counted.withColumn("_step", step)
     kept = F.col("_step") == 0
     return flagged.agg(

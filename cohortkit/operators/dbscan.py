@@ -8,8 +8,8 @@
   each pair once) and filtered by the exact distance.  The cell equi-join
   is left to AQE's skew-join split when one cell is hot.
 * Core points (weighted count incl. itself >= min_samples) connect their
-  cells; clusters are connected components of that cell graph found by
-  min-label propagation (checkpointed every round, stops when stable).
+  cells; clusters are connected components of that cell graph (star steps,
+  checkpointed every round, until stable; see ``components``).
 * A border point takes the smallest adjacent cluster; clusters are
   numbered by their smallest core customer id (the reference's row order).
 """
@@ -22,6 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.operators.components import connected_components
 from cohortkit.operators.ordering import global_positions
 from cohortkit.session import cut, ensure_checkpoint_dir
 
@@ -43,7 +44,8 @@ def _grid(df: DataFrame, feats: list[str], eps: float, id_col: str):
     cells = [F.floor(F.col(c) / side).cast("long").alias(f"_g{i}") for i, c in enumerate(feats)]
     gcols = [f"_g{i}" for i in range(d)]
     pts = df.select(F.col(id_col).cast("string").alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats])
-    uniq = (pts.groupBy(*feats).agg(F.count(F.lit(1)).alias("_w"), F.min("_id").alias("_pid"))
+    placed = pts.dropna(subset=feats)
+    uniq = (placed.groupBy(*feats).agg(F.count(F.lit(1)).alias("_w"), F.min("_id").alias("_pid"))
             .select("_pid", "_w", *feats, *cells).transform(cut))
     cell_w = uniq.groupBy(*gcols).agg(F.sum("_w").alias("_cw"))
     # candidate pairs between different cells (J7), exact distance filter
@@ -76,8 +78,11 @@ def eps_neighbour_counts(df: DataFrame, feats: list[str], eps: float = 0.5,
 
 
 def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int = 5,
-           id_col: str = "customer_id", max_rounds: int = 100) -> DataFrame:
-    """Returns ``id_col``, ``segment`` ("Cluster i" or "Noise"), ``is_core``."""
+           id_col: str = "customer_id") -> DataFrame:
+    """Returns ``id_col``, ``segment`` ("Cluster i" or "Noise"), ``is_core``.
+
+    A customer with a null feature has no place among the others and is Noise.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     d = len(feats)
     pts, pairs, counted, gcols = _grid(df, feats, eps, id_col)
@@ -92,19 +97,12 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
           .select(F.concat_ws(",", *[F.col(f"a__g{i}").cast("string") for i in range(d)]).alias("_u"),
                   F.concat_ws(",", *[F.col(f"b__g{i}").cast("string") for i in range(d)]).alias("_v"))
           .distinct())
-    edges = ce.unionByName(ce.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))).transform(cut)
-    labels = node.select("_cell", "_lab").transform(cut)
-    for _ in range(max_rounds):
-        nb = (edges.join(labels.withColumnRenamed("_cell", "_v"), "_v")
-              .groupBy(F.col("_u").alias("_cell")).agg(F.min("_lab").alias("_nl")))
-        new = (labels.join(nb, "_cell", "left")
-               .select("_cell", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"),
-                       (F.col("_nl") < F.col("_lab")).alias("_chg"))
-               .transform(cut))
-        changed = new.where("_chg").limit(1).count()
-        labels = new.drop("_chg")
-        if changed == 0:
-            break
+    # components of the cell graph, then the smallest core id of each
+    comp = connected_components(ce.select(F.col("_u").alias("a"), F.col("_v").alias("b")))
+    placed = (node.select("_cell", "_lab").join(comp.withColumnRenamed("node", "_cell"), "_cell", "left")
+              .withColumn("component", F.coalesce("component", "_cell")).transform(cut))
+    labels = (placed.select("_cell", "component")
+              .join(placed.groupBy("component").agg(F.min("_lab").alias("_lab")), "component").select("_cell", "_lab"))
     # cluster of each core point = its cell's label
     counted = counted.withColumn("_cell", ckey)
     core_lab = counted.where("_core").join(labels, "_cell").select("_pid", "_lab")
@@ -121,8 +119,8 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
     numbered = global_positions(clusters, [F.col("_lab").asc()], pos_col="_num")
     lab = assigned.join(numbered, "_lab").select("_pid", (F.col("_num") - 1).alias("_num"))
     per_uniq = counted.select("_pid", *feats, "_core").join(lab, "_pid", "left")
-    out = pts.join(per_uniq.drop("_pid"), feats)
+    out = pts.join(per_uniq.drop("_pid"), feats, "left")
     return out.select(F.col("_id").alias(id_col),
                       F.when(F.col("_num").isNull(), F.lit("Noise"))
                       .otherwise(F.concat(F.lit("Cluster "), F.col("_num").cast("string"))).alias("segment"),
-                      F.col("_core").alias("is_core"))
+                      F.coalesce("_core", F.lit(False)).alias("is_core"))

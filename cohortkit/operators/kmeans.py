@@ -1,11 +1,12 @@
-"""K-Means over a k range with Spark ML.
+"""K-Means over a k range (Lloyd steps as one aggregate per pass).
 
 The feature table is cached once, with partitions sized to its rows.  All
 restarts of all k advance together: each Lloyd iteration is one pass over
 the data that updates every model, and the lowest-cost restart per k is
 kept; the chosen k reuses it instead of refitting.  All labelings are then scored together:
 WCSS / Davies-Bouldin / Calinski-Harabasz from grouped aggregates, the
-Euclidean silhouette from one n^2 block-pair pass for all k at once.
+squared-distance silhouette from one linear pass.  The Euclidean silhouette
+(F10) is a separate operator that needs all pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.operators.cluster_metrics import combined_score, label_metrics, select_k
+from cohortkit.operators.cluster_metrics import combined_score, label_metrics, select_k, squared_silhouette
 from cohortkit.operators.pairs import n_blocks_for, silhouette_sums
 from cohortkit.session import cut
 
@@ -35,8 +36,8 @@ def sized(data: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
     customers should not pay for hundreds of tasks, while a large table
     still gets one task per ~100k rows."""
     n = data.count()
-    parts = max(1, min(data.sparkSession.sparkContext.defaultParallelism * 4, -(-n // rows_per_partition)))
-    out = data.repartition(parts).cache()
+    parts = max(1, -(-n // rows_per_partition))
+    out = data.repartition(parts).cache()  # released by the caller
     out.count()
     return out
 
@@ -188,16 +189,6 @@ def fit_best(data: DataFrame, k: int, n_init: int = 10, seed: int = SEED, feats:
     return b["inertia"], b["seed"], b["centres"]
 
 
-def relabel(pred: DataFrame, pred_col: str, out: str) -> DataFrame:
-    """Stable cluster numbers: by descending size, then smallest member id.
-
-    The size table has k rows (bounded), so it is broadcast back."""
-    sizes = pred.groupBy(pred_col).agg(F.count(F.lit(1)).alias("_n"), F.min("customer_id").alias("_m"))
-    from pyspark.sql import Window
-    ranked = sizes.select(pred_col, (F.row_number().over(Window.orderBy(F.desc("_n"), "_m")) - 1).alias(out))
-    return pred.join(F.broadcast(ranked), pred_col).drop(pred_col)
-
-
 def silhouette(points: DataFrame, feats: list[str], label_cols: dict, id_col: str = "customer_id",
                n_blocks: int | None = None, block_size: int = 1500) -> DataFrame:
     """mean Euclidean silhouette per labeling ``{k: label column}``;
@@ -243,6 +234,9 @@ def evaluate_k_range(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_ma
                      n_init: int = 10, seed: int = SEED):
     """F13 (+F14): fit every k (all restarts batched) and score it.
 
+    k is chosen by the squared-distance silhouette, whose cost is linear in
+    the customers; the Euclidean one needs all pairs.
+
     Returns (scores DataFrame with k, wcss, silhouette, davies_bouldin,
     calinski_harabasz, combined; labelled DataFrame with ``label_k{k}``;
     {k: best restart}).
@@ -252,7 +246,7 @@ def evaluate_k_range(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_ma
     labelled = label_all(data, feats, dict(sorted(best.items()))).transform(cut)
     label_cols = {k: f"label_k{k}" for k in best}
     metrics = label_metrics(labelled, feats, label_cols)
-    sil = silhouette(labelled, feats, label_cols)
+    sil = squared_silhouette(labelled, feats, label_cols)
     scores = combined_score(metrics.join(sil, "k"))
     data.unpersist()
     return (scores.select("k", "wcss", "silhouette", "davies_bouldin", "calinski_harabasz", "combined"),

@@ -16,14 +16,8 @@ from cohortkit.session import cut, ensure_checkpoint_dir, shuffle_partitions
 
 _LOCAL_MASK = (1 << 33) - 1
 
-# Tables up to this many rows may be ordered in one task (checked by a count
-# first); larger ones take the range-partitioned path.
-SINGLE_TASK_ROWS = 1_000_000
-
-
-def _small(df: DataFrame, limit: int | None) -> bool:
-    limit = SINGLE_TASK_ROWS if limit is None else limit
-    return limit > 0 and df.limit(limit + 1).count() <= limit
+# Group tables of at most this many rows (counted first) may be broadcast.
+BROADCAST_GROUPS = 50_000
 
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
@@ -31,18 +25,14 @@ def _n_parts(df: DataFrame, n_parts: int | None) -> int:
 
 
 def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
-                     n_parts: int | None = None, single_task_rows: int | None = None) -> DataFrame:
+                     n_parts: int | None = None) -> DataFrame:
     """Add a 1-based position in the total order ``order`` (must be unique).
 
     Range exchange + sort within partitions; the local index comes from
     ``monotonically_increasing_id`` (partition id << 33 | row index), so no
     second exchange is needed.  The numbered table is checkpointed so that
-    both uses see the same rows even if executors are lost.  A table of at
-    most ``SINGLE_TASK_ROWS`` rows (counted first) is numbered by one window.
+    both uses see the same rows even if executors are lost.
     """
-    df = df.persist()
-    if _small(df, single_task_rows):  # size-checked: one task holds at most SINGLE_TASK_ROWS
-        return df.withColumn(pos_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     n = _n_parts(df, n_parts)
     numbered = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)
@@ -62,21 +52,13 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
 
 
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
-                pos_col: str | None = "pos", n_parts: int | None = None,
-                single_task_rows: int | None = None) -> DataFrame:
+                pos_col: str | None = "pos", n_parts: int | None = None) -> DataFrame:
     """Add inclusive running sums (and optionally a 1-based position) over ``order``.
 
     ``order`` must be a total order.  Local running sums use a window
     partitioned by the range partition id, so each window task holds one
     range partition; the per-partition totals are prefixed and broadcast.
     """
-    df = df.persist()
-    if _small(df, single_task_rows):  # size-checked: one task holds at most SINGLE_TASK_ROWS
-        w1 = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        cols = {name: F.sum(expr).over(w1) for name, expr in sums.items()}
-        if pos_col:
-            cols[pos_col] = F.row_number().over(Window.orderBy(*order)).cast("long")
-        return df.withColumns(cols)
     n = _n_parts(df, n_parts)
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -111,20 +93,17 @@ def grouped_exact_quantiles(df: DataFrame, group: list[str], value: str, probs:
     minimum of its cumulative starts (an aggregate, not a window).  Each
     quantile then picks its two neighbouring order statistics.  No task
     holds all values of a group.  The pick table (groups x probs rows) is
-    broadcast: callers group by segments or clusters, a bounded count.
-    Nulls are ignored.
+    broadcast up to BROADCAST_GROUPS groups (counted), beyond that joined on
+    the group.  Nulls are ignored.
     """
     spark = df.sparkSession
     vals = (df.where(F.col(value).isNotNull())
             .groupBy(*group, F.col(value).cast("double").alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
     order = [F.col(g).asc() for g in group] + [F.col("_v").asc()]
-    vals = vals.persist()
-    if _small(vals, None):
-        return _small_quantiles(vals, group, probs, prefix)
-    cum = prefix_sums(vals, order, {"_cum": F.col("_c")}, pos_col=None).persist()  # read twice below
+    cum = prefix_sums(vals, order, {"_cum": F.col("_c")}, pos_col=None)  # checkpointed inside, read twice
     stats = cum.groupBy(*group).agg(F.min(F.col("_cum") - F.col("_c")).alias("_goff"),
-                                    F.sum("_c").alias("_n"))
+                                    F.sum("_c").alias("_n")).transform(cut)
     probs_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)],
                                      "_i int, _p double")
     targets = (stats.crossJoin(F.broadcast(probs_df))
@@ -144,7 +123,8 @@ def grouped_exact_quantiles(df: DataFrame, group: list[str], value: str, probs:
     cond = (F.col("_cum") - F.col("_c") <= F.col("_pos")) & (F.col("_pos") < F.col("_cum"))
     for i, g in enumerate(group):
         cond = cond & F.col(g).eqNullSafe(F.col(f"_k{i}"))
-    picked = cum.join(F.broadcast(wanted), cond).groupBy(*[f"_k{i}" for i in range(len(group))], "_i").agg(
+    wanted = F.broadcast(wanted) if stats.count() <= BROADCAST_GROUPS else wanted
+    picked = cum.join(wanted, cond).groupBy(*[f"_k{i}" for i in range(len(group))], "_i").agg(
         F.first("_frac").alias("_frac"), F.max(F.when(F.col("_w") == 0, F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_w") == 1, F.col("_v"))).alias("_vhi"))
     # numpy's lerp: a + (b-a)t below t=0.5, b - (b-a)(1-t) from 0.5 on
@@ -157,34 +137,6 @@ def grouped_exact_quantiles(df: DataFrame, group: list[str], value: str, probs:
         *group, *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(len(probs))])
 
 
-def _small_quantiles(vals: DataFrame, group: list[str], probs: list[float], prefix: str) -> DataFrame:
-    """Size-checked path of ``grouped_exact_quantiles`` (the distinct-value
-    table has at most SINGLE_TASK_ROWS rows): running counts by window, then
-    one grouping whose conditional aggregates pick each quantile's two
-    neighbouring order statistics.  No joins."""
-    gw = Window.partitionBy(*group) if group else Window.partitionBy()
-    run = gw.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    t = vals.withColumns({"_cum": F.sum("_c").over(run), "_n": F.sum("_c").over(gw)})
-    aggs = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("_n") - 1)
-
-        def hit(pos):
-            return (F.col("_cum") - F.col("_c") <= pos) & (pos < F.col("_cum"))
-        aggs += [F.max(F.when(hit(lo), F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(hit(hi), F.col("_v"))).alias(f"_hi{i}"),
-                 F.max(h - lo).alias(f"_fr{i}")]
-    g = t.groupBy(*group).agg(*aggs)
-    outs = []
-    for i in range(len(probs)):
-        a, b, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
-        lerp = F.when(fr >= 0.5, b - (b - a) * (F.lit(1.0) - fr)).otherwise(a + (b - a) * fr)
-        outs.append(F.when(a == b, a).otherwise(lerp).alias(f"{prefix}{i}"))
-    return g.select(*group, *outs)
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], prefix: str = "q") -> DataFrame:
     """One row of exact quantiles of ``value`` over the whole table (see above).
 
@@ -197,18 +149,20 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], prefix: str =
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n,
-                    rank_col: str = "rank", salt_buckets: int = 32,
+                    rank_col: str = "rank", salt_buckets: int | None = None,
                     salt_key: list[str] | None = None) -> DataFrame:
     """Keep the first ``n`` rows of each group under ``order`` (a total order
     within the group), numbered 1..n in ``rank_col``.
 
     Two passes so that a hot group never lands in one task: rows are first
-    spread over ``salt_buckets`` sub-groups by a hash of ``salt_key`` (the
-    tie-break columns), the top ``n`` of each sub-group survive (``n`` may
+    spread over ``salt_buckets`` sub-groups (by default as many as there are
+    shuffle partitions, which grow with the data) by a hash of ``salt_key``
+    (the tie-break columns), the top ``n`` of each sub-group survive (``n`` may
     name a per-row quota column), and the
     final window sees at most ``salt_buckets * n`` rows per group.
     """
     salt_key = salt_key or [c for c in df.columns if c not in group]
+    salt_buckets = salt_buckets or shuffle_partitions(df.sparkSession)
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_key), F.lit(salt_buckets)))
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)

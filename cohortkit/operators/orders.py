@@ -169,4 +169,4 @@ def inner_join(left: DataFrame, right: DataFrame, key: str = "customer_id") -> D
 
 def semi_filter(df: DataFrame, keep: DataFrame, key: str = "customer_id") -> DataFrame:
     """Rows whose key appears in ``keep`` (isin as a semi join)."""
-    return df.join(keep.select(key).distinct(), key, "left_semi")
+    return df.join(keep.select(key), key, "left_semi")

@@ -55,11 +55,12 @@ def variance_weights(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def deviation_weights(df: DataFrame, cols: list[str]) -> DataFrame:
-    """one row ``w_{c}`` = sum |x - mean| / total over the metrics."""
+    """one row ``w_{c}`` = sum |x - mean| / total over the metrics; uniform if the total is 0."""
     mu = df.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols])
     dev = add_scalars(df, mu).agg(*[F.sum(F.abs(F.col(c) - F.col(f"_mu_{c}"))).alias(f"_d_{c}") for c in cols])
     tot = sum((F.col(f"_d_{c}") for c in cols), F.lit(0.0))
-    return dev.select(*[(F.col(f"_d_{c}") / tot).alias(f"w_{c}") for c in cols])
+    return dev.select(*[F.coalesce(F.try_divide(F.col(f"_d_{c}"), tot), F.lit(1.0 / len(cols))).alias(f"w_{c}")
+                        for c in cols])
 
 
 def apply_weights(df: DataFrame, cols: list[str], weights: DataFrame, s_weight: float = 1.0,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions.core import add_scalars
+from cohortkit.session import cut
 from cohortkit.operators.ordering import exact_quantiles, global_positions, grouped_exact_quantiles, prefix_sums
 from cohortkit.session import cut
 
@@ -83,7 +84,6 @@ def qcut_score(df: DataFrame, col: str, out: str, q: int = 5, descending: bool =
     ``pd.qcut`` does; ``on_ties="collapse"`` counts only distinct edges.
     """
     if edges is None:
-        df = df.persist()  # read twice: for its edges and for the scores
         edges = qcut_edges(df, col, q)
     x = F.col(col)
     inner = [F.col(f"e{j}") for j in range(1, q)]
@@ -160,13 +160,13 @@ def multi_qcut_edges(df: DataFrame, cols: list[str], q: int = 5) -> dict:
     form column/value); returns {column: one-row edges DataFrame}."""
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {stack}) as (_col, _val)")
-    e = grouped_exact_quantiles(long, ["_col"], "_val", [i / q for i in range(q + 1)], prefix="e").persist()
+    e = grouped_exact_quantiles(long, ["_col"], "_val", [i / q for i in range(q + 1)], prefix="e").transform(cut)
     return {c: e.where(F.col("_col") == c).drop("_col") for c in cols}
 
 
 def rfm_scores(rfm_df: DataFrame, q: int = 5, on_ties: str = "raise") -> DataFrame:
     """Recency (reversed) and Monetary by S1, Frequency by S2, code by S3."""
-    rfm_df = rfm_df.persist()
+    rfm_df = rfm_df.transform(cut)  # read by each score; small rows, one per customer
     edges = multi_qcut_edges(rfm_df, ["Recency", "Monetary"], q)
     out = qcut_score(rfm_df, "Recency", "Recency_score", q, descending=True, on_ties=on_ties,
                      edges=edges["Recency"])
@@ -190,7 +190,7 @@ def abc(orders: DataFrame, a: float = 0.80, b: float = 0.95, keep_pos: bool = Fa
     The running sum is a distributed prefix sum over (monetary desc,
     customer_id); no single-partition window.
     """
-    rev = orders.groupBy("customer_id").agg(F.sum("order_total").alias("monetary"))
+    rev = orders.groupBy("customer_id").agg(F.sum("order_total").alias("monetary")).transform(cut)
     cum = prefix_sums(rev, [F.desc("monetary"), F.asc("customer_id")],
                       {"_cum": F.col("monetary")}, pos_col="pos")
     total = rev.agg(F.sum("monetary").alias("_total"))
@@ -233,7 +233,7 @@ def cluster_type(profile: DataFrame, population: DataFrame, l: str = "L", r: str
 
 def quantile_scores(df: DataFrame, cols: list[str], q: int = 5, on_ties: str = "collapse") -> DataFrame:
     """S1 score ``{c}_score`` for each metric (all edges from one job)."""
-    df = df.persist()
+    df = df.transform(cut)
     edges = multi_qcut_edges(df, cols, q)
     for c in cols:
         df = qcut_score(df, c, f"{c}_score", q, on_ties=on_ties, edges=edges[c])

@@ -69,11 +69,13 @@ def assign_interval(orders: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def calendar_edges(orders: DataFrame, months: int | None = 2, days: int | None = None) -> DataFrame:
-    """T3 edges: month-end anchored every ``months`` months, or every ``days``
-    days, from the first order date to last date + 1 day.  Columns
-    (interval, lo, hi).  Size = calendar span / step (small; broadcastable)."""
-    b = orders.agg(F.min("order_date").alias("_s"),
-                   (F.max("order_date") + F.expr("INTERVAL 1 DAY")).alias("_e"))
+    """T3 edges (interval, lo, hi): calendar span / step rows.
+
+    Months: month-end anchored every ``months`` months up to last date + 1
+    day, bins (lo, hi].  Days: every ``days`` days up to last date + ``days``,
+    bins [lo, hi), so that every order has a bin."""
+    after = F.expr(f"INTERVAL {days} DAY") if days else F.expr("INTERVAL 1 DAY")
+    b = orders.agg(F.min("order_date").alias("_s"), (F.max("order_date") + after).alias("_e"))
     if days:
         idx = F.sequence(F.lit(0), F.floor(micros_between(F.col("_s"), F.col("_e")) / (days * US_PER_DAY)))
         edges = b.select("_s", "_e", F.posexplode(idx).alias("_j", "_k")).select(
@@ -99,12 +101,25 @@ def calendar_edges(orders: DataFrame, months: int | None = 2, days: int | None =
 
 
 def assign_calendar_interval(orders: DataFrame, edges: DataFrame) -> DataFrame:
-    """T3 binning: lo < t <= hi, the first interval also takes t = lo; others dropped."""
-    e = F.broadcast(edges.withColumnRenamed("hi", "interval_end"))
+    """T3 binning by months: lo < t <= hi, the first interval also takes t = lo; others dropped.
+
+    Each edge row is repeated for the months it touches, so orders meet it by
+    month key (a hash join), not by a range condition over all pairs."""
+    months = F.sequence(F.date_trunc("month", "lo"), F.date_trunc("month", "hi"), F.expr("INTERVAL 1 MONTH"))
+    e = edges.withColumn("_month", F.explode(months)).withColumnRenamed("hi", "interval_end")
     cond = ((F.col("order_date") > F.col("lo")) |
             ((F.col("interval") == 0) & (F.col("order_date") == F.col("lo")))) & \
         (F.col("order_date") <= F.col("interval_end"))
-    return orders.join(e, cond).drop("lo")
+    return orders.withColumn("_month", F.date_trunc("month", "order_date")).join(e, "_month").where(cond).drop("lo", "_month")
+
+
+def assign_day_interval(orders: DataFrame, days: int) -> DataFrame:
+    """T3 binning by fixed days from the first order: interval = floor((t - first) / days), half open; no join."""
+    j = add_scalars(orders, orders.agg(F.min("order_date").alias("_s")))
+    step = F.lit(days * US_PER_DAY)
+    n = F.floor(micros_between(F.col("_s"), F.col("order_date")) / step)
+    out = j.withColumn("interval", n.cast("int"))
+    return out.withColumn("interval_end", F.timestamp_add("DAY", (F.col("interval") + 1) * F.lit(days), F.col("_s"))).drop("_s")
 
 
 # Return rate -> satisfaction score steps (0, <=2 %, <=5 %, <=10 %, <=20 %, more).
@@ -226,7 +241,7 @@ def minmax_scale(df: DataFrame, cols: list[str], zero_range: float | None = None
     new = {}
     for c in cols:
         rng = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        v = (F.col(c) - F.col(f"_lo_{c}")) / rng
+        v = F.try_divide(F.col(c) - F.col(f"_lo_{c}"), rng)  # a constant column: null unless zero_range says
         if zero_range is not None:
             v = F.when(rng == 0, F.lit(zero_range)).otherwise(v)
         if fill_null is not None:

@@ -25,7 +25,7 @@ RATIO = 6
 
 def orders_clean(spark, sf):
     """Flagship input: orders mapped, cleaned (C13) and aggregated (A1)."""
-    return A.aggregate_orders(C.clean(td.std_orders(spark, sf)))
+    return A.aggregate_orders(C.clean_raw(td.table(spark, sf, "orders"), td.ORDERS_MAPPING))
 
 
 def rfm_base(spark, sf):
@@ -390,6 +390,48 @@ def c13b(spark, sf):
     return C.clean(td.dirty_orders(spark, sf), remove_negatives=False)
 
 
+# lineitem as raw rows: lines of an order with one quantity and discount look alike once mapped
+_LINE_MAPPING = {"customer_id": "l_suppkey", "order_id": "l_orderkey", "order_date": "l_shipdate", "order_total": "l_quantity"}
+_LINE_SQL = """raw AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0),
+ded AS (SELECT DISTINCT * FROM raw),
+mapped AS (SELECT CAST(l_suppkey AS VARCHAR) AS customer_id, CAST(l_orderkey AS VARCHAR) AS order_id,
+  CAST(l_shipdate AS TIMESTAMP) AS order_date, CAST(l_quantity AS DOUBLE) AS order_total FROM ded)"""
+
+
+def raw_lines(spark, sf):
+    """lineitem with every seventh order loaded twice."""
+    li = td.table(spark, sf, "lineitem")
+    return li.unionAll(li.where(F.col("l_orderkey") % 7 == 0))
+
+
+@register("c13c_clean_line_level", f"WITH {_LINE_SQL} SELECT * FROM mapped WHERE order_total > 0", {"order_total": MONEY})
+def c13c(spark, sf):
+    return C.clean_raw(raw_lines(spark, sf), _LINE_MAPPING)
+
+
+@register("c11b_clean_stats_line_level", f"""WITH {_LINE_SQL}
+SELECT (SELECT count(*) FROM raw) AS rows_before, count(*) AS rows_after,
+  (SELECT count(*) FROM raw) - (SELECT count(*) FROM ded) AS removed_duplicates, CAST(0 AS BIGINT) AS removed_nulls,
+  CAST(0 AS BIGINT) AS removed_negatives, (SELECT count(*) FROM mapped WHERE NOT order_total > 0) AS removed_zero_total,
+  count(DISTINCT customer_id) AS unique_customers, count(DISTINCT order_id) AS unique_orders FROM mapped WHERE order_total > 0""")
+def c11b(spark, sf):
+    return C.clean_stats_raw(raw_lines(spark, sf), _LINE_MAPPING)
+
+
+@register("m5b_date_formats", """SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE o_orderkey % 4
+  WHEN 0 THEN CAST(o_orderdate AS TIMESTAMP) WHEN 1 THEN date_trunc('minute', CAST(o_orderdate AS TIMESTAMP))
+  WHEN 2 THEN date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) END AS order_date FROM orders""")
+def m5b(spark, sf):
+    o = td.table(spark, sf, "orders")
+    day, k = F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_orderkey") % 4
+    text = (F.when(k == 0, day.cast("string")).when(k == 1, F.date_format(day, "M/d/yyyy H:mm"))
+            .when(k == 2, F.date_format(day, "dd.MM.yyyy")).otherwise(F.lit("31/31/31")))
+    raw = o.select("o_custkey", "o_orderkey", "o_totalprice", text.alias("when"))
+    from cohortkit.operators.mapping import apply_mapping
+    return apply_mapping(raw, {**td.ORDERS_MAPPING, "order_date": "when"},
+                         date_formats=("M/d/yyyy H:mm", "dd.MM.yyyy")).select("order_id", "order_date")
+
+
 # ------------------------------------------------------------ aggregation (A)
 
 @register("a1_aggregate_orders", f"WITH {DIRTY} {agg_orders('dirty', '> 0', sat=True)}",
@@ -549,7 +591,6 @@ def j5(spark, sf):
     return A.semi_filter(orders_clean(spark, sf), keep)
 
 
-del os
 
 
 # ------------------------------------------------------- sinks round trips (K)

@@ -168,7 +168,7 @@ UNION ALL SELECT 'davies_bouldin', arg_min(k, davies_bouldin * 1e6 + k) FROM sco
 UNION ALL SELECT 'elbow', (SELECT k FROM (SELECT k, lead(wcss) OVER (ORDER BY k) - 2 * wcss + lag(wcss) OVER (ORDER BY k) AS v
   FROM scores) WHERE v IS NOT NULL ORDER BY v DESC, k LIMIT 1)""")
 def f15(spark, sf):
-    s = stand_in_scores(spark, sf).cache()
+    s = stand_in_scores(spark, sf).transform(cut)
     parts = [CM.select_k(s, m).select(F.lit(m).alias("method"), F.col("k").cast("int").alias("k"))
              for m in ["combined", "silhouette", "davies_bouldin", "elbow"]]
     out = parts[0]
@@ -328,12 +328,32 @@ def t22(spark, sf):
     return D.sample_customers(rfm_base(spark, sf), 100)
 
 
-@register("f9b_embedding_label_metrics", """WITH x AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-n AS (SELECT count(*) AS n FROM x)
-SELECT 10 AS k, count(DISTINCT label) AS clusters FROM x""")
+# within-cluster squared distances and sizes of the labelled vectors, dimension by dimension
+@register("f9b_embedding_label_metrics", """WITH x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v,
+  generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(v) AS c FROM x GROUP BY 1, 2)
+SELECT x.label, count(DISTINCT vec_id) AS n, sum((v - c) * (v - c)) AS wcss FROM x JOIN m USING (label, i) GROUP BY 1""",
+          {"wcss": 4})
 def f9b(spark, sf):
-    e = td.table(spark, sf, "embeddings")
-    return e.agg(F.lit(10).alias("k"), F.count_distinct("label").alias("clusters"))
+    e = td.table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
+    e = e.withColumn("v", F.col("v").cast("double"))
+    # sum (v - mean)^2 per label: one aggregate, no join back
+    per = e.groupBy("label", "i").agg(F.count(F.lit(1)).alias("n"), F.var_pop("v").alias("var"))
+    return per.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("var")).alias("wcss"))
+
+
+@register("f10b_silhouette_squared", f"""{LAB_SQL},
+st AS (SELECT k, label, count(*) n, sum(Recency) sR, sum(Frequency) sF, sum(Monetary) sM,
+  sum(Recency * Recency + Frequency * Frequency + Monetary * Monetary) s2 FROM lab GROUP BY 1, 2),
+d AS (SELECT a.k, a.customer_id, a.label, st.label AS other, st.n,
+  greatest(0.0, st.n * (a.Recency * a.Recency + a.Frequency * a.Frequency + a.Monetary * a.Monetary) + st.s2
+    - 2 * (a.Recency * sR + a.Frequency * sF + a.Monetary * sM)) AS t FROM lab a JOIN st USING (k)),
+ab AS (SELECT k, customer_id, max(n) FILTER (WHERE label = other) AS n,
+  max(t / greatest(n - 1, 1)) FILTER (WHERE label = other) AS a, min(t / n) FILTER (WHERE label <> other) AS b FROM d GROUP BY 1, 2)
+SELECT k, avg(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0.0 END) AS silhouette FROM ab GROUP BY 1""",
+          {"silhouette": RATIO})
+def f10b(spark, sf):
+    return CM.squared_silhouette(stand_in(scaled(spark, sf)).transform(cut), RFM3, {k: f"label_k{k}" for k in KS})
 
 
 # -------------------------------------------------- monthly multivariate line

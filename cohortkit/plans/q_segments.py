@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortkit.operators import marts as H
+from cohortkit.operators import orders as A
 from cohortkit.operators import scores as S
+from cohortkit.operators.ordering import exact_quantiles
 from cohortkit.plans.flows import abc_method, rfm_quintiles
-from cohortkit.plans.q_base import MONEY, RATIO, RFM_SQL, ORDERS_SQL, orders_clean, rfm_base
+from cohortkit.plans.q_base import LRFM_SQL, MONEY, RATIO, RFM_SQL, ORDERS_SQL, orders_clean, rfm_base
 from cohortkit.plans.registry import register
 from cohortkit.plans.sqlfrag import rules_case, scored, with_code
+from cohortkit.session import cut
 
 SCORED_SQL = f"{RFM_SQL}, sc AS ({scored('rfm')}), coded AS ({with_code('sc')})"
 SEG_SQL = f"{SCORED_SQL}, seg AS (SELECT *, {rules_case('RFM_Score', S.SEGMENT_RULES)} AS segment FROM coded)"
@@ -270,16 +273,22 @@ def h19(spark, sf):
     return H.boxplot_stats(segmented(spark, sf), "Monetary")
 
 
-@register("s11_cluster_type", f"""{SEG_SQL.replace('WITH std', 'WITH std', 1)},
-lr AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id FROM orders LIMIT 0),
-prof AS (SELECT segment, avg(Recency) AS L, avg(Recency) AS R, avg(Monetary) AS M FROM seg GROUP BY 1),
-med AS (SELECT quantile_cont(Recency, 0.5) AS ml, quantile_cont(Recency, 0.5) AS mr, quantile_cont(Monetary, 0.5) AS mm FROM seg)
+@register("s11_cluster_type", f"""{LRFM_SQL}, g AS (SELECT CAST(customer_id AS BIGINT) % 8 AS segment, L, R, M FROM lrfm
+  UNION ALL SELECT 10 + CASE WHEN L < qL THEN 0 ELSE 1 END + 2 * CASE WHEN R < qR THEN 0 ELSE 1 END
+    + 4 * CASE WHEN M > qM THEN 1 ELSE 0 END, L, R, M FROM lrfm, (SELECT median(L) qL, median(R) qR, median(M) qM FROM lrfm)),
+prof AS (SELECT segment, avg(L) AS L, avg(R) AS R, avg(M) AS M FROM g GROUP BY 1),
+med AS (SELECT quantile_cont(L, 0.5) AS ml, quantile_cont(R, 0.5) AS mr, quantile_cont(M, 0.5) AS mm FROM lrfm)
 SELECT segment, L, R, M, CASE WHEN L < ml THEN CASE WHEN R < mr THEN 'CLIENTES NUEVOS ACTIVOS' ELSE 'CLIENTES NUEVOS INACTIVOS' END
   ELSE CASE WHEN R < mr THEN CASE WHEN M > mm THEN 'CLIENTES VIP/LEALES' ELSE 'CLIENTES LEALES' END
   ELSE 'CLIENTES EN RIESGO' END END AS cluster_type FROM prof, med""", {"L": RATIO, "R": RATIO, "M": RATIO})
 def s11(spark, sf):
-    seg = segmented(spark, sf).persist()  # read for the profile and the population
-    prof = seg.groupBy("segment").agg(F.avg("Recency").alias("L"), F.avg("Recency").alias("R"),
-                                      F.avg("Monetary").alias("M"))
-    pop = seg.select(F.col("Recency").alias("L"), F.col("Recency").alias("R"), F.col("Monetary").alias("M"))
-    return S.cluster_type(prof, pop)
+    """Groups by id, and groups by the side of each median, which reach all five names."""
+    lr = A.lrfm_static(orders_clean(spark, sf)).transform(cut)
+    med = exact_quantiles(lr, "L", [0.5], "l").crossJoin(exact_quantiles(lr, "R", [0.5], "r")).crossJoin(
+        exact_quantiles(lr, "M", [0.5], "m"))
+    side = (F.lit(10) + F.when(F.col("L") < F.col("l0"), 0).otherwise(1) + 2 * F.when(F.col("R") < F.col("r0"), 0).otherwise(1)
+            + 4 * F.when(F.col("M") > F.col("m0"), 1).otherwise(0))
+    g = lr.select((F.col("customer_id").cast("bigint") % 8).alias("segment"), "L", "R", "M").unionAll(
+        lr.crossJoin(F.broadcast(med)).select(side.cast("bigint").alias("segment"), "L", "R", "M"))  # one row of medians
+    prof = g.groupBy("segment").agg(*[F.avg(c).alias(c) for c in ("L", "R", "M")])
+    return S.cluster_type(prof, lr)

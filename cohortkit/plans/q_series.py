@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cohortkit.operators import orders as A
 from cohortkit.operators import series as T
-from cohortkit.plans.flows import prepare_orders
 from cohortkit.plans.q_base import LINE_MONEY, MONEY, RATIO, orders_clean
 from cohortkit.plans.registry import register
 from cohortkit.plans.sqlfrag import DIRTY, EVENTS, LINES, STD, agg_orders, days
@@ -126,7 +125,7 @@ def t9(spark, sf):
 # --------------------------------------------------------- calendar intervals
 
 EV_ORDERS = f"WITH {EVENTS}, o AS ({agg_orders('ev')})"
-CAL14 = f"""{EV_ORDERS}, bb AS (SELECT min(order_date) AS s, max(order_date) + INTERVAL 1 DAY AS e FROM o),
+CAL14 = f"""{EV_ORDERS}, bb AS (SELECT min(order_date) AS s, max(order_date) + INTERVAL 14 DAY AS e FROM o),
 ed AS (SELECT s + to_days(CAST(14 * k AS INTEGER)) AS edge FROM bb, range(0, 1000) t(k) WHERE s + to_days(CAST(14 * k AS INTEGER)) <= e),
 edges AS (SELECT CAST(row_number() OVER (ORDER BY edge) - 1 AS INTEGER) AS interval, edge AS lo,
           lead(edge) OVER (ORDER BY edge) AS hi FROM ed QUALIFY hi IS NOT NULL)"""
@@ -138,6 +137,22 @@ def t3(spark, sf):
     return T.calendar_edges(o, months=None, days=14)
 
 
+@register("t3c_assign_14d", f"""{EV_ORDERS}, bb AS (SELECT min(order_date) AS s FROM o),
+n AS (SELECT customer_id, order_id, s, CAST(datediff('microsecond', s, order_date) // 1209600000000 AS INTEGER) AS interval FROM o, bb)
+SELECT customer_id, order_id, interval, s + to_days((interval + 1) * 14) AS interval_end FROM n""")
+def t3c(spark, sf):
+    o = A.aggregate_orders(td.std_events(spark, sf))
+    return T.assign_day_interval(o, 14).select("customer_id", "order_id", "interval", "interval_end")
+
+
+@register("f2b_minmax_constant", f"""WITH {STD}, o AS ({agg_orders('std')}), x AS (
+  SELECT customer_id, sum(order_total) AS M, 7.0 AS c FROM o GROUP BY 1)
+SELECT customer_id, (M - min(M) OVER ()) / (max(M) OVER () - min(M) OVER ()) AS M, 0.5 AS c FROM x""", {"M": RATIO, "c": RATIO})
+def f2b(spark, sf):
+    per = orders_clean(spark, sf).groupBy("customer_id").agg(F.sum("order_total").alias("M")).withColumn("c", F.lit(7.0))
+    return T.minmax_scale(per, ["M", "c"], zero_range=0.5, fill_null=0.0, clip=True)
+
+
 CAL2M = f"""{STD}, o AS ({agg_orders('std')}), bb AS (SELECT min(order_date) AS s, max(order_date) + INTERVAL 1 DAY AS e FROM o),
 me AS (SELECT last_day(CAST(date_trunc('month', s) AS DATE) + to_months(CAST(k AS INTEGER))) + (s - date_trunc('day', s)) AS edge, s, e
        FROM bb, range(0, 2000) t(k)),
@@ -293,4 +308,3 @@ def t21(spark, sf):
     return T.churn_risk(n, stand_in_labels(n))
 
 
-del prepare_orders

@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.functions.core import nan_to_null
+
 RUN_COLUMNS = ["run_id", "run_timestamp", "method", "params"]
 
 
@@ -29,13 +31,15 @@ def read_csv(spark: SparkSession, path: str, schema=None, sep: str = ",") -> Dat
 
 def read_table(spark: SparkSession, name: str, fmt: str | None = None,
                options: dict | None = None) -> DataFrame:
-    """K2: whole table by (multi-part) name, from the catalog or a connector format."""
+    """K2: whole table by (multi-part) name, from the catalog or a connector format; an empty table is an error."""
     if not name or not name.strip():
         raise ValueError("table name is blank")
     if fmt:
         df = spark.read.format(fmt).options(**(options or {})).option("table", name).load()
     else:
         df = spark.table(name.strip())
+    if not df.take(1):
+        raise ValueError(f"no rows in {name}")
     return df
 
 
@@ -45,9 +49,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
-    """K5: first ``n`` rows, every column as text, nulls as ''."""
-    return df.limit(n).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-                                for c in df.columns])
+    """K5: first ``n`` rows, every column as text, nulls and NaN as ''."""
+    def text(name, kind):
+        value = nan_to_null(name) if kind in ("double", "float") else F.col(name)
+        return F.coalesce(value.cast("string"), F.lit("")).alias(name)
+
+    return df.limit(n).select(*[text(c, kind) for c, kind in df.dtypes])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -91,14 +98,40 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def latest_run(spark: SparkSession, path: str) -> DataFrame:
     """K9: rows of the newest run (run_timestamp = max).
 
-    The newest date partition is found first from partition values, so the
-    final scan prunes to one ``run_date`` folder.
+    Two steps: the newest ``run_date`` from partition values alone, then the
+    newest timestamp inside that folder; both scans of data prune to it.
     """
     hist = read_history(spark, path)
-    newest = hist.agg(F.max("run_date").alias("_d"), F.max("run_timestamp").alias("_t"))
-    return (hist.join(F.broadcast(newest),
-                      (F.col("run_date") == F.col("_d")) & (F.col("run_timestamp") == F.col("_t")))
-            .drop("_d", "_t", "run_date"))
+    day = hist.select("run_date").distinct().agg(F.max("run_date")).first()[0]
+    folder = hist.where(F.col("run_date") == F.lit(day))
+    newest = folder.agg(F.max("run_timestamp")).first()[0]
+    return folder.where(F.col("run_timestamp") == F.lit(newest).cast("timestamp_ntz")).drop("run_date")
+
+
+def create_latest_view(spark: SparkSession, path: str, view: str) -> DataFrame:
+    """K9 as a view that callers query by name; it is replaced at every call."""
+    rows = latest_run(spark, path)
+    rows.createOrReplaceTempView(view)
+    return spark.table(view)
+
+
+def append_history_table(df: DataFrame, table: str, meta: dict) -> str:
+    """K8 into a catalog table: created if absent, new columns are added to it first."""
+    spark = df.sparkSession
+    out = add_run_metadata(df, meta).withColumn("run_date", F.to_date("run_timestamp"))
+    if not spark.catalog.tableExists(table):
+        out.write.partitionBy("run_date").format("parquet").saveAsTable(table)
+        return table
+    have = {f.name for f in spark.table(table).schema}
+    new = [f for f in out.schema if f.name not in have]
+    if new:
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({cols})")
+    schema = spark.table(table).schema
+    aligned = out.select(*[(F.col(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                           for f in schema])
+    aligned.write.mode("append").insertInto(table)
+    return table
 
 
 _URI = re.compile(r"^([a-zA-Z][a-zA-Z0-9+.-]*:/.+|/.+)$")

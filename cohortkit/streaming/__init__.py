@@ -1 +1 @@
-"""Incremental intake of transaction files (the original has no streaming)."""
+"""No streaming operators: the reference work is batch only."""

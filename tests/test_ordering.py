@@ -1,5 +1,4 @@
-"""The range-partitioned ordering path (used above SINGLE_TASK_ROWS) must give
-the same answers as the single-task path and the DuckDB oracle."""
+"""Range-partitioned ordering against DuckDB, NumPy and plain sorting."""
 
 import numpy as np
 import pytest
@@ -10,14 +9,9 @@ from tests.conftest import SF001
 from tests.test_oracle import _rows
 
 
-@pytest.fixture
-def distributed(monkeypatch):
-    monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 0)
-
-
 @pytest.mark.parametrize("name", ["s2_rank_qcut_score", "s9_abc", "s8_rfm_quintile_segments", "h7_pareto_curve",
                                   "h19_boxplot_stats", "f4_winsorize_p99"])
-def test_distributed_path_matches_oracle(spark, distributed, name):
+def test_distributed_path_matches_oracle(spark, name):
     import duckdb
 
     from __spark_entry__ import oracle_sql, queries
@@ -31,25 +25,34 @@ def test_distributed_path_matches_oracle(spark, distributed, name):
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())
 
 
-def test_quantiles_both_paths_match_numpy(spark, monkeypatch):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.integers(0, 20, 300).astype(float), rng.random(200) * 50])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
     probs = [0.0, 0.02, 0.2, 0.5, 0.8, 0.99, 1.0]
     exp = np.quantile(vals, probs)
-    for limit in (0, 10_000):
-        monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", limit)
-        got = ordering.exact_quantiles(df, "x", probs).first()
-        assert [got[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
+    got = ordering.exact_quantiles(df, "x", probs).first()
+    assert [got[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
 
 
-def test_positions_and_prefix_sums_paths_agree(spark, monkeypatch):
+def test_positions_and_prefix_sums(spark):
     df = spark.range(0, 3000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v")).repartition(6)
-    out = {}
-    for limit in (0, 10_000):
-        monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", limit)
-        pos = ordering.global_positions(df, [F.col("v").asc(), F.col("k").asc()])
-        cum = ordering.prefix_sums(df, [F.col("v").desc(), F.col("k").asc()], {"c": F.col("v")})
-        out[limit] = (sorted((r.k, r.pos) for r in pos.collect()), sorted((r.k, r.c, r.pos) for r in cum.collect()))
-    assert out[0] == out[10_000]
-    assert sorted(p for _, p in out[0][0]) == list(range(1, 3001))
+    pos = ordering.global_positions(df, [F.col("v").asc(), F.col("k").asc()])
+    cum = ordering.prefix_sums(df, [F.col("v").desc(), F.col("k").asc()], {"c": F.col("v")})
+    rows = [(str(i), i % 7) for i in range(3000)]
+    up = {k: i + 1 for i, (k, v) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r.k: r.pos for r in pos.collect()} == up
+    total, want = 0, {}
+    for i, (k, v) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0]))):
+        total += v
+        want[k] = (total, i + 1)
+    assert {r.k: (r.c, r.pos) for r in cum.collect()} == want
+
+
+def test_no_single_task_window_over_customers(spark):
+    from __spark_entry__ import queries
+    df = queries()["s2_rank_qcut_score"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # only one-row aggregates and per-partition offsets may meet in one task
+    for part in plan.split("Exchange SinglePartition")[1:]:
+        assert "partial_" in part.split("\n")[1] or "HashAggregate" in part.split("\n")[1], part[:300]
