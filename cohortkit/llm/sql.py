@@ -33,4 +33,106 @@ FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END A
 JOIN sized s ON s.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES: dict[str, str] = {"op10_mixing": OP10}
+
+def _spans(kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one rule: the text split at the matches, lengths added up."""
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT rid, '{kind}' AS kind, s AS start, s + length(hit) AS stop FROM (
+  SELECT rid, unnest(h) AS hit, unnest(k) AS key, unnest(list_transform(range(1, len(h) + 1), lambda i:
+    coalesce(list_sum(list_transform(list_slice(p, 1, i), lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(list_slice(h, 1, i - 1), lambda x: length(x))), 0))) AS s
+  FROM (SELECT rid, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}', 0) AS h,
+               regexp_extract_all(t, '{pattern}', {group}) AS k FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE length(key) >= {least}"""
+
+
+_DOCS = "d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents)"
+
+OP1 = f"""
+WITH {_DOCS},
+f AS (
+{_spans('assign', r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8)}
+UNION ALL {_spans('access', '(AKIA[A-Z0-9]+)', 1, 16)}
+UNION ALL {_spans('hex', '([0-9a-f]+)', 1, 32)}
+UNION ALL {_spans('pem', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1, 1)}),
+r AS (SELECT *, CAST(s AS VARCHAR) AS _ FROM (SELECT rid, kind, start, stop, kind || ':' || start::BIGINT || ':' || stop::BIGINT AS s,
+  list_position(['assign', 'access', 'hex', 'pem'], kind) AS rank FROM f)),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+  count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(s, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base,
+  string_agg(s, ',' ORDER BY start, rank) AS spans FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+OP5 = rf"""
+WITH {_DOCS},
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+grams AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+twice AS (SELECT rid, g FROM grams GROUP BY 1, 2 HAVING count(*) > 1),
+inside AS (SELECT rid, count(DISTINCT i + j) AS n FROM grams JOIN twice USING (rid, g), range(0, 5) t(j) GROUP BY 1),
+stats AS (SELECT rid, doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN inside USING (rid)),
+marked AS (SELECT *, n_words < 10 AS few, 100 * n_repeat_words > 20 * n_words AS rep, 100 * n_symbols > 10 * word_chars AS sym,
+  n_dup_lines >= 3 AS dup FROM stats),
+host AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE bad) AS f FROM (
+  SELECT source, unnest(['few', 'rep', 'sym', 'dup']) AS rule, unnest([few, rep, sym, dup]) AS bad FROM marked) GROUP BY 1, 2),
+prior AS (SELECT rule, avg(f / n) AS m, var_samp(f / n) AS v FROM host GROUP BY 1),
+rates AS (SELECT source, max((f + m * wt) / (n + wt)) AS worst FROM (
+  SELECT host.*, m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 20.0 END AS wt FROM host JOIN prior USING (rule))
+  GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR rep AS base_failed,
+  NOT (few OR rep) AND worst <= 0.5 AS kept
+FROM marked JOIN rates ON marked.source IS NOT DISTINCT FROM rates.source
+"""
+
+OP7 = rf"""
+WITH {_DOCS},
+w AS (SELECT rid, doc_id, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+win AS (SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+first AS (SELECT g, min(doc_id) AS f FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT rid, i + j AS i FROM win JOIN first USING (g), range(0, 13) t(j) WHERE f < doc_id),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM (
+  SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w) ANTI JOIN gone USING (rid, i) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
+
+_ALNUM = r"""regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP8 = rf"""
+WITH {_DOCS},
+w AS (SELECT rid, doc_id, {_ALNUM.format('t')} AS w FROM d),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ALNUM.format("coalesce(text, '')")} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (
+  SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+dw AS (SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (
+  SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM iw))),
+hits AS (SELECT rid, n, i, item FROM dw JOIN iw USING (n, g)),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM hits, range(0, 10) t(j) WHERE j < n GROUP BY 1),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
+OP9 = rf"""
+WITH RECURSIVE {_DOCS},
+w AS (SELECT rid, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w
+  FROM d),
+sh AS (SELECT DISTINCT rid, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 2), ' ') END AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT rid, rid FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM w JOIN reach ON reach.a = w.rid JOIN d o ON o.rid = reach.b LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid, w.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": OP1, "op5_host_rules": OP5, "op7_substrings": OP7, "op8_winnowing": OP8, "op9_jaccard_join": OP9,
+    "op10_mixing": OP10}
