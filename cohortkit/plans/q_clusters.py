@@ -343,11 +343,11 @@ def f9b(spark, sf):
 
 
 @register("f10b_silhouette_squared", f"""{LAB_SQL},
-st AS (SELECT k, label, count(*) n, sum(Recency) sR, sum(Frequency) sF, sum(Monetary) sM,
+sst AS (SELECT k, label, count(*) n, sum(Recency) sR, sum(Frequency) sF, sum(Monetary) sM,
   sum(Recency * Recency + Frequency * Frequency + Monetary * Monetary) s2 FROM lab GROUP BY 1, 2),
-d AS (SELECT a.k, a.customer_id, a.label, st.label AS other, st.n,
-  greatest(0.0, st.n * (a.Recency * a.Recency + a.Frequency * a.Frequency + a.Monetary * a.Monetary) + st.s2
-    - 2 * (a.Recency * sR + a.Frequency * sF + a.Monetary * sM)) AS t FROM lab a JOIN st USING (k)),
+d AS (SELECT a.k, a.customer_id, a.label, sst.label AS other, sst.n,
+  greatest(0.0, sst.n * (a.Recency * a.Recency + a.Frequency * a.Frequency + a.Monetary * a.Monetary) + sst.s2
+    - 2 * (a.Recency * sR + a.Frequency * sF + a.Monetary * sM)) AS t FROM lab a JOIN sst USING (k)),
 ab AS (SELECT k, customer_id, max(n) FILTER (WHERE label = other) AS n,
   max(t / greatest(n - 1, 1)) FILTER (WHERE label = other) AS a, min(t / n) FILTER (WHERE label <> other) AS b FROM d GROUP BY 1, 2)
 SELECT k, avg(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0.0 END) AS silhouette FROM ab GROUP BY 1""",
