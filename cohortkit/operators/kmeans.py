@@ -11,6 +11,9 @@ squared-distance silhouette from one linear pass.  The Euclidean silhouette
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -56,6 +59,30 @@ def _kmeanspp(cand: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator)
     return np.array(centres)
 
 
+def candidates(data: DataFrame, feats: list[str], per_round: int, seed: int, rounds: int = 5) -> np.ndarray:
+    """k-means|| candidates: in each round a row joins with probability per_round * d2 / sum of d2.
+
+    d2 is the squared distance to the nearest candidate so far; the coin is a
+    seeded hash of the customer.  Some rounds * per_round rows reach the driver,
+    whatever the table holds.
+    """
+    name = F.col("customer_id").cast("string")
+    first = data.orderBy(F.xxhash64(F.lit(seed), name), "customer_id").limit(1).select(*feats).collect()
+    cand = np.array(first, dtype=float).reshape(-1, len(feats))
+    for r in range(rounds if len(cand) else 0):
+        far = reduce(F.least, [reduce(lambda a, b: a + b, [(F.col(f) - F.lit(float(x))) ** 2 for f, x in zip(feats, c)])
+                               for c in cand]) if len(cand) > 1 else reduce(
+            lambda a, b: a + b, [(F.col(f) - F.lit(float(x))) ** 2 for f, x in zip(feats, cand[0])])
+        total = data.agg(F.sum(far)).first()[0] or 0.0
+        if total <= 0:
+            break
+        coin = F.pmod(F.xxhash64(F.lit(seed + 1 + r), name), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        new = data.where(coin * F.lit(total) < F.lit(float(per_round)) * far).select(*feats).distinct().collect()
+        if new:
+            cand = np.concatenate([cand, np.array(sorted(tuple(x) for x in new), dtype=float)])
+    return cand
+
+
 def _stats_schema(d: int) -> str:
     return "m int, c int, n long, cost double, " + ", ".join(f"s{j} double" for j in range(d))
 
@@ -90,22 +117,21 @@ def _pass(data: DataFrame, feats: list[str], centres: list[np.ndarray]):
 
 
 def kmeans_batch(data: DataFrame, feats: list[str], ks: list[int], n_init: int = 10, seed: int = SEED,
-                 max_iter: int = 300, tol: float = 1e-4, n_candidates: int | None = None) -> list[dict]:
+                 max_iter: int = 300, tol: float = 1e-4) -> list[dict]:
     """F8 for many (k, seed) restarts at once: Lloyd iterations where every
     pass over the data updates all models (one job per iteration for the
     whole k range instead of one per model).
 
-    Seeding follows k-means||: a bounded candidate set (chosen by a seeded
-    hash, weighted by the points nearest to each candidate in one pass) is
-    seeded with k-means++ per restart.  Convergence as the common rule:
-    total squared centre shift <= tol * mean feature variance.
-    Returns one dict per restart: k, seed, centres, inertia, iterations.
+    Seeding is k-means||: rounds over all rows draw candidates by their
+    distance from those before (``candidates``), one pass weighs them by the
+    rows nearest to each, and every restart runs weighted k-means++ on them.
+    Convergence as the common rule: total squared centre shift <= tol * mean
+    feature variance; a restart that ``max_iter`` stops is reported.
+    Returns one dict per restart: k, seed, centres, inertia, iterations, converged.
     """
     var = data.agg(*[F.var_pop(c).alias(c) for c in feats]).first()
     tol_abs = tol * float(np.mean([var[c] or 0.0 for c in feats]))
-    n_cand = n_candidates or max(50 * max(ks), 2000)
-    cand = np.array(data.orderBy(F.xxhash64(F.lit(seed), F.col("customer_id").cast("string")), "customer_id")
-                    .limit(n_cand).select(*feats).collect(), dtype=float)
+    cand = candidates(data, feats, 2 * max(ks), seed)
     wrows = _pass(data, feats, [cand])
     w = np.zeros(len(cand))
     for r in wrows:
@@ -139,6 +165,9 @@ def kmeans_batch(data: DataFrame, feats: list[str], ks: list[int], n_init: int =
     rows = _pass(data, feats, [m["centres"] for m in models])
     for idx, m in enumerate(models):
         m["inertia"] = float(sum(r["cost"] for r in rows if r["m"] == idx))
+        m["converged"] = m["done"]
+    if not all(m["converged"] for m in models):
+        warnings.warn(f"K-Means: {sum(not m['converged'] for m in models)} restarts stopped at {max_iter} iterations", stacklevel=2)
     return models
 
 

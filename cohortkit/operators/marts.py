@@ -94,7 +94,7 @@ def scatter_sample(df: DataFrame, cols: list[str], seg: str = "segment", cap: in
     quota = add_scalars(counts, n).select(
         seg, F.when(F.col("_n") > cap, F.greatest(F.lit(1), F.floor(F.lit(cap) * F.col("_ns") / F.col("_n"))))
         .otherwise(F.col("_ns")).alias("_quota"))
-    h = df.select(*cols, F.xxhash64(F.lit(seed), "customer_id").alias("_h"))
+    h = df.select(*cols, F.md5(F.concat(F.lit(f"{seed}:"), F.col("customer_id").cast("string"))).alias("_h"))
     h = h.join(F.broadcast(quota), seg)  # one row per segment
     picked = top_n_per_group(h, [seg], [F.col("_h"), F.col("customer_id")], "_quota",
                              salt_key=["customer_id"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.functions.core import add_scalars, is_negative
-from cohortkit.operators.ordering import exact_quantiles
+from cohortkit.functions.core import is_negative
+from cohortkit.operators.ordering import exact_quantiles, grouped_exact_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -35,13 +37,13 @@ def quality_report(df: DataFrame) -> DataFrame:
     any_neg = F.lit(False)
     for c in nums:
         any_neg = any_neg | is_negative(c)
-    base = df.agg(F.count(F.lit(1)).alias("total_rows"),
-                  F.count(F.when(any_null, 1)).alias("null_rows"),
-                  F.count(F.when(any_neg, 1)).alias("negative_rows"))
-    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
-    return add_scalars(base, distinct).select("total_rows", "null_rows", "negative_rows",
-                                             "duplicate_rows")
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))  # one scan; all counts follow from it
+
+    def total(value):
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+    return rows.agg(total(F.col("_n")).alias("total_rows"), total(F.when(any_null, F.col("_n"))).alias("null_rows"),
+                    total(F.when(any_neg, F.col("_n"))).alias("negative_rows"), total(F.col("_n") - 1).alias("duplicate_rows"))
 
 
 def _per_column(df: DataFrame, cols: list[str], cond, name: str) -> DataFrame:
@@ -71,12 +73,15 @@ def negatives_by_column(df: DataFrame, keep_zero: bool = True) -> DataFrame:
 
 
 def cell_totals(df: DataFrame) -> DataFrame:
-    """Total null cells and total negative cells."""
-    n = nulls_by_column(df, keep_zero=True).agg(
-        F.coalesce(F.sum("nulls"), F.lit(0)).cast("bigint").alias("null_cells"))
-    g = negatives_by_column(df).agg(
-        F.coalesce(F.sum("negatives"), F.lit(0)).cast("bigint").alias("negative_cells"))
-    return n.crossJoin(g)
+    """Total null cells and total negative cells, in one aggregate."""
+    def flags(cols, cond):
+        return reduce(lambda a, b: a + b, [F.when(cond(c), 1).otherwise(0) for c in cols], F.lit(0))
+
+    def total(value, name):
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name)
+
+    return df.agg(total(flags(df.columns, lambda c: is_missing(df, c)), "null_cells"),
+                  total(flags(numeric_columns(df), is_negative), "negative_cells"))
 
 
 def column_info(df: DataFrame) -> DataFrame:
@@ -93,14 +98,14 @@ def validation_report(df: DataFrame, required: list[str] | None = None,
     for a required column with more than ``max_null_pct`` percent nulls."""
     required = set(required if required is not None else df.columns)
     distinct = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(*[distinct(F.col(c)).alias(f"_d_{i}") for i, c in enumerate(df.columns)])
-    stack = ", ".join(f"'{c}', _d_{i}" for i, c in enumerate(df.columns))
-    dist = wide.selectExpr(f"stack({len(df.columns)}, {stack}) as (column_name, distinct_values)")
-    req = df.sparkSession.createDataFrame([(c, c in required) for c in df.columns],
-                                          "column_name string, required boolean")
-    nulls = nulls_by_column(df, keep_zero=True)
-    return (nulls.join(dist, "column_name").join(F.broadcast(req), "column_name")
-            .select("column_name", "nulls", F.round("pct", 2).alias("pct_nulls"),
+    names = list(enumerate(df.columns))
+    wide = df.agg(F.count(F.lit(1)).alias("_total"), *[distinct(F.col(c)).alias(f"_d_{i}") for i, c in names],
+                  *[F.count(F.when(is_missing(df, c), 1)).alias(f"_c_{i}") for i, c in names])
+    stack = ", ".join(f"'{c}', _c_{i}, _d_{i}, {str(c in required).lower()}" for i, c in names)
+    long = wide.selectExpr("_total", f"stack({len(names)}, {stack}) as (column_name, nulls, distinct_values, required)")
+    pct = F.when(F.col("_total") > 0, F.col("nulls") * 100.0 / F.col("_total")).otherwise(0.0)
+    return (long.withColumn("pct", pct)
+            .select("column_name", F.col("nulls").cast("bigint").alias("nulls"), F.round("pct", 2).alias("pct_nulls"),
                     F.col("distinct_values").cast("bigint").alias("distinct_values"),
                     (F.col("required") & (F.col("pct") > max_null_pct)).alias("error")))
 
@@ -108,19 +113,20 @@ def validation_report(df: DataFrame, required: list[str] | None = None,
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per numeric column."""
     cols = cols or numeric_columns(df)
-    parts = []
-    for c in cols:
-        stats = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"),
-                       F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
-                       F.max(F.col(c).cast("double")).alias("max"))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], prefix="p")
-        parts.append(stats.crossJoin(q).select(
-            F.lit(c).alias("column_name"), "count", "mean", "std", "min",
-            F.col("p0").alias("p25"), F.col("p1").alias("p50"), F.col("p2").alias("p75"), "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    wide = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(c).alias(f"n_{i}"), F.avg(c).alias(f"a_{i}"), F.stddev_samp(c).alias(f"s_{i}"),
+        F.min(F.col(c).cast("double")).alias(f"l_{i}"), F.max(F.col(c).cast("double")).alias(f"h_{i}"))])
+    stats = wide.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(f"n_{i}").alias("count"), F.col(f"a_{i}").cast("double").alias("mean"),
+        F.col(f"s_{i}").alias("std"), F.col(f"l_{i}").alias("min"), F.col(f"h_{i}").alias("max"))
+        for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    # quartiles of all columns in one job over the long form
+    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column_name, value)")
+    q = grouped_exact_quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75], prefix="p")
+    return stats.join(q, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", F.col("p0").alias("p25"), F.col("p1").alias("p50"),
+        F.col("p2").alias("p75"), "max")
 
 
 def amount_stats(df: DataFrame, col: str = "order_total") -> DataFrame:
@@ -132,14 +138,16 @@ def amount_stats(df: DataFrame, col: str = "order_total") -> DataFrame:
 
 def severity_band(df: DataFrame, limit_pct: float = 10.0) -> DataFrame:
     """Per column, none / low (<= limit) / high (> limit) by max(nulls, negatives)."""
-    nulls = nulls_by_column(df, keep_zero=True).select("column_name", "nulls")
-    negs = negatives_by_column(df).select("column_name", "negatives")
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    j = add_scalars(nulls.join(negs, "column_name", "left").fillna(0, ["negatives"]), total)
+    nums = set(numeric_columns(df))
+    wide = df.agg(F.count(F.lit(1)).alias("_t"), *[x for i, c in enumerate(df.columns) for x in (
+        F.count(F.when(is_missing(df, c), 1)).alias(f"_c_{i}"),
+        (F.count(F.when(F.col(c) < 0, 1)) if c in nums else F.count(F.when(F.lit(False), 1))).alias(f"_g_{i}"))])
+    stack = ", ".join(f"'{c}', _c_{i}, _g_{i}" for i, c in enumerate(df.columns))
+    j = wide.selectExpr("_t", f"stack({len(df.columns)}, {stack}) as (column_name, nulls, negatives)")
     worst = F.greatest("nulls", "negatives")
-    return j.select("column_name", "nulls", F.col("negatives").cast("bigint").alias("negatives"),
+    return j.select("column_name", F.col("nulls").cast("bigint").alias("nulls"), F.col("negatives").cast("bigint").alias("negatives"),
                     F.when(worst == 0, "none")
-                    .when(worst * 100.0 / F.col("_t") > limit_pct, "high")
+                    .when(F.try_divide(worst * 100.0, F.col("_t")) > limit_pct, "high")
                     .otherwise("low").alias("band"))
 
 

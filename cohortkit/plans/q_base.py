@@ -604,6 +604,28 @@ def k1(spark, sf):
     return io.read_csv(spark, path)
 
 
+@register("k6_csv_round_trip", f"WITH {STD} SELECT * FROM std", {"order_total": MONEY})
+def k6(spark, sf):
+    """K6 then K1 with a declared schema."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    orders = td.std_orders(spark, sf)
+    return io.read_csv(spark, io.write_csv(orders, path), schema=orders.schema)
+
+
+@register("k8_history_new_column", RFM_SQL + """ SELECT customer_id, 'run-a' AS run_id, CAST(NULL AS INTEGER) AS extra FROM rfm
+  UNION ALL SELECT customer_id, 'run-b', 7 FROM rfm""")
+def k8(spark, sf):
+    """Two runs of one history; the second brings a new column."""
+    from datetime import datetime
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    r = rfm_base(spark, sf)
+    io.append_history(r, path, io.run_meta("rfm", {}, "run-a", datetime(2024, 5, 1, 10)))
+    io.append_history(r.withColumn("extra", F.lit(7)), path, io.run_meta("rfm", {}, "run-b", datetime(2024, 5, 2, 9)))
+    return io.read_history(spark, path).select("customer_id", "run_id", "extra")
+
+
 @register("k5_preview")
 def k5(spark, sf):
     return io.preview(td.raw_dirty_orders(spark, sf).orderBy("ord"), 10)
@@ -622,7 +644,9 @@ def k10(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("m3_auto_map")
+@register("m3_auto_map", """SELECT * FROM (VALUES ('customer_id', 'customer_id', 1.0::DOUBLE), ('order_id', 'order_number', 1.0),
+  ('order_date', 'created_at', 1.0), ('order_total', 'total_price', 1.0)) t(target, column_name, confidence)
+WHERE (SELECT count(*) FROM orders) > 0""", {"confidence": RATIO})
 def m3(spark, sf):
     o = td.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_number"),

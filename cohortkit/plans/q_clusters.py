@@ -323,7 +323,8 @@ def f21(spark, sf):
     return D.fuzzy_membership(pairs, e.select("id"), centers)
 
 
-@register("t22_sample_customers")
+@register("t22_sample_customers", f"{RFM_SQL} SELECT * FROM rfm ORDER BY md5('42:' || customer_id), customer_id LIMIT 100",
+          {"Monetary": MONEY})
 def t22(spark, sf):
     return D.sample_customers(rfm_base(spark, sf), 100)
 

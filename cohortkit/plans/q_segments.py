@@ -147,7 +147,11 @@ def h4(spark, sf):
     return H.score_means(segmented(spark, sf))
 
 
-@register("h5_scatter_sample")
+@register("h5_scatter_sample", f"""{SEG_SQL}, q AS (SELECT segment, count(*) AS ns, (SELECT count(*) FROM seg) AS n FROM seg GROUP BY 1),
+r AS (SELECT seg.*, ns, n, row_number() OVER (PARTITION BY seg.segment ORDER BY md5('42:' || customer_id), customer_id) AS r
+  FROM seg JOIN q USING (segment))
+SELECT customer_id, Recency, Frequency, Monetary, segment FROM r
+WHERE n <= 500 OR r <= greatest(1, floor(500 * ns / n))""", _R)
 def h5(spark, sf):
     return H.scatter_sample(segmented(spark, sf), ["customer_id", "Recency", "Frequency", "Monetary", "segment"],
                             cap=500)
