@@ -17,9 +17,13 @@ from cohortkit.operators.profile import is_missing, numeric_columns
 KEY_COLUMNS = ["customer_id", "order_id", "order_date", "order_total"]
 
 
-def dedup_raw(raw: DataFrame) -> DataFrame:
-    """Drop rows repeated over all raw columns (map before or after: row-wise)."""
-    return raw.dropDuplicates()
+def dedup_raw(raw: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Drop rows repeated over all raw columns.
+
+    Where the source declares a ``key`` that identifies a raw row, repeated
+    rows are those that share it, and other columns need not be read.
+    """
+    return raw.dropDuplicates(key) if key else raw.dropDuplicates()
 
 
 def dedup_mapped(df: DataFrame) -> DataFrame:
@@ -106,13 +110,13 @@ def clean(df: DataFrame, remove_nulls: bool = True, remove_negatives: bool = Tru
 
 
 def clean_raw(raw: DataFrame, mapping: dict, remove_nulls: bool = True, remove_negatives: bool = True,
-              remove_duplicates: bool = True, **mapping_options) -> DataFrame:
-    """C1 + M5 + C13: duplicates are whole *raw* rows.
+              remove_duplicates: bool = True, key: list[str] | None = None, **mapping_options) -> DataFrame:
+    """C1 + M5 + C13: duplicates are whole *raw* rows (or rows of one declared ``key``).
 
     Lines of one order that differ only in unmapped columns (two products of
     one price) are different sales; mapping first would merge them.
     """
-    rows = dedup_raw(raw) if remove_duplicates else raw
+    rows = dedup_raw(raw, key) if remove_duplicates else raw
     return clean(apply_mapping(rows, mapping, **mapping_options), remove_nulls, remove_negatives, remove_duplicates=False)
 
 

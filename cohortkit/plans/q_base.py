@@ -25,7 +25,7 @@ RATIO = 6
 
 def orders_clean(spark, sf):
     """Flagship input: orders mapped, cleaned (C13) and aggregated (A1)."""
-    return A.aggregate_orders(C.clean_raw(td.table(spark, sf, "orders"), td.ORDERS_MAPPING))
+    return A.aggregate_orders(C.clean_raw(td.table(spark, sf, "orders"), td.ORDERS_MAPPING, key=td.ORDERS_KEY))
 
 
 def rfm_base(spark, sf):

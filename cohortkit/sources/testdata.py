@@ -18,6 +18,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 ORDERS_MAPPING = {"customer_id": "o_custkey", "order_id": "o_orderkey",
                   "order_date": "o_orderdate", "order_total": "o_totalprice"}
+ORDERS_KEY = ["o_orderkey"]  # primary key of the raw table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
