@@ -65,3 +65,16 @@ def test_sources(spark, tmp_path):
     assert {r.run_id for r in rows} == {"r2"} and {r.extra for r in rows} == {7}
     plan = io.latest_run(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "run_date" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_history_table_takes_new_columns(spark):
+    from datetime import datetime
+    name = "history_of_runs_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df = spark.createDataFrame([(1, 2.0)], "a int, b double")
+    try:
+        io.append_history_table(df, name, io.run_meta("m", {}, "r1", datetime(2024, 1, 1, 5)))
+        io.append_history_table(df.withColumn("extra", F.lit(7)), name, io.run_meta("m", {}, "r2", datetime(2024, 1, 2, 5)))
+        assert sorted((r.run_id, r.extra) for r in spark.table(name).select("run_id", "extra").collect()) == [("r1", None), ("r2", 7)]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
