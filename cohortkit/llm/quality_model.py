@@ -31,7 +31,7 @@ from cohortkit.llm import kernels as K
 from cohortkit.llm.common import labelled_sample
 
 TRAIN_ROWS = 8_000    # bounds of the training sample
-TRAIN_BYTES = 24 << 20
+TRAIN_BYTES = 16 << 20
 DIM_BITS = 16
 STEPS = 150
 RATE = 0.2
@@ -97,9 +97,10 @@ def fit_ordinal(features: list[np.ndarray], n_words: list[int], grades: np.ndarr
     theta = np.maximum.accumulate(-np.log(seen / (1 - seen)) + 0.01 * np.arange(n_grades - 1))
     if not len(grades):
         return {"w": w, "theta": theta}
-    cols = np.concatenate(features) if features else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    value = (1.0 / np.maximum(n_words, 1))[row]
+    pairs = [np.unique(f, return_counts=True) for f in features]
+    cols = np.concatenate([c for c, _ in pairs])
+    row = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(c) for c, _ in pairs])
+    value = np.concatenate([k / max(n, 1) for (_, k), n in zip(pairs, n_words)])
     raw = np.concatenate([[theta[0]], np.log(np.expm1(np.maximum(np.diff(theta), 0.01)))])
     m, v, m2, v2 = np.zeros(dim), np.zeros(dim), np.zeros_like(raw), np.zeros_like(raw)
     at = np.arange(len(grades))
