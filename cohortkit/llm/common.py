@@ -28,17 +28,18 @@ def group_key(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), col.cast("string")))
 
 
-def join_by_key(rows: DataFrame, small: DataFrame, key: str, salts: int = 64) -> DataFrame:
+def join_by_key(rows: DataFrame, small: DataFrame, key: str, salts: int = 64, spread=None) -> DataFrame:
     """Inner join of ``rows`` with a per-group table holding one row per ``key``.
 
     ``small`` must be materialised.  It is counted: up to BROADCAST_ROWS rows
-    it is broadcast, beyond that both sides are salted, so that a key that
-    holds a third of all rows is spread over ``salts`` tasks.
+    it is broadcast, beyond that both sides are salted by the columns
+    ``spread`` (default: all), so that a key that holds a third of all rows is
+    spread over ``salts`` tasks.
     """
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), key)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return (rows.withColumn("_salt", F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(salts)).cast("int"))
             .join(salted, [key, "_salt"]).drop("_salt"))
 
 

@@ -84,11 +84,10 @@ def copies(rate: Column, toss: Column) -> Column:
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: every column of ``docs``, each document as often as its copies."""
-    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),  # kept apart from the columns below
+                       group_key(F.col("source")).alias("_key"), coin(F.col("doc_id"), F.col("text"), seed).alias("_coin"))
     sizes = docs.select("source", F.size(words(F.col("text"))).alias("size"))
-    targets = source_targets(sizes, weights, share, cap).select("_key", F.col("rate").alias("_rate")).transform(cut)
-    rows = docs.withColumn("_key", group_key(F.col("source")))
-    out = join_by_key(rows, targets, "_key")
-    n = copies(F.col("_rate"), coin(F.col("doc_id"), F.col("text"), seed)).cast("int")
-    return (out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n)))
-            .select(*[F.col(f"`{c}`") for c in names]))
+    targets = source_targets(sizes, weights, share, cap).select("_key", "rate").transform(cut)
+    n = copies(F.col("rate"), F.col("_coin")).cast("int")
+    return (join_by_key(rows, targets, "_key", spread=["_coin"])
+            .select("doc", F.explode(F.array_repeat(F.lit(1), n))).select("doc.*"))

@@ -91,5 +91,7 @@ def test_mixing(spark, odd_docs):
     assert mixed.count() == sum(r.copies for r in mixing.mix_plan(docs).collect())
     odd = mixing.mix_plan(odd_docs).collect()
     assert len(odd) == odd_docs.count() and all(r.copies <= 2 for r in odd)
-    assert mixing.mix_sources(odd_docs).columns == odd_docs.columns
+    mixed = mixing.mix_sources(odd_docs)
+    assert mixed.columns == odd_docs.columns
+    assert mixed.select("_key", "_salt", "size").distinct().collect() == odd_docs.select("_key", "_salt", "size").distinct().collect()
     assert mixing.mix_plan(odd_docs.limit(0)).count() == 0 and mixing.mix_sources(odd_docs.limit(0)).count() == 0
