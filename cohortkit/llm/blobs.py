@@ -18,6 +18,20 @@ HASH_SCHEMA = "bucket int, part bigint, n bigint, data binary"
 ANSWER_ROWS = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 ANSWER_SCHEMA = "part bigint, bucket int, data binary"
 
+SIDE_BYTES = 8 << 20        # text behind a part or a bucket, while that keeps blobs full
+MOST_SIDE_BYTES = 64 << 20  # bounds the memory of a task (about 1 GB)
+BLOB_HASHES = 64            # hashes a blob should hold
+
+
+def side_bytes(size: int) -> int:
+    """Text bytes per part and per bucket for a corpus of ``size`` bytes.
+
+    Each part sends each bucket one blob, so a blob holds about
+    side**2 / (7 size) hashes.  The side grows with the root of the corpus
+    (from some 160 GB on) so that blobs do not shrink to single hashes.
+    """
+    return min(MOST_SIDE_BYTES, max(SIDE_BYTES, int((7 * BLOB_HASHES * size) ** 0.5)))
+
 
 def encode(values: np.ndarray) -> bytes:
     """Sorted uint64 values as byte planes of their differences."""

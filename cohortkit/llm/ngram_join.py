@@ -51,8 +51,6 @@ PERCENT = 90             # Jaccard similarity in percent
 COMBINE = 2              # tokens in a combination
 FREQUENT = 7             # tokens in 2**7 distinct texts or more are frequent
 GROUP = 128              # index entries up to this size emit all their pairs
-PART_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
 
 _SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary"
 _CANDIDATES = "digest binary, n bigint, shared bigint, entries array<bigint>, tokens binary"
@@ -151,9 +149,10 @@ def index_entries(tokens: np.ndarray, classes: np.ndarray, percent: int, combine
     return (entries if len(entries) else None), shared
 
 
-def candidates(docs: DataFrame, k: int, percent: int, part_bytes: int, bucket_bytes: int) -> DataFrame:
+def candidates(docs: DataFrame, k: int, percent: int, part_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Distinct texts that may have a partner: digest, n, shared, index entries, shingle set."""
     size = text_bytes(docs)
+    part_bytes, bucket_bytes = part_bytes or B.side_bytes(size), bucket_bytes or B.side_bytes(size)
     n_parts, n_buckets = max(1, -(-size // part_bytes)), max(1, -(-size // (4 * bucket_bytes)))
     # frequencies are counted per slot, a hash prefix with room for 64 slots per token
     bits = min(64, max(32, int(size).bit_length() + 6))
@@ -267,10 +266,11 @@ def links(sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, group: int = GROUP,
-                    part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                    part_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Per document: doc_id, text_hash, n_shingles, component_id, digest (of its shingle set).
 
     ``component_id`` is the smallest doc_id reachable over links.
+    ``part_bytes`` and ``bucket_bytes`` are as in ``blobs.side_bytes``, the default.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     each = document_sets(rows, k).transform(cut)

@@ -34,8 +34,6 @@ from cohortkit.llm import blobs as B
 from cohortkit.llm import kernels as K
 
 WINDOW = 13
-PART_BYTES = 8 << 20     # text per part
-BUCKET_BYTES = 8 << 20   # hash blobs per bucket
 SLICES = 64              # doc_id quantiles; parts divide the slices evenly
 
 RESULT = "doc_id bigint, n_words bigint, spans array<struct<a:bigint,b:bigint>>, kept_sha256 string, kept string"
@@ -95,13 +93,17 @@ def _results(ids, texts, woff, hit, with_text: bool) -> pa.Table:
                                  pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], schema=_ROWS)
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False, part_bytes: int = PART_BYTES,
-                     bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, removed word intervals ``spans``, kept_sha256 and (on request) the kept text."""
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False, part_bytes: int | None = None,
+                     bucket_bytes: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, removed word intervals ``spans``, kept_sha256 and (on request) the kept text.
+
+    ``part_bytes`` and ``bucket_bytes`` are the text behind a part and a bucket (default: ``blobs.side_bytes``).
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     quantiles = [i / SLICES for i in range(SLICES + 1)]
     size, cuts = rows.agg(F.sum(F.octet_length("text")), F.approx_percentile("doc_id", quantiles, 10_000)).first()
     size = size or 0
+    part_bytes, bucket_bytes = part_bytes or B.side_bytes(size), bucket_bytes or B.side_bytes(size)
 
     def plain(batches):
         for batch in batches:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from cohortkit.llm import blobs as B
 from cohortkit.llm import ngram_join, substrings
 from tests.llm import brute
 from tests.llm.conftest import SF001, read
@@ -60,6 +61,11 @@ def test_lower_similarity(spark, monkeypatch):
     assert got == sorted(brute.components(rows, 50), key=repr)
 
 
+def test_side_grows_with_the_corpus_and_is_bounded():
+    sides = [B.side_bytes(s) for s in (0, 30 << 30, 1 << 40, 100 << 40)]
+    assert sides[0] == sides[1] == B.SIDE_BYTES < sides[2] < sides[3] == B.MOST_SIDE_BYTES
+
+
 def test_one_of_each(spark, odd_docs):
     left = ngram_join.one_of_each(odd_docs)
     assert left.columns == odd_docs.columns
