@@ -21,8 +21,8 @@ the frequency class (power of two) of each of their tokens.
 Exact copies (equal shingle sets) are one node of the join.  An index entry
 of at most ``GROUP`` nodes emits its pairs, once each.  A larger one first
 links all members to its most central member; only members that stay in
-another component are compared with the rest, and only where sizes and the
-number of shared tokens still allow a link.  Components come from star
+another component are compared with the rest, size band by size band, and only
+where sizes and the number of shared tokens still allow a link.  Components come from star
 steps over the verified links.
 
 Edge cases: null texts and texts without words have the empty set and link
@@ -35,6 +35,7 @@ id); an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +210,11 @@ def _may_link(percent: int):
     return (F.lit(100 + percent) * F.least("shared_a", "shared_b") >= need)
 
 
+def _band(n, percent: int):
+    """Size band: sizes of a linked pair differ by at most the factor 100 / percent, so by at most one band."""
+    return F.floor(F.log(n) / F.lit(math.log(100 / percent) + 1e-6)).cast("long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     def run(batches):
@@ -257,10 +263,11 @@ def links(sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFr
     placed = placed.join(main.where("comps > 1"), "entry").transform(cut)
     stray = placed.where("component != main").select(
         "entry", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"),
-        F.col("component").alias("component_a"))
+        F.col("component").alias("component_a"), _band(F.col("n"), percent).alias("band"))
     other = placed.select("entry", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"),
-                          F.col("component").alias("component_b"))
-    rest = (stray.join(other, "entry").where((F.col("component_a") != F.col("component_b")) & _may_link(percent))
+                          F.col("component").alias("component_b"), F.explode(F.transform(
+                              F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: _band(F.col("n"), percent) + d)).alias("band"))
+    rest = (stray.join(other, ["entry", "band"]).where((F.col("component_a") != F.col("component_b")) & _may_link(percent))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return found.unionAll(verify(rest, sets, percent)).transform(cut)
 
