@@ -132,7 +132,7 @@ def match_block(h: np.ndarray, woff: np.ndarray, block: Block, window: int = WIN
             at = at[np.isin(grams[at], block.fps)]
             # extend: all windows that hold the fingerprint and stay in its document
             starts = (at[:, None] - np.arange(window - gram + 1)[None, :]).ravel()
-            starts = np.unique(starts[(starts >= 0) & (starts <= n - window)])
+            starts = K.distinct(starts[(starts >= 0) & (starts <= n - window)])
             starts = starts[K.window_valid(woff, n, window)[starts]]
             if len(starts):
                 hashes = K.window_hashes(h, window).view(np.int64)[starts]

@@ -66,7 +66,7 @@ def shingle_sets(texts, k: int):
         for d in range(j - i):
             a, b = int(woff[d]), int(woff[d + 1])
             if b - a >= k:
-                yield np.unique(grams[a:b - k + 1])
+                yield K.distinct(grams[a:b - k + 1])
             elif b > a:  # fewer words: the whole sequence, told apart from longer shingles by its length
                 yield K.mix(K.window_hashes(h[a:b], b - a) + np.uint64(b - a))
             else:
@@ -146,25 +146,25 @@ def index_entries(tokens: np.ndarray, classes: np.ndarray, percent: int, combine
     often = np.sort(tokens[wide[classes[wide] >= frequent]])
     for group in combinations_of(often, combine):
         entries.append(group)
-    entries = np.unique(np.concatenate(entries))
+    entries = K.distinct(np.concatenate(entries))
     return (entries if len(entries) else None), shared
 
 
 def candidates(docs: DataFrame, k: int, percent: int, part_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Distinct texts that may have a partner: digest, n, shared, index entries, shingle set."""
     size = text_bytes(docs)
-    part_bytes, bucket_bytes = part_bytes or B.side_bytes(size), bucket_bytes or B.side_bytes(size)
+    # a part keeps its shingle sets beside the texts, so it is half a side; buckets stand for four sides
+    part_bytes, bucket_bytes = part_bytes or B.side_bytes(size) // 2, bucket_bytes or B.side_bytes(size)
     n_parts, n_buckets = max(1, -(-size // part_bytes)), max(1, -(-size // (4 * bucket_bytes)))
     # frequencies are counted per slot, a hash prefix with room for 64 slots per token
     bits = min(64, max(32, int(size).bit_length() + 6))
     texts = distinct_texts(docs, n_parts, k)
 
-    def slots_of(table):
-        sets = list(shingle_sets(table.column("text"), k))
-        return sets, [np.unique(s >> np.uint64(64 - bits)) for s in sets]
+    def slots_of(tokens):
+        return K.distinct(tokens >> np.uint64(64 - bits), is_sorted=True)
 
     def send(key, table):
-        _, slots = slots_of(table)
+        slots = [slots_of(s) for s in shingle_sets(table.column("text"), k)]
         values, counts = np.unique(np.concatenate(slots), return_counts=True)
         return B.hash_rows(key[0].as_py(), values, n_buckets, bits, np.minimum(counts, 255).astype(np.uint8))
 
@@ -178,8 +178,8 @@ def candidates(docs: DataFrame, k: int, percent: int, part_bytes: int | None = N
         return B.answers(parts, key[0].as_py(), [cls[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])])
 
     def finish(key, left, right):
-        sets, slots = slots_of(left)
-        values = np.unique(np.concatenate(slots))
+        sets = list(shingle_sets(left.column("text"), k))
+        values = K.distinct(np.concatenate([slots_of(s) for s in sets]))
         classes = np.zeros(len(values), np.uint8)
         edges = B.bucket_edges(values, n_buckets, bits)
         for b, data in zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()):

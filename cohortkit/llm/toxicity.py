@@ -108,7 +108,7 @@ def token_labels(feats, doc, toxic, n_docs) -> np.ndarray:
     n_toxic = max(1, int(toxic.sum()))
     label = np.zeros(len(feats), dtype=bool)
     for c in range(feats.shape[1]):
-        pairs = np.unique(doc.astype(np.int64) * dim + feats[:, c])
+        pairs = K.distinct(doc.astype(np.int64) * dim + feats[:, c])
         is_toxic = toxic[pairs // dim]
         a = np.bincount(pairs[is_toxic] % dim, minlength=dim)
         b = np.bincount(pairs[~is_toxic] % dim, minlength=dim)
