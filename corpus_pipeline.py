@@ -5,7 +5,7 @@ the columns of ``documents``; the last one returns the mix, in which a document
 occurs as often as its source's repetition rate asks for.
 
 1. quality: rejects documents whose probability of being graded 1 or better is under one half
-2. near_duplicates: one document of each component of near copies stays
+2. near_duplicates: one document of each component of near copies (five-word shingles, 0.8) stays
 3. decontaminate: drops documents that hold a benchmark window
 4. secrets: replaces every secret span by the name of its rule
 5. mix: repeats or thins documents to their source's target weight
@@ -27,6 +27,10 @@ from cohortkit.llm.common import ensure_checkpoint_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+# Near copies: shingles of five words, similarity from 0.8 (3 and 90 % are the contract of operator 9 alone).
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_model.fit(docs, quality_model.graded(table(spark, sf_dir, "labels")), n_grades=3)
@@ -35,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs.select(*COLUMNS))
+    return ngram_join.one_of_each(docs.select(*COLUMNS), k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
