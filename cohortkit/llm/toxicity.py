@@ -13,7 +13,9 @@ many chains at once.  Fitting uses at most ``TRAIN_ROWS`` labelled documents
 inside one task; scoring is a narrow pass.
 
 Edge cases: null and empty texts have no tokens and get the curve's score of
-no toxic mass; null labels and labels without a document are ignored; without
+no toxic mass; null labels and labels without a document are ignored; labelled
+texts over ``common.LONGEST_TEXT`` bytes are scored but not fitted, and labels
+that leave only such texts are refused; without
 both labels in the sample all scores are the share of toxic labels; rows
 without ``doc_id`` count as not held out; an empty table gives an empty result.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm import kernels as K
-from cohortkit.llm.common import labelled_sample
+from cohortkit.llm.common import labelled_sample, refuse_long_labels
 
 TRAIN_ROWS = 12_000   # bounds of the training sample
 TRAIN_BYTES = 24 << 20
@@ -201,10 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed:
             model = fit_texts(table.column("text").combine_chunks(), toxic)
         else:
             model = fit_texts(pa.array([], pa.string()), np.zeros(0, dtype=bool))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        n = sum(b.num_rows for b in some)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary()), pa.array([n], pa.int64())],
+                                         names=["model", "n"])
 
     # the sample is bounded in rows and bytes, so one task can hold it
-    made = sample.repartition(1).mapInArrow(train, "model binary").first()
+    made = sample.repartition(1).mapInArrow(train, "model binary, n bigint").first()
+    if not made or not made.n:
+        refuse_long_labels(docs, labels, keep, train_rows, seed)
     return pickle.loads(made[0]) if made else fit_texts(pa.array([], pa.string()), np.zeros(0, dtype=bool))
 
 
