@@ -35,13 +35,26 @@ def _either_case(word: str) -> str:
 
 _NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 
+# A PEM private key goes from its BEGIN line to the END line of the same label, if that is the next BEGIN or END;
+# else over the key headers and base64 lines that follow (indented, quoted or with escaped line ends).  Groups
+# are repeated possessively, which Java matches in a loop, so long texts need no deep stack.
+_BASE64 = r"[A-Za-z0-9+/]"
+_BREAK = r"""(?:[\x20\t"',;+]*+(?:\r\n?|\n|\\[rn]))"""
+_LINE_END = r"""(?=[\x20\t"',;+]*+(?:[\r\n]|\\[rn]|$))"""
+_KEY_LINE = (rf"""{_BREAK}*+[\x20\t>#*"']*+(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):\x20[^\r\n\\]*+"""
+             rf"|{_BASE64}{{32,}}+={{0,2}}|{_BASE64}{{16,}}+={{0,2}}{_LINE_END})")
+_LAST_LINE = rf"""{_BREAK}[\x20\t>#*"']*+{_BASE64}{{1,15}}+={{0,2}}{_LINE_END}"""
+_PEM = (r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY((?: BLOCK)?)-----"
+        r"(?:(?>[\s\S]*?(?=-----(?:BEGIN|END) ))-----END \1PRIVATE KEY\2-----"
+        rf"|(?:(?:{_KEY_LINE})++(?:{_LAST_LINE})?+)?+)")
+
 # The first three rules and their order.
 RULES = (
     Rule("assign", 1, rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16),
     # runs of one class: asking for 32 at once finds the same runs as filtering afterwards
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", 2, _PEM, 0, 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
