@@ -2,12 +2,12 @@
 
 Markup is stripped into lines, one per block element; scripts, styles,
 comments and navigation, advert, form and reader-comment containers leave
-empty lines.  The text lengths of ``WINDOW`` consecutive lines are summed; a
+nothing.  The text lengths of ``WINDOW`` consecutive lines are summed; a
 surge is a line where the sum leaves zero, the dive is where it falls back,
 and the text between them is a region.  With an ``article`` (or ``main``)
-element the regions inside it are the main text; otherwise link lists count
-as empty and the region with most text is kept, with those that hold at least
-``SHARE`` of its length.
+element the tags decide: all text inside it is main text.  Otherwise lines
+that are mostly links count as empty, and all regions are kept: link lists of
+``WINDOW`` lines and more, or at either end of the page, are what is dropped.
 
 Edge cases: null and empty pages give an empty text; unclosed or cut-off
 markup ends with the page; repeated pages and null urls keep a row each; an
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-SHARE = 0.3
 
 # Elements by the way they are treated.
 RAW = frozenset("script style title textarea noscript template xmp iframe".split())
@@ -124,7 +123,6 @@ def page_lines(page: str):
                     depth += -1 if closing else (0 if name in VOID or attrs.endswith("/") else 1)
                     if depth == 0:
                         skip = ""
-                        gap()
                 continue
         if name == "a":
             anchor = 0 if closing else 1
@@ -140,7 +138,6 @@ def page_lines(page: str):
             gap()
         elif not closing and _is_boilerplate(name, attrs, article > 0) and name not in VOID:
             flush()
-            gap()
             skip, depth, skip_in_article = name, 1, article > 0
     flush()
     return lines, seen_article
@@ -170,14 +167,9 @@ def main_text(page: str | None) -> str:
     lines, has_article = page_lines(page)
     if has_article:
         weights = [len(t) if inside else 0 for t, _, inside in lines]
-        keep = regions(weights)
     else:
         weights = [0 if 2 * links > len(t) else len(t) for t, links, _ in lines]
-        found = regions(weights)
-        size = {r: sum(weights[r[0]:r[1]]) for r in found}
-        best = max(size.values(), default=0)
-        keep = [r for r in found if size[r] >= SHARE * best]
-    return "\n".join(lines[i][0] for a, b in keep for i in range(a, b) if lines[i][0])
+    return "\n".join(lines[i][0] for a, b in regions(weights) for i in range(a, b) if lines[i][0])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
