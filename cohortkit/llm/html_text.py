@@ -17,6 +17,7 @@ the largest page of a batch.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -35,42 +36,148 @@ BLOCKS = frozenset(
     "summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROOTS = frozenset("html body article main".split())
-# Words in a class, id or role that name a container which is not the article.
+# Words that name a container which is not the article.  A class, id or role counts when it consists of such
+# words, alone or with the layout words below (cookie-notice, related-posts; not related-work).
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary "
     "consent contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter "
     "notice notices pager pagination popup promo promoted promotion related reply replies search share sharing "
     "sidebar sidebars social sponsor sponsored subscribe toolbar widget widgets".split())
+LAYOUT_NAMES = frozenset(
+    "a area articles bar bottom box btn button buttons card cards container content default div fixed form global "
+    "google group icons inline inner item items large left link links list main media mobile outer overlay page panel "
+    "posts primary right row secondary section sidebar signup site slot small stories sticky template thread top "
+    "unit wrap wrapper".split())
+# Of these names, the ones that make an article element a reader comment, teaser or advert.
+ARTICLE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments promo promoted promotion related reply replies "
+    "sponsor sponsored".split())
+# Section ids are link targets of the text, but for these.
+SECTION_IDS = frozenset("comments disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def _named(value: str, names: frozenset) -> bool:
+    words = [w for w in re.split(r"[^a-z]+", value) if w]
+    return not names.isdisjoint(words) and all(w in names or w in LAYOUT_NAMES for w in words)
+
+
 def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     if name in BOILERPLATE:
         return not (name == "header" and in_article)
-    if name in ROOTS or not attrs:
+    if name in ROOTS and name != "article" or not attrs:
         return False
-    for _, a, b, c in _ATTR.findall(attrs):
-        if not BOILERPLATE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", (a or b or c).lower())):
+    names = ARTICLE_NAMES if name == "article" else BOILERPLATE_NAMES
+    if in_article:
+        names = names - {"header"}
+    for key, a, b, c in _ATTR.findall(attrs):
+        value, key = (a or b or c).lower(), key.lower()
+        if key != "id":
+            found = any(_named(v, names) for v in value.split())
+        elif name in HEADINGS or name not in BLOCKS:  # a link target
+            found = False
+        elif name == "section" and in_article:
+            found = _named(value, SECTION_IDS)
+        else:
+            found = _named(value, names)
+        if found:
             return True
-    return bool(_HIDDEN.search(attrs))
+    return name not in ROOTS and bool(_HIDDEN.search(attrs))
+
+
+def page_tags(page: str):
+    """Tags as (start, end, closing?, name, attributes); comments and raw elements have the name None."""
+    out, at, low, n = [], 0, None, len(page)
+    while m := _TAG.search(page, at):
+        start, at = m.span()
+        closing, name, attrs = m.group(1) or m.group(4), m.group(2) or m.group(5), m.group(3) or m.group(6) or ""
+        name = name and name.lower()
+        if name in RAW and not closing:
+            if not attrs.rstrip().endswith("/"):
+                low = page.lower() if low is None else low
+                # lower() may change lengths outside ASCII; search the page itself then
+                end = (low.find(f"</{name}", at) if len(low) == n else
+                       next((x.start() for x in re.compile(rf"</{name}", re.I).finditer(page, at)), -1))
+                at = n if end < 0 else end
+            name = None
+        out.append((start, at, bool(closing), name, attrs))
+    return out
+
+
+def _is_empty(name: str, attrs: str) -> bool:
+    return name in VOID or attrs == "/" or (attrs[-1:] == "/" and (attrs[-2].isspace() or attrs[-2] in "\"'"))
+
+
+def element_ends(tags):
+    """Per opening tag: the tag that ends its element, and whether the element was closed.
+
+    A closing tag ends the nearest open element of its name; elements opened
+    inside that one were never closed and end there too, as all do at the end
+    of the page.  A block ends an open p, and an li the one before it.
+    """
+    ends, closed = [len(tags)] * len(tags), [False] * len(tags)
+    stack, by_name, lists = [], {}, []  # open elements, their places by name, places of lists and items
+
+    def pop_to(depth, at):
+        while len(stack) > depth:
+            i = stack.pop()
+            name = tags[i][3]
+            by_name[name].pop()
+            if lists and lists[-1] == len(stack):
+                lists.pop()
+            ends[i] = at
+
+    for i, (_, _, closing, name, attrs) in enumerate(tags):
+        if name is None:
+            continue
+        if closing:
+            if by_name.get(name):
+                depth = by_name[name][-1]
+                closed[stack[depth]] = True
+                pop_to(depth, i)
+            continue
+        if name in BLOCKS and by_name.get("p"):
+            depth = by_name["p"][-1]
+            closed[stack[depth]] = True
+            pop_to(depth, i)
+        if name == "li" and lists and tags[stack[lists[-1]]][3] == "li":
+            closed[stack[lists[-1]]] = True
+            pop_to(lists[-1], i)
+        if _is_empty(name, attrs):
+            ends[i], closed[i] = i, True
+            continue
+        by_name.setdefault(name, []).append(len(stack))
+        if name in ("ul", "ol", "menu", "dir", "li"):
+            lists.append(len(stack))
+        stack.append(i)
+    return ends, closed
 
 
 def page_lines(page: str):
-    """Lines of a page as (text, link characters, inside the article?); empty texts are gaps."""
+    """Lines of a page as (text, link characters, inside the article?); empty texts are gaps.
+
+    A boilerplate container is skipped to its end, with all articles inside;
+    one that was never closed ends at the next article, and a container or
+    form around the main element (a form around an article) at that element.
+    """
     lines, buf, links = [], [], 0
     article = 0          # open article or main elements
-    skip, depth = "", 0  # the boilerplate container that is open, and how often it is nested
-    skip_in_article = False
     anchor = 0
     seen_article = False
-    at, low = 0, None
+    tags = page_tags(page)
+    ends, closed = element_ends(tags)
+    # starts of main texts, for containers that are never closed or lie around them
+    mains = [i for i, t in enumerate(tags) if t[3] == "main" and not t[2]]
+    texts = [i for i, t in enumerate(tags)
+             if t[3] in ("article", "main") and not t[2] and not _is_boilerplate(t[3], t[4], False)]
 
     def flush():
         nonlocal links
@@ -85,45 +192,30 @@ def page_lines(page: str):
 
     def text(part):
         nonlocal links
-        if part and not skip:
+        if part:
             buf.append(part)
             if anchor:
                 links += len(part)
 
-    n = len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at:m.start()])
-        at = m.end()
-        closing, name, attrs = m.group(1) or m.group(4), m.group(2) or m.group(5), m.group(3) or m.group(6) or ""
+    def skip(i):
+        """Where to go on after the container that tag ``i`` opens: the next tag and the place in the page."""
+        end = ends[i]
+        inner = mains if closed[i] and tags[i][3] != "form" else texts
+        k = bisect.bisect_right(inner, i)
+        if not article and k < len(inner) and inner[k] < end:
+            end = inner[k]
+        elif end == i or (end < len(tags) and closed[i] and tags[end][2]):  # its own tag is the last one
+            return end + 1, tags[end][1]
+        return end, tags[end][0] if end < len(tags) else len(page)
+
+    i, at = 0, 0
+    while i < len(tags):
+        start, end, closing, name, attrs = tags[i]
+        text(page[at:start])
+        at = end
+        i += 1
         if name is None:
             continue
-        name = name.lower()
-        if not closing and name in RAW:
-            if attrs.rstrip().endswith("/"):
-                continue
-            low = page.lower() if low is None else low
-            # lower() may change lengths outside ASCII; search the page itself then
-            end = (low.find(f"</{name}", at) if len(low) == n else
-                   next((x.start() for x in re.compile(rf"</{name}", re.I).finditer(page, at)), -1))
-            at = n if end < 0 else end
-            continue
-        if skip:
-            if name in ("article", "main") and not closing and not skip_in_article:
-                skip = ""  # the container was never closed
-            elif name in ("body", "html") and closing or (name in ("article", "main") and closing and skip_in_article):
-                skip = ""
-            elif skip in ("p", "li") and not closing and name in BLOCKS and (skip == "p" or name == "li"):
-                skip = ""
-            else:
-                if name == skip:
-                    depth += -1 if closing else (0 if name in VOID or attrs.endswith("/") else 1)
-                    if depth == 0:
-                        skip = ""
-                continue
         if name == "a":
             anchor = 0 if closing else 1
         if name in BLOCKS:
@@ -131,14 +223,15 @@ def page_lines(page: str):
             anchor = 0
         elif name in ("br", "td", "th", "img"):
             buf.append(" ")
-        if name in ("article", "main"):
+        if not closing and name not in VOID and _is_boilerplate(name, attrs, article > 0):
+            flush()
+            i, at = skip(i - 1)
+        elif name in ("article", "main"):
             gap()
             article = max(0, article + (-1 if closing else 1))
             seen_article |= not closing
             gap()
-        elif not closing and _is_boilerplate(name, attrs, article > 0) and name not in VOID:
-            flush()
-            skip, depth, skip_in_article = name, 1, article > 0
+    text(page[at:])
     flush()
     return lines, seen_article
 
