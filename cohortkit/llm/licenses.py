@@ -4,7 +4,8 @@ Texts become lower-cased words of letters and digits, and 3-word shingles.
 Windows of ``SPAN`` words start every ``STRIDE`` words, so any run of
 SPAN - STRIDE + 1 words lies whole inside a window.  A window's signature is
 the minimum of its shingle hashes under ``BANDS`` seeded permutations, one
-row per band; a template has a signature for its window at every word.  At a
+row per band; a template has a signature for its window at every word.  Words
+that a template holds in braces (versions) must stand in the text unchanged.  At a
 window similarity of 0.5, the least a five-word notice reaches, 16 bands of
 one row collide with probability 1 - 0.5**16 > 0.9999.
 
@@ -33,24 +34,69 @@ BANDS = 16
 CONTAIN = 0.8
 MAX_SHINGLES = 50_000  # bound of the template table, which plans carry as literals
 
-# Notices and opening clauses of public licenses.
+# Notices and clauses of public licenses, several per license.  Words in braces must stand in the
+# text as they are, next to each other, so that versions and variants are told apart.
+_GNU = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.1": ("Lesser ", "2.1"), "LGPL-3.0": ("Lesser ", "3"),
+        "AGPL-3.0": ("Affero ", "3")}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+       "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+       "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-notice": "you may not use this file except in compliance with the License",
-    "MIT": "Released under the MIT License",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-                "and associated documentation files",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-           "that the following conditions are met",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the "
-                "GNU General Public License as published by the Free Software Foundation",
-    "LGPL": "under the terms of the GNU Lesser General Public License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "CC-BY-4.0": "licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "Apache-2.0": ("{Apache License, Version 2.0}", "{Apache License 2.0}", "{the Apache 2.0 license}", "{Apache License v2.0}"),
+    "Apache-2.0-notice": ("you may not use this file except in compliance with the License",),
+    "MIT": ("{under the MIT License}", "{under MIT License}", "{under the terms of the MIT license}", "{the MIT License MIT}",
+            "{under an MIT license}", "{is MIT licensed}"),
+    "MIT-text": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+                 "and associated documentation files",),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+            "that the following conditions are met", "{under the BSD license}", "{under a BSD style license}"),
+    "BSD-2-Clause": ("{BSD 2 Clause License}", "{2 clause BSD license}"),
+    "BSD-3-Clause": ("{BSD 3 Clause License}", "{3 clause BSD license}",
+                     "may be used to endorse or promote products derived from this software without specific prior "
+                     "written permission"),
+    "ISC": ("{under the ISC License}", "{the ISC License}", "Permission to use, copy, modify, and/or distribute this software for any purpose "
+            "with or without fee is hereby granted, {provided that the above copyright notice}"),
+    "GPL": ("{under the GNU General Public License}", "{under the GNU GPL}", "{under the GPL}"),
+    "GPL-text": ("This program is free software: you can redistribute it and/or modify it under the terms of the "
+                 "GNU General Public License as published by the Free Software Foundation",),
+    "LGPL": ("{under the terms of the GNU Lesser General Public License}", "{under the GNU Lesser General Public License}"),
+    "AGPL": ("{under the terms of the GNU Affero General Public License}", "{under the GNU Affero General Public License}"),
+    **{k: (f"{{GNU {kind}General Public License, version {v}}}", f"{{GNU {kind}General Public License v{v}}}",
+           f"{{GNU {kind}General Public License {v}}}", f"{{GNU {k[:-4]} v{v}}}", f"{{GNU {k[:-4]} version {v}}}",
+           f"{{under the {k[:-4]}v{v}}}", f"{{under {k[:-4]} {v}}}", f"{{under the {k[:-4]} {v}}}", f"{{under the {k[:-4]} version {v}}}",
+           f"{{version {v} of the GNU {kind}General Public License}}",
+           f"{{GNU {kind}General Public License as published by the Free Software Foundation, either version {v}}} of the License",
+           f"{{GNU {kind}General Public License as published by the Free Software Foundation, version {v}}}",
+           f"{{GNU {kind}General Public License as published by the Free Software Foundation; version {v}}} of the License",
+           f"{{GNU {kind}General Public License Version {v}}}, Everyone is permitted to copy and distribute verbatim copies of "
+           "this license document") for k, (kind, v) in _GNU.items()},
+    "GPL-2.0-text": ("This License applies to any program or other work which contains a notice placed by the copyright holder "
+                     "saying it may be distributed under the terms of this General Public License",),
+    "GPL-3.0-text": ("The GNU General Public License is a free, copyleft license for software and other kinds of works",),
+    "AGPL-3.0-text": ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+                      "{specifically designed to ensure cooperation}",),
+    "MPL-2.0": ("subject to the terms of the {Mozilla Public License, v. 2.0}", "{Mozilla Public License, v. 2.0}",
+                "{Mozilla Public License Version 2.0}", "{Mozilla Public License 2.0}"),
+    "EPL-1.0": ("{Eclipse Public License v1.0}", "{Eclipse Public License 1.0}", "{Eclipse Public License v 1.0}",
+                "{Eclipse Public License version 1.0}"),
+    "EPL-2.0": ("{Eclipse Public License v2.0}", "{Eclipse Public License 2.0}", "{Eclipse Public License v 2.0}",
+                "{Eclipse Public License version 2.0}"),
+    "Zlib": ("{under the zlib License}", "{the zlib libpng License}",
+             "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+             "alter it and redistribute it freely"),
+    "CC0-1.0": ("{CC0 1.0}", "{under the CC0 license}", "{Creative Commons Zero}", "{Creative Commons CC0}",
+                "waived all copyright and related or neighboring rights to"),
+    **{f"CC-{k}-{v}": (f"{{CC {k} {v}}}", f"{{Creative Commons {name} {v}}}", f"{{Creative Commons {name} license {v}}}",
+                       f"{{creativecommons org licenses {k} {v}}}")
+       for k, name in _CC.items() for v in ("2.0", "2.5", "3.0", "4.0")},
+    "Unlicense": ("This is free and unencumbered software released into the public domain",),
+    "BSL-1.0": ("{Boost Software License Version 1.0}", "{Boost Software License 1.0}"),
 }
+# SPDX lines of the licenses above, without the names that stand for clauses or families
+_NO_SPDX = ("Apache-2.0-notice", "MIT-text", "BSD", "GPL", "GPL-text", "LGPL", "AGPL", "GPL-2.0-text", "GPL-3.0-text", "AGPL-3.0-text")
+TEMPLATES = {k: (*v, *(() if k in _NO_SPDX else (f"{{SPDX-License-Identifier: {k}}}",))) for k, v in TEMPLATES.items()}
+# A family's name is reported where none of its versions is found in the document.
+FAMILIES = {"GPL": ("GPL-2.0", "GPL-3.0"), "LGPL": ("LGPL-2.1", "LGPL-3.0"), "AGPL": ("AGPL-3.0",)}
 
 WORDS = r"[\p{L}\p{N}]+"
 
@@ -76,33 +122,53 @@ def _permute(band: int):
     return lambda h: F.xxhash64(h, F.lit(band))
 
 
-def template_table(spark, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(license, size, shingles): one row per template; a small table by MAX_SHINGLES."""
-    rows = [(k, _words(t)) for k, t in templates.items()]
-    if any(len(w) < GRAM for _, w in rows):
-        raise ValueError("a template needs three words")
-    if sum(len(w) for _, w in rows) > MAX_SHINGLES:
+def template_table(spark, templates=TEMPLATES) -> DataFrame:
+    """(id, license, size, shingles, exact): one row per template; a small table by MAX_SHINGLES.
+
+    ``templates`` gives a text or several per license; ``exact`` holds the
+    shingles of the words in braces.
+    """
+    rows = []
+    for k, texts in templates.items():
+        for t in (texts,) if isinstance(texts, str) else texts:
+            held = re.search(r"\{(.*?)\}", t)
+            rows.append((len(rows), k, _words(t), _words(held.group(1)) if held else []))
+    if any(len(w) < GRAM or 0 < len(held) < GRAM for _, _, w, held in rows):
+        raise ValueError("a template, and what it holds in braces, needs three words")
+    if sum(len(w) for _, _, w, _ in rows) > MAX_SHINGLES:
         raise ValueError(f"templates are limited to {MAX_SHINGLES} words a run; split the table")
-    df = spark.createDataFrame(rows, "license string, words array<string>")
-    return df.select("license", F.size("words").alias("size"), shingle_hashes(F.col("words")).alias("shingles"))
+    df = spark.createDataFrame(rows, "id int, license string, words array<string>, held array<string>")
+    return df.select("id", "license", F.size("words").alias("size"), shingle_hashes(F.col("words")).alias("shingles"),
+                     shingle_hashes(F.col("held")).alias("exact"))
 
 
 def template_bands(templates: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(license, band, value, shingle): minima of the template windows at every word, with the shingle that gives them."""
+    """(id, band, value, shingle): minima of the template windows at every word, with the shingle that gives them.
+
+    Exact words, and templates of so few shingles that all are needed, are
+    looked up by a shingle, as band -1: their windows are too small a part of
+    a text window for the bands.
+    """
     per = SPAN - GRAM + 1
-    wins = templates.select("license", F.explode(F.transform(
+    wins = templates.select("id", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("shingles") - per + 1, F.lit(1))),
         lambda i: F.slice("shingles", i, per))).alias("win"))
     least = [F.array_min(F.transform("win", _pair(b))) for b in range(bands)]
-    return (wins.select("license", F.posexplode(F.array(*least)).alias("band", "m"))
-            .select("license", "band", F.col("m.value").alias("value"), F.col("m.shingle").alias("shingle")).distinct())
+    made = (wins.select("id", F.posexplode(F.array(*least)).alias("band", "m"))
+            .select("id", "band", F.col("m.value").alias("value"), F.col("m.shingle").alias("shingle")))
+    needed = F.when(F.size("exact") > 0, F.element_at("exact", -1)).when(
+        F.ceil(CONTAIN * F.size("shingles")) == F.size("shingles"), F.element_at("shingles", -1))
+    direct = templates.select("id", F.lit(-1).alias("band"), needed.alias("value"), needed.alias("shingle"))
+    # a template with exact words is found by them alone
+    held = templates.where(F.size("exact") > 0).select("id")
+    return made.join(F.broadcast(held), "id", "left_anti").unionByName(direct.where("value IS NOT NULL")).distinct()
 
 
 def _pair(band: int):
     return lambda h: F.struct(F.xxhash64(h, F.lit(band)).alias("value"), h.alias("shingle"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain: float = CONTAIN) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, contain: float = CONTAIN) -> DataFrame:
     """Matches: doc_id, text_hash, license, start (word), containment; one row per license and place."""
     spark = docs.sparkSession
     table = template_table(spark, templates)
@@ -123,19 +189,37 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain: float
             .select("row", "doc_id", "text_hash", "start", F.slice("s", F.col("start") + 1, F.lit(per)).alias("win"),
                     F.slice("s", F.greatest(F.lit(1), F.col("start") + 1 - reach), F.lit(2 * reach + per)).alias("around"))
             .dropDuplicates(["row", "start"]))
-    signed = wins.select("row", "doc_id", "text_hash", "start", "around", F.posexplode(signature(F.col("win"))).alias("band", "value"))
-    found = (signed.join(F.broadcast(bands.select("license", "band", "value").distinct()), ["band", "value"])
-             .groupBy("row", "doc_id", "text_hash", "start", "license").agg(F.first("around").alias("around")))
-    share = F.size(F.array_intersect("shingles", "around")) / F.size(F.array_distinct("shingles"))
-    return (found.join(F.broadcast(table.select("license", "shingles")), "license")
-            .select("doc_id", "text_hash", "license", "start", share.alias("containment"))
-            .where(F.col("containment") >= contain))
-
-
-def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain: float = CONTAIN) -> DataFrame:
+    keys = F.concat(F.transform(signature(F.col("win")), lambda v, i: F.struct(i.alias("band"), v.alias("value"))),
+                    F.transform("win", lambda h: F.struct(F.lit(-1).alias("band"), h.alias("value"))))
+    signed = wins.select("row", "doc_id", "text_hash", "start", "around", F.explode(keys).alias("k")).select(
+        "row", "doc_id", "text_hash", "start", "around", "k.band", "k.value")
+    found = (signed.join(F.broadcast(bands.select("id", "band", "value").distinct()), ["band", "value"])
+             .groupBy("row", "doc_id", "text_hash", "start", "id").agg(F.first("around").alias("around")))
+    # the part of the surroundings that a template of this size can reach from the window
+    near = F.slice("around", F.greatest(F.lit(1), F.least("start", F.lit(reach)) + 1 - F.col("size")), 2 * F.col("size") + per)
+    share = F.size(F.array_intersect("shingles", "near")) / F.size(F.array_distinct("shingles"))
+    stands = (F.size("exact") == 0) | F.exists(F.sequence(F.lit(1), F.greatest(F.size("near"), F.lit(1))),
+                                               lambda i: F.slice("near", i, F.size("exact")) == F.col("exact"))
+    return (found.join(F.broadcast(table), "id").withColumn("near", near)
+            .select("doc_id", "text_hash", "row", "license", "start", share.alias("containment"), stands.alias("stands"))
+            .where((F.col("containment") >= contain) & F.col("stands"))
+            .groupBy("row", "doc_id", "text_hash", "license", "start").agg(F.max("containment").alias("containment"))
+            .select("doc_id", "text_hash", "license", "start", "containment"))
+
+
+def _without_families(found: Column) -> Column:
+    """The license names of a document, without a family's name where a version of it is among them."""
+    for family, versions in FAMILIES.items():
+        of = F.array(*[F.lit(v) for v in versions])
+        found = F.when(F.arrays_overlap(found, of), F.array_remove(found, family)).otherwise(found)
+    return found
+
+
+def scan_documents(docs: DataFrame, templates=TEMPLATES, contain: float = CONTAIN) -> DataFrame:
     """Per document: doc_id, n_licenses, licenses (sorted, comma-joined), best containment (null: none)."""
     found = (scan(docs, templates, contain).groupBy("doc_id", "text_hash")
              .agg(F.array_sort(F.collect_set("license")).alias("_l"), F.max("containment").alias("containment"))
+             .withColumn("_l", _without_families(F.col("_l")))
              .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_l", "containment"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
     return (rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
