@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.llm import (
-    decontam, html_text, licenses, mixing, ngram_join, quality_model, quality_rules, secrets, substrings, toxicity)
+    decontam, html_text, licenses, mixing, ngram_join, quality_model, quality_rules, repair, secrets, simhash,
+    substrings, toxicity, trie)
 from cohortkit.llm.common import table
 from cohortkit.llm.sql import ORACLES
 
@@ -69,10 +70,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations")).drop("h")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_ordinal_quality, op3_html_text, op4_toxic_spans, op5_host_rules, op6_license_scan,
-        op7_substrings, op8_winnowing, op9_jaccard_join, op10_mixing)}
+        op7_substrings, op8_winnowing, op9_jaccard_join, op10_mixing, op11_prefix_trie, op12_simhash,
+        op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
