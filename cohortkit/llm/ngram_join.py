@@ -8,28 +8,41 @@ least a = ceil(t |x|) tokens of x, so
 * their first k common tokens lie in the first |x| - a + k (the prefix
   extended by k - 1).
 
-If the first common token is rare, it is indexed as a single token; if not,
-all common tokens are frequent, and their first k are indexed as a
-combination.  Sets that share an index entry are verified exactly on their
-whole shingle sets.  Tokens that one distinct text alone holds are never
-indexed, so texts without near copies leave at this point.
+Tokens in few texts are indexed alone.  Frequent ones are dealt by their hash
+into groups of about three tokens of a prefix, and each group is indexed by its
+combinations of k tokens, k by the class of their document frequency.  Two
+texts that share no k-combination of a group differ in all of the group's
+prefix tokens but k - 1.  So a prefix is extended until the tokens in it, less
+k - 1 for every group, exceed what x may miss, |x| - a: then x and y must share
+a single token or a combination.  Both follow one rule for the groups, given by
+the size band of the smaller text: a text is indexed under its own band and
+the one below, and the band is part of the entry.  A text has some multiple of
+its prefix length of entries, whatever its length and its tokens' frequencies.
+
+Sets that share an index entry are verified exactly on their whole shingle
+sets.  Tokens that one distinct text alone holds are never indexed, so texts
+without near copies leave at this point.
 
 Document frequencies are counted over all distinct texts: parts of the corpus
 exchange compact hash blobs with hash-range buckets (see ``blobs``) and learn
 the frequency class (power of two) of each of their tokens.
 
-Exact copies (equal shingle sets) are one node of the join.  An index entry
-of at most ``GROUP`` nodes emits its pairs, once each.  A larger one first
-links all members to its most central member; only members that stay in
-another component are compared with the rest, size band by size band, and only
-where sizes and the number of shared tokens still allow a link.  Components come from star
-steps over the verified links.
+Exact copies (equal shingle sets) are one node of the join.  Entries of one
+text are dropped by their hash alone, and of the many entries that near copies
+share, one of each set of members is kept (told apart by 128 bits over the
+members).  An entry first links all members to its most central member; only
+members that stay in another component are compared with the rest, size band
+by size band, and only where sizes and the number of shared tokens still allow
+a link.  Components come from star steps over the verified links; they are
+joined to the texts, one row each, not to their entries.
 
 Edge cases: null texts and texts without words have the empty set and link
 with nothing, copies of them included; texts with fewer words than a shingle
 are one shingle; rows that share a ``doc_id`` are judged by their texts; rows
 without ``doc_id`` link, but name no component (null if no linked row has an
-id); an empty table gives an empty result.
+id); very long texts are taken whole; further columns are ignored, whatever
+their names (``one_of_each`` hands them on); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -49,9 +62,8 @@ from cohortkit.operators.components import connected_components
 
 SHINGLE = 3
 PERCENT = 90             # Jaccard similarity in percent
-COMBINE = 2              # tokens in a combination
-FREQUENT = 7             # tokens in 2**7 distinct texts or more are frequent
-GROUP = 128              # index entries up to this size emit all their pairs
+WIDER = (7, 14)          # tokens in 2**7 distinct texts are combined by two, in 2**14 by three
+MOST_TASKS = 20_000      # parts of a very large corpus share shuffle partitions
 
 _SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary"
 _CANDIDATES = "digest binary, n bigint, shared bigint, entries array<bigint>, tokens binary"
@@ -112,40 +124,75 @@ def distinct_texts(docs: DataFrame, n_parts: int, k: int = SHINGLE) -> DataFrame
                 names=["part", "digest", "text"])
 
     return (docs.select("text").mapInArrow(run, "part bigint, digest binary, text string")
-            .repartition(n_parts, "part").groupBy("part", "digest").agg(F.first("text").alias("text")))
+            .repartition(min(n_parts, MOST_TASKS), "part").groupBy("part", "digest").agg(F.first("text").alias("text")))
 
 
-def combinations_of(tokens: np.ndarray, size: int):
-    """Hashes of all ``size``-token combinations of sorted tokens."""
+def combinations_of(tokens: np.ndarray, size: int, ends: np.ndarray) -> np.ndarray:
+    """Hashes of all ``size``-token combinations inside runs of tokens; ``ends``: where each token's run ends."""
     at = np.arange(len(tokens))[:, None]
-    for _ in range(size - 1):  # extend each combination by every later token
-        later = len(tokens) - 1 - at[:, -1]
+    for _ in range(size - 1):  # extend each combination by every later token of its run
+        later = ends[at[:, -1]] - 1 - at[:, -1]
         rows = np.repeat(np.arange(len(at)), later)
         step = np.arange(len(rows)) - np.repeat(np.cumsum(later) - later, later)
         at = np.column_stack([at[rows], at[rows, -1] + 1 + step])
-    if len(at):
-        h = np.full(len(at), size, dtype=np.uint64)
-        for c in range(size):
-            h = h * np.uint64(K.WORD_BASE) + tokens[at[:, c]]
-        yield K.mix(h)
+    h = np.full(len(at), size, dtype=np.uint64)
+    for c in range(size):
+        h = h * np.uint64(K.WORD_BASE) + tokens[at[:, c]]
+    return h
 
 
-def index_entries(tokens: np.ndarray, classes: np.ndarray, percent: int, combine: int, frequent: int):
+def _step(percent: int) -> float:
+    return math.log(100 / percent) + 1e-6
+
+
+def size_band(n: int, percent: int) -> int:
+    """Sizes of a linked pair differ by at most the factor 100 / percent, so by at most one band."""
+    return int(math.log(n) / _step(percent))
+
+
+def grouping(band: int, percent: int) -> tuple[int, int]:
+    """(most tokens in a combination, groups of each width) for texts of a band and the next.
+
+    Groups cost a text up to k - 1 tokens each; what is left must still exceed what it may miss.
+    """
+    smallest = max(1, int(math.exp(band * _step(percent)) * (1 - 1e-9)))
+    least = -(-percent * smallest // 100)
+    most, cost = len(WIDER) + 1, len(WIDER) * (len(WIDER) + 1) // 2
+    if least - 1 < cost:
+        return (2, 1) if least > 1 else (1, 1)
+    return most, max(1, min(-(-(smallest - least + 1) // 2), (least - 1) // cost))
+
+
+def index_entries(tokens: np.ndarray, classes: np.ndarray, percent: int):
     """(entries, shared tokens) of one set: rare singles and frequent combinations; no entries: no partner."""
     n = len(tokens)
     least = -(-percent * n // 100)
     shared = int((classes > 0).sum())
     if shared < least:
         return None, shared
-    lone = n - shared  # they come first in the order and meet nothing
-    order = np.lexsort((tokens, classes))[lone:]
-    prefix = order[:max(0, n - least + 1 - lone)]
-    # below ``combine`` common tokens a frequent one must do alone
-    entries = [tokens[prefix] if least < combine else tokens[prefix[classes[prefix] < frequent]]]
-    wide = order[:max(0, n - least + combine - lone)]
-    often = np.sort(tokens[wide[classes[wide] >= frequent]])
-    for group in combinations_of(often, combine):
-        entries.append(group)
+    order = np.lexsort((tokens, classes))  # tokens that no other text holds come first and meet nothing
+    tokens, classes = tokens[order], classes[order]
+    width = 1 + sum((classes >= w).astype(np.int64) for w in WIDER)
+    own, entries = size_band(n, percent), []
+    for band in {own, max(own - 1, 0)}:
+        most, groups = grouping(band, percent)
+        k = np.minimum(width, most)
+        group = np.where(k > 1, k * groups + (tokens % np.uint64(groups)).astype(np.int64), 0)
+        by_group = np.argsort(group, kind="stable")
+        first = np.searchsorted(group[by_group], group[by_group])
+        rank = np.empty(n, np.int64)
+        rank[by_group] = np.arange(n) - first
+        left = np.cumsum((k == 1) | (rank >= k - 1))
+        end = int(np.searchsorted(left, n - least + 1)) + 1  # the extended prefix
+        assert left[-1] >= n - least + 1
+        kinds = [(1, tokens[:end][(k[:end] == 1) & (classes[:end] > 0)])]
+        inside = by_group[by_group < end]
+        for size in range(2, most + 1):
+            some = inside[k[inside] == size]
+            ends = np.searchsorted(group[some], group[some], side="right")
+            kinds.append((size, combinations_of(tokens[some], size, ends)))
+        for size, hashes in kinds:
+            entries.append(K.mix(hashes * np.uint64(K.WORD_BASE) + np.uint64(8 * band + size)))
     entries = K.distinct(np.concatenate(entries))
     return (entries if len(entries) else None), shared
 
@@ -187,7 +234,7 @@ def candidates(docs: DataFrame, k: int, percent: int, part_bytes: int | None = N
         rows = []
         for digest, tokens in zip(left.column("digest").to_pylist(), sets):
             own = classes[np.searchsorted(values, tokens >> np.uint64(64 - bits))]
-            entries, shared = index_entries(tokens, own, percent, COMBINE, FREQUENT)
+            entries, shared = index_entries(tokens, own, percent)
             if entries is not None:
                 rows.append((digest, len(tokens), shared, entries.view(np.int64), tokens.tobytes()))
         cols = list(zip(*rows)) or [[]] * 5
@@ -212,7 +259,7 @@ def _may_link(percent: int):
 
 def _band(n, percent: int):
     """Size band: sizes of a linked pair differ by at most the factor 100 / percent, so by at most one band."""
-    return F.floor(F.log(n) / F.lit(math.log(100 / percent) + 1e-6)).cast("long")
+    return F.floor(F.log(n) / F.lit(_step(percent))).cast("long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -232,35 +279,38 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def links(sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def distinct_groups(sets: DataFrame) -> DataFrame:
+    """(entry): one index entry for each set of two or more members that share an entry; written once."""
+    members = sets.select(F.xxhash64("digest").alias("x"), F.xxhash64("digest", F.lit(1)).alias("y"), F.explode("entries").alias("entry"))
+    groups = (members.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+              .where("members > 1"))
+    return groups.groupBy("members", "x", "y").agg(F.min("entry").alias("entry")).select("entry").transform(cut)
+
+
+def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links (a, b) between distinct texts that connect all linked texts.
 
-    ``sets`` are rows of ``candidates`` (materialised).  Within an entry of up
-    to ``group`` texts all pairs are tried.  Larger entries are stars first,
-    then what the stars leave apart.
+    ``sets`` are rows of ``candidates`` (materialised).  An entry's members are a
+    star first, then what the stars leave apart is compared.
     """
-    members = sets.select("digest", "n", "shared", F.explode("entries").alias("entry"))
-    centre = F.max_by("digest", F.struct(F.col("shared") / F.col("n"), F.col("shared"), F.col("digest")))
-    sizes = (members.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), centre.alias("centre"))
-             .where("members > 1"))
-    members = members.join(sizes, "entry").transform(cut)
-    left = members.select("entry", "members", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
-    right = members.select("entry", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-    pairs = (left.where(F.col("members") <= group).drop("members").join(right, "entry")
-             .where((F.col("a") < F.col("b")) & _may_link(percent)).select("a", "b"))
-    stars = members.where((F.col("members") > group) & (F.col("digest") != F.col("centre"))).select(
-        F.least("digest", "centre").alias("a"), F.greatest("digest", "centre").alias("b"))
-    found = verify(pairs.unionAll(stars).distinct(), sets, percent).transform(cut)
-    large = left.where(F.col("members") > group)
-    if large.limit(1).count() == 0:
-        return found
-    # what is still apart inside large entries: members outside the largest component of their entry
-    comp = connected_components(found).select(F.col("node").alias("digest"), "component").transform(cut)
-    placed = (members.where(F.col("members") > group).drop("members", "centre").join(comp, "digest", "left")
-              .withColumn("component", F.coalesce("component", "digest")))
+    groups = distinct_groups(sets)
+    members = sets.select("digest", "n", "shared", F.explode("entries").alias("entry")).join(groups, "entry").transform(cut)
+    # written, so that an entry with very many members can be split in the join
+    centre = members.groupBy("entry").agg(F.max_by(F.struct("digest", "n", "shared"), F.struct(
+        F.col("shared") / F.col("n"), F.col("shared"), F.col("digest"))).alias("c")).select(
+        "entry", F.col("c.digest").alias("b"), F.col("c.n").alias("n_b"), F.col("c.shared").alias("shared_b")).transform(cut)
+    stars = (members.select("entry", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
+             .join(centre, "entry").where((F.col("a") != F.col("b")) & _may_link(percent)))
+    found = verify(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent).transform(cut)
+    # what is still apart: members outside the largest component of their entry
+    comp = connected_components(found).select(F.col("node").alias("digest"), "component")
+    texts = sets.select("digest", "n", "shared", "entries").join(comp, "digest", "left").withColumn(
+        "component", F.coalesce("component", "digest"))
+    placed = (texts.select("digest", "n", "shared", "component", F.explode("entries").alias("entry")).join(groups, "entry").transform(cut))
     by_comp = placed.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = by_comp.groupBy("entry").agg(F.max_by("component", "c").alias("main"), F.count(F.lit(1)).alias("comps"))
-    placed = placed.join(main.where("comps > 1"), "entry").transform(cut)
+    main = (by_comp.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("comps"))
+            .where("comps > 1").select("entry", "main").transform(cut))
+    placed = placed.join(main, "entry").transform(cut)
     stray = placed.where("component != main").select(
         "entry", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"),
         F.col("component").alias("component_a"), _band(F.col("n"), percent).alias("band"))
@@ -272,7 +322,7 @@ def links(sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFr
     return found.unionAll(verify(rest, sets, percent)).transform(cut)
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, group: int = GROUP,
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
                     part_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Per document: doc_id, text_hash, n_shingles, component_id, digest (of its shingle set).
 
@@ -282,13 +332,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, g
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     each = document_sets(rows, k).transform(cut)
     sets = candidates(rows.select("text"), k, percent, part_bytes, bucket_bytes).transform(cut)
-    comp = connected_components(links(sets, percent, group))
+    comp = connected_components(links(sets, percent))
     classes = each.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
     linked = classes.join(comp.withColumnRenamed("node", "digest"), "digest")
     firsts = linked.groupBy("component").agg(F.min("first").alias("least"))
     least = linked.join(firsts, "component").select("digest", "least")
-    named = classes.join(least, "digest", "left").select("digest", F.coalesce("least", "first").alias("_component"))
-    # a set that a third of all rows share is split by adaptive skew joins; one row per set on the right
+    named = classes.join(least, "digest", "left").select("digest", F.coalesce("least", "first").alias("_component")).transform(cut)
+    # one written row per set on the right, so a set that a third of all rows share is split by adaptive skew joins
     return (each.join(named, "digest", "left")
             .select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
                     F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"),

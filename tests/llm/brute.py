@@ -91,9 +91,9 @@ def shingles(text, k=3):
     return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def components(rows, num=90):
+def components(rows, num=90, k=3):
     """rows: (doc_id, text) -> list of (doc_id, n_shingles, smallest reachable doc_id)."""
-    sets = [(d, shingles(t)) for d, t in rows]
+    sets = [(d, shingles(t, k)) for d, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):

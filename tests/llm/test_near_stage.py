@@ -3,17 +3,11 @@
 import random
 
 import corpus_pipeline as P
-from tests.llm import brute, test_pipeline
+from tests.llm import brute
 from tests.llm.test_sets import near_rows
 
 
-def five_words(monkeypatch):
-    shingles, components = brute.shingles, brute.components
-    monkeypatch.setattr(brute, "shingles", lambda t: shingles(t, 5))
-    monkeypatch.setattr(brute, "components", lambda rows: components(rows, 80))
-
-
-def test_pipeline_near_copies_of_five_words(spark, monkeypatch):
+def test_pipeline_near_copies_of_five_words(spark):
     r = random.Random(1)
     base = [f"u{i}" for i in range(50)]
     edited = base[:25] + ["other"] + base[26:]
@@ -24,11 +18,6 @@ def test_pipeline_near_copies_of_five_words(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows],
                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = sorted(x.doc_id for x in P.near_duplicates(spark, docs, "").collect())
-    five_words(monkeypatch)
-    assert got == sorted(d for d, n, c in brute.components(rows) if c == d or n == 0)
+    assert got == sorted(d for d, n, c in brute.components(rows, 80, 5) if c == d or n == 0)
     assert 9001 in got and 9003 in got and 9002 not in got and 9004 not in got
 
-
-def test_all_stages_with_five_words(spark, monkeypatch):
-    five_words(monkeypatch)
-    test_pipeline.test_stages(spark)

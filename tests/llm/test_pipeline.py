@@ -24,7 +24,7 @@ def test_stages(spark):
             right = [(i in ids(after)) == (labels[i] == 1) for i in rated]
             assert sum(right) > 0.95 * len(right)
         elif name == "near_duplicates":
-            want = brute.components([(r.doc_id, r.text) for r in before])
+            want = brute.components([(r.doc_id, r.text) for r in before], P.NEAR_PERCENT, P.NEAR_WORDS)
             assert ids(after) == sorted(d for d, n, c in want if c == d or n == 0)
         elif name == "decontaminate":
             items = [(str(r.item_id), r.text) for r in read(spark, SF001, "benchmark").collect()]

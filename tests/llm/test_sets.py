@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cohortkit.llm import blobs as B
+from cohortkit.llm import kernels as K
 from cohortkit.llm import ngram_join, substrings
 from tests.llm import brute
 from tests.llm.conftest import SF001, read
@@ -42,10 +44,10 @@ def test_substrings(spark, odd_docs, sizes):
         assert all(brute.sha(g[4]) == g[3] for g in got)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"part_bytes": 4000, "bucket_bytes": 500, "group": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"part_bytes": 4000, "bucket_bytes": 500}])
 def test_jaccard_join(spark, odd_docs, sizes, monkeypatch):
     if sizes:
-        monkeypatch.setattr(ngram_join, "FREQUENT", 3)  # combinations take over at eight texts
+        monkeypatch.setattr(ngram_join, "WIDER", (3, 4))  # combinations of two from eight texts, of three from sixteen
     made = spark.createDataFrame(near_rows(), "doc_id bigint, text string")
     for docs in (made, read(spark, SF001, "documents"), odd_docs, odd_docs.limit(0)):
         got = rows_of(ngram_join.near_duplicates(docs, **sizes), "doc_id", "n_shingles", "component_id")
@@ -54,13 +56,48 @@ def test_jaccard_join(spark, odd_docs, sizes, monkeypatch):
 
 
 def test_lower_similarity(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    monkeypatch.setattr(ngram_join, "WIDER", (1, 2))
     rows = near_rows(3, 20, 12)
-    got = rows_of(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=50, group=3),
+    got = rows_of(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=50),
                   "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute.components(rows, 50), key=repr)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_an_entry(percent):
+    r = np.random.default_rng(percent)
+    for n in [*range(1, 30), 60, 200, 700]:
+        for _ in range(12):
+            both = r.integers(1, n + 1)
+            pool = K.distinct(r.integers(0, 1 << 63, 3 * n, dtype=np.uint64))
+            cls = (pool % np.uint64(23)).astype(np.uint8) + 1  # some of every width
+            x, y = pool[:n], pool[n - both:n - both + r.integers(both, n + 1)]
+            same = len(np.intersect1d(x, y))
+            if 100 * same < percent * (len(x) + len(y) - same):
+                continue
+            got = [set(ngram_join.index_entries(s, cls[np.searchsorted(pool, s)], percent)[0].tolist()) for s in (x, y)]
+            assert got[0] & got[1]
+
+
+def test_entries_stay_near_the_prefix_length():
+    r = np.random.default_rng(1)
+    for n in (300, 5_000, 200_000):
+        tokens = K.distinct(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        for cls in (3, 9, 20):
+            entries, _ = ngram_join.index_entries(tokens, np.full(n, cls, np.uint8), 80)
+            assert len(entries) < 20 * (n // 5 + 1)
+
+
+def test_long_frequent_text_in_130_near_copies(spark):
+    made = spark.range(130).selectExpr("id AS doc_id", """array_join(transform(sequence(0, 20000), i -> CASE WHEN i = id * 50
+        THEN 'new' ELSE concat('f', i) END), ' ') AS text""")
+    parts = spark.createDataFrame([(900 + i, " ".join(f"f{j}" for j in range(i, i + 40))) for i in range(140)], made.schema)
+    got = dict(rows_of(ngram_join.near_duplicates(made.unionAll(parts)), "doc_id", "component_id"))
+    assert all(got[d] == 0 for d in range(130))
+    want = brute.components([(r.doc_id, r.text) for r in parts.collect()])
+    assert {d: c for d, c in got.items() if d >= 900} == {d: c for d, _, c in want}
+
+
 def test_side_grows_with_the_corpus_and_is_bounded():
     sides = [B.side_bytes(s) for s in (0, 30 << 30, 1 << 40, 100 << 40)]
     assert sides[0] == sides[1] == B.SIDE_BYTES < sides[2] < sides[3] == B.MOST_SIDE_BYTES
