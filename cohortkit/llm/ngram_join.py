@@ -248,13 +248,14 @@ def candidates(docs: DataFrame, k: int, percent: int, part_bytes: int | None = N
 
 
 def _may_link(percent: int):
-    """Whether sizes and shared tokens of two members still allow a link.
+    """Whether the texts a and b, both compared with their entry's centre c, may still link.
 
-    A link needs an overlap of t / (1 + t) (n_a + n_b), and neither side can
-    give more than its tokens that some other text holds.
+    They share at most what c shares with either, and outside c no more than
+    the tokens that either has in common with any other text.  A link needs an
+    overlap of t / (1 + t) (n_a + n_b).
     """
-    need = F.lit(percent) * (F.col("n_a") + F.col("n_b"))
-    return (F.lit(100 + percent) * F.least("shared_a", "shared_b") >= need)
+    most = F.least("both_a", "both_b") + F.least(F.col("shared_a") - F.col("both_a"), F.col("shared_b") - F.col("both_b"))
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
 
 
 def _band(n, percent: int):
@@ -262,21 +263,26 @@ def _band(n, percent: int):
     return F.floor(F.log(n) / F.lit(_step(percent))).cast("long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their set sizes and the size of their intersection: a, b, n_a, n_b, both."""
     def run(batches):
         for batch in batches:
-            ok = []
+            out = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+                out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(c, pa.int64()) for c in cols]],
+                                             names=["a", "b", "n_a", "n_b", "both"])
 
     joined = (pairs.join(sets.select(F.col("digest").alias("a"), F.col("tokens").alias("x")), "a")
               .join(sets.select(F.col("digest").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y"))
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(run, "a binary, b binary, n_a bigint, n_b bigint, both bigint")
+
+
+def linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``overlaps`` that reach the similarity."""
+    return pairs.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def distinct_groups(sets: DataFrame) -> DataFrame:
@@ -291,35 +297,39 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links (a, b) between distinct texts that connect all linked texts.
 
     ``sets`` are rows of ``candidates`` (materialised).  An entry's members are a
-    star first, then what the stars leave apart is compared.
+    star first, then what the star leaves apart is compared, where the overlaps
+    with the centre allow a link.
     """
     groups = distinct_groups(sets)
     members = sets.select("digest", "n", "shared", F.explode("entries").alias("entry")).join(groups, "entry").transform(cut)
     # written, so that an entry with very many members can be split in the join
-    centre = members.groupBy("entry").agg(F.max_by(F.struct("digest", "n", "shared"), F.struct(
-        F.col("shared") / F.col("n"), F.col("shared"), F.col("digest"))).alias("c")).select(
-        "entry", F.col("c.digest").alias("b"), F.col("c.n").alias("n_b"), F.col("c.shared").alias("shared_b")).transform(cut)
-    stars = (members.select("entry", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
-             .join(centre, "entry").where((F.col("a") != F.col("b")) & _may_link(percent)))
-    found = verify(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent).transform(cut)
-    # what is still apart: members outside the largest component of their entry
+    centre = members.groupBy("entry").agg(F.max_by("digest", F.struct(
+        F.col("shared") / F.col("n"), F.col("shared"), F.col("digest"))).alias("centre")).transform(cut)
+    stars = members.join(centre, "entry").where("digest != centre").select(F.col("digest").alias("a"), F.col("centre").alias("b")).distinct()
+    seen = overlaps(stars, sets).transform(cut)
+    found = linked(seen, percent).transform(cut)
+    # what is still apart: members outside the component of their entry's centre
     comp = connected_components(found).select(F.col("node").alias("digest"), "component")
     texts = sets.select("digest", "n", "shared", "entries").join(comp, "digest", "left").withColumn(
         "component", F.coalesce("component", "digest"))
-    placed = (texts.select("digest", "n", "shared", "component", F.explode("entries").alias("entry")).join(groups, "entry").transform(cut))
-    by_comp = placed.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = (by_comp.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("comps"))
-            .where("comps > 1").select("entry", "main").transform(cut))
-    placed = placed.join(main, "entry").transform(cut)
-    stray = placed.where("component != main").select(
-        "entry", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"),
-        F.col("component").alias("component_a"), _band(F.col("n"), percent).alias("band"))
-    other = placed.select("entry", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"),
-                          F.col("component").alias("component_b"), F.explode(F.transform(
-                              F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: _band(F.col("n"), percent) + d)).alias("band"))
+    placed = (texts.select("digest", "n", "shared", "component", F.explode("entries").alias("entry")).join(centre, "entry").transform(cut))
+    main = placed.where("digest = centre").select("entry", F.col("component").alias("main")).transform(cut)
+    apart = placed.join(main, "entry").where("component != main").select("entry", "main").distinct().transform(cut)
+    if apart.limit(1).count() == 0:
+        return found
+    with_centre = seen.select(F.col("a").alias("digest"), F.col("b").alias("centre"), "both")
+    placed = (placed.join(apart, "entry").join(with_centre, ["digest", "centre"], "left")
+              .withColumn("both", F.coalesce("both", "n")).withColumn("band", _band(F.col("n"), percent)).transform(cut))
+
+    def side(rows, x):
+        return rows.select("entry", "band", *[F.col(c).alias(f"{n}_{x}") for c, n in (
+            ("digest", "d"), ("n", "n"), ("shared", "shared"), ("both", "both"), ("component", "component"))])
+
+    stray = side(placed.where("component != main"), "a")
+    other = side(placed.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))), "b")
     rest = (stray.join(other, ["entry", "band"]).where((F.col("component_a") != F.col("component_b")) & _may_link(percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return found.unionAll(verify(rest, sets, percent)).transform(cut)
+            .select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct())
+    return found.unionAll(linked(overlaps(rest, sets), percent)).transform(cut)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
