@@ -318,16 +318,20 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     if apart.limit(1).count() == 0:
         return found
     with_centre = seen.select(F.col("a").alias("digest"), F.col("b").alias("centre"), "both")
-    placed = (placed.join(apart, "entry").join(with_centre, ["digest", "centre"], "left")
+    # entries of one centre with nearly the same members become one group, so that a pair is not met once per entry:
+    # such sets mostly have the same smallest hash, sets without a common member never do
+    placed = placed.join(apart, "entry")
+    club = placed.where("digest != centre").groupBy("entry").agg(F.min(F.xxhash64("digest")).alias("club")).transform(cut)
+    placed = (placed.join(club, "entry").drop("entry").distinct().join(with_centre, ["digest", "centre"], "left")
               .withColumn("both", F.coalesce("both", "n")).withColumn("band", _band(F.col("n"), percent)).transform(cut))
 
     def side(rows, x):
-        return rows.select("entry", "band", *[F.col(c).alias(f"{n}_{x}") for c, n in (
+        return rows.select("centre", "club", "band", *[F.col(c).alias(f"{n}_{x}") for c, n in (
             ("digest", "d"), ("n", "n"), ("shared", "shared"), ("both", "both"), ("component", "component"))])
 
     stray = side(placed.where("component != main"), "a")
     other = side(placed.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))), "b")
-    rest = (stray.join(other, ["entry", "band"]).where((F.col("component_a") != F.col("component_b")) & _may_link(percent))
+    rest = (stray.join(other, ["centre", "club", "band"]).where((F.col("component_a") != F.col("component_b")) & _may_link(percent))
             .select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct())
     return found.unionAll(linked(overlaps(rest, sets), percent)).transform(cut)
 
