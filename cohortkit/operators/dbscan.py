@@ -1,126 +1,126 @@
-"""DBSCAN as joins on an epsilon grid, plus label propagation.
+"""DBSCAN on cells of side eps / sqrt(features).
 
-* Points with equal coordinates are merged first (weight = copies), so a
-  mass of identical customers is one row.
-* The grid side is eps / sqrt(d): two points in one cell are always within
-  eps, so same-cell neighbours are *counted* (cell weight), never paired.
-* Only pairs from different, nearby cells are formed (forward offsets only,
-  each pair once) and filtered by the exact distance.  The cell equi-join
-  is left to AQE's skew-join split when one cell is hot.
-* Core points (weighted count incl. itself >= min_samples) connect their
-  cells; clusters are connected components of that cell graph (star steps,
-  checkpointed every round, until stable; see ``components``).
-* A border point takes the smallest adjacent cluster; clusters are
-  numbered by their smallest core customer id (the reference's row order).
+* Customers with equal features are merged first (weight = copies).
+* Two points of a cell are always within eps.  Cells within eps of each other
+  come from a median split with halo copies (``boxes.neighbour_cells``), so the
+  work follows the occupied cells, in any number of features.
+* A cell that holds min_samples with the cells wholly within eps is dense: all
+  its points are core, without a look at any pair.  Only points of other, light
+  cells (fewer than min_samples each) are compared with the points around.
+* Dense cells are joined if their bounding boxes are wholly within eps;
+  undecided ones are halved until some boxes decide (``boxes.refine``), so two
+  dense cells that touch never meet point by point.
+* Clusters are the components of the graph of core cells.  A border point takes
+  the smallest adjacent cluster; clusters are numbered by their smallest core
+  customer id (the reference's row order).
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.operators import boxes as B
 from cohortkit.operators.components import connected_components
 from cohortkit.operators.ordering import global_positions
 from cohortkit.session import cut, ensure_checkpoint_dir
 
 
-def _offsets(d: int) -> list[tuple]:
-    r = math.ceil(math.sqrt(d))
-    offs = [o for o in itertools.product(range(-r, r + 1), repeat=d) if any(o)]
-    # forward half: first non-zero component positive (each unordered cell pair once)
-    return [o for o in offs if next(v for v in o if v != 0) > 0]
+def _grid(df: DataFrame, feats: list[str], eps: float, id_col: str):
+    """(customers, distinct points with their cell, cells, pairs of neighbouring cells, side of a cell)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    side = eps / math.sqrt(len(feats))
+    # 0.0 + x: a negative zero would fall into another box than zero
+    pts = df.select(F.col(id_col).cast("string").alias("_id"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in feats])
+    points = (pts.dropna(subset=feats).groupBy(*feats).agg(F.count(F.lit(1)).alias("_w"), F.min("_id").alias("_pid"))
+              .select("_pid", "_w", F.array(*feats).alias("_x")))
+    points = points.withColumn("cell", B.box_of(F.col("_x"), side)).transform(cut)
+    cells = B.boxes(points, F.col("cell"), len(feats)).transform(cut)
+    near = B.neighbour_cells(cells, eps).transform(cut)
+    return pts, points, cells, near, side
 
 
-def _grid(df: DataFrame, feats: list[str], eps: float, id_col: str):
-    """Weighted unique points, their cells, cross-cell pairs within eps and
-    the weighted neighbour count ``_n`` of every unique point (incl. itself)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    d = len(feats)
-    side = eps / math.sqrt(d)
-    cells = [F.floor(F.col(c) / side).cast("long").alias(f"_g{i}") for i, c in enumerate(feats)]
-    gcols = [f"_g{i}" for i in range(d)]
-    pts = df.select(F.col(id_col).cast("string").alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats])
-    placed = pts.dropna(subset=feats)
-    uniq = (placed.groupBy(*feats).agg(F.count(F.lit(1)).alias("_w"), F.min("_id").alias("_pid"))
-            .select("_pid", "_w", *feats, *cells).transform(cut))
-    cell_w = uniq.groupBy(*gcols).agg(F.sum("_w").alias("_cw"))
-    # candidate pairs between different cells (J7), exact distance filter
-    offs = spark.createDataFrame(_offsets(d), ", ".join(f"_o{i} int" for i in range(d)))
-    a = uniq.select(*[F.col(c).alias(f"a_{c}") for c in ["_pid", "_w", *feats, *gcols]])
-    b = uniq.select(*[F.col(c).alias(f"b_{c}") for c in ["_pid", "_w", *feats, *gcols]])
-    shifted = a.crossJoin(F.broadcast(offs)).select(
-        "*", *[(F.col(f"a__g{i}") + F.col(f"_o{i}")).alias(f"_t{i}") for i in range(d)])
-    cond = [F.col(f"_t{i}") == F.col(f"b__g{i}") for i in range(d)]
-    dist2 = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in feats), F.lit(0.0))
-    pairs = (shifted.join(b, cond).where(dist2 <= eps * eps)
-             .select("a__pid", "a__w", "b__pid", "b__w", *[f"a__g{i}" for i in range(d)],
-                     *[f"b__g{i}" for i in range(d)]).transform(cut))
-    # neighbour counts: own cell (all within eps) + partial pairs, both directions
-    extra = (pairs.select(F.col("a__pid").alias("_pid"), F.col("b__w").alias("_x"))
-             .unionByName(pairs.select(F.col("b__pid").alias("_pid"), F.col("a__w").alias("_x")))
-             .groupBy("_pid").agg(F.sum("_x").alias("_x")))
-    counted = (uniq.join(cell_w, gcols).join(extra, "_pid", "left")
-               .withColumn("_n", F.col("_cw") + F.coalesce(F.col("_x"), F.lit(0))))
-    return pts, pairs, counted, gcols
+def _whole_weight(cells: DataFrame, near: DataFrame) -> DataFrame:
+    """``cells`` with ``base``: weight of the cell and of the cells wholly within eps."""
+    full = near.where("full").join(cells.select(F.col("box").alias("b"), F.col("w").alias("_wb")), "b").groupBy(
+        F.col("a").alias("box")).agg(F.sum("_wb").alias("_more"))
+    return cells.join(full, "box", "left").withColumn("base", F.col("w") + F.coalesce("_more", F.lit(0))).drop("_more")
 
 
-def eps_neighbour_counts(df: DataFrame, feats: list[str], eps: float = 0.5,
-                         id_col: str = "customer_id") -> DataFrame:
-    """J7 as DBSCAN uses it: per customer, the number of customers within
-    ``eps`` (itself included), from the grid join without pairing same-cell points."""
-    pts, _pairs, counted, _g = _grid(df, feats, eps, id_col)
-    return pts.join(counted.select(*feats, "_n"), feats).select(
-        F.col("_id").alias(id_col), F.col("_n").cast("bigint").alias("n_eps"))
+def eps_neighbour_counts(df: DataFrame, feats: list[str], eps: float = 0.5, id_col: str = "customer_id",
+                         few: int = B.FEW_PAIRS) -> DataFrame:
+    """Per customer (null features: left out) the number of customers within ``eps``, itself included.
+
+    Cells wholly within eps count as one number; undecided pairs are halved
+    until their boxes are within or beyond eps or hold few points.
+    """
+    pts, points, cells, near, side = _grid(df, feats, eps, id_col)
+    base = _whole_weight(cells, near).select(F.col("box").alias("cell"), "base")
+    open_ = near.where(~F.col("full")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = B.refine(points, open_, len(feats), eps, side, count=True, few=few)
+    n = (points.join(base, "cell").join(more, "_pid", "left")
+         .select(*[F.col("_x")[i].alias(c) for i, c in enumerate(feats)], (F.col("base") + F.coalesce("add", F.lit(0))).alias("n_eps")))
+    return pts.join(n, feats).select(F.col("_id").alias(id_col), F.col("n_eps").cast("bigint").alias("n_eps"))
 
 
 def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int = 5,
-           id_col: str = "customer_id") -> DataFrame:
+           id_col: str = "customer_id", few: int = B.FEW_PAIRS) -> DataFrame:
     """Returns ``id_col``, ``segment`` ("Cluster i" or "Noise"), ``is_core``.
 
     A customer with a null feature has no place among the others and is Noise.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    d = len(feats)
-    pts, pairs, counted, gcols = _grid(df, feats, eps, id_col)
-    counted = counted.withColumn("_core", F.col("_n") >= min_samples).transform(cut)
-    core = counted.where("_core")
-    # cell graph over cells holding core points; seed label = smallest core id in the cell
-    ckey = F.concat_ws(",", *[F.col(g).cast("string") for g in gcols])
-    node = core.groupBy(*gcols).agg(F.min("_pid").alias("_lab")).withColumn("_cell", ckey)
-    core_ids = core.select("_pid")
-    ce = (pairs.join(core_ids.withColumnRenamed("_pid", "a__pid"), "a__pid", "left_semi")
-          .join(core_ids.withColumnRenamed("_pid", "b__pid"), "b__pid", "left_semi")
-          .select(F.concat_ws(",", *[F.col(f"a__g{i}").cast("string") for i in range(d)]).alias("_u"),
-                  F.concat_ws(",", *[F.col(f"b__g{i}").cast("string") for i in range(d)]).alias("_v"))
-          .distinct())
-    # components of the cell graph, then the smallest core id of each
-    comp = connected_components(ce.select(F.col("_u").alias("a"), F.col("_v").alias("b")))
-    placed = (node.select("_cell", "_lab").join(comp.withColumnRenamed("node", "_cell"), "_cell", "left")
-              .withColumn("component", F.coalesce("component", "_cell")).transform(cut))
-    labels = (placed.select("_cell", "component")
-              .join(placed.groupBy("component").agg(F.min("_lab").alias("_lab")), "component").select("_cell", "_lab"))
-    # cluster of each core point = its cell's label
-    counted = counted.withColumn("_cell", ckey)
-    core_lab = counted.where("_core").join(labels, "_cell").select("_pid", "_lab")
-    # border: non-core with a core neighbour (same cell, or a partial pair)
-    same_cell = counted.where(~F.col("_core")).join(labels, "_cell").select("_pid", "_lab")
-    pl = pairs.select(F.col("a__pid").alias("_pid"), F.col("b__pid").alias("_other")).unionByName(
-        pairs.select(F.col("b__pid").alias("_pid"), F.col("a__pid").alias("_other")))
-    via_pair = (pl.join(counted.where(~F.col("_core")).select("_pid"), "_pid", "left_semi")
-                .join(core_lab.select(F.col("_pid").alias("_other"), "_lab"), "_other").select("_pid", "_lab"))
-    border = same_cell.unionByName(via_pair).groupBy("_pid").agg(F.min("_lab").alias("_lab"))
-    assigned = core_lab.unionByName(border)
-    # number clusters by smallest core id (string order of customer ids)
-    clusters = core_lab.select("_lab").distinct()
-    numbered = global_positions(clusters, [F.col("_lab").asc()], pos_col="_num")
+    pts, points, cells, near, side = _grid(df, feats, eps, id_col)
+    dims = len(feats)
+    cells = _whole_weight(cells, near).withColumn("dense", F.col("base") >= min_samples).transform(cut)
+    flags = cells.select(F.col("box").alias("cell"), "base", "dense")
+    points = points.join(flags, "cell").transform(cut)
+    # points of light cells against the points of undecided neighbours: fewer than min_samples a cell
+    part = near.where(~F.col("full")).select(F.col("a").alias("cell"), F.col("b").alias("other"))
+    light = points.where(~F.col("dense"))
+    around = (light.select("cell", F.col("_pid").alias("p"), F.col("_x").alias("px")).join(part, "cell")
+              .join(points.select(F.col("cell").alias("other"), F.col("_pid").alias("q"), F.col("_x").alias("qx"), F.col("_w").alias("qw")), "other")
+              .where(B.distance2(F.col("px"), F.col("qx"), dims) <= F.lit(eps * eps)).select("cell", "p", "other", "q", "qw").transform(cut))
+    add = around.groupBy(F.col("p").alias("_pid")).agg(F.sum("qw").alias("_add"))
+    points = points.join(add, "_pid", "left").withColumn(
+        "core", F.col("dense") | (F.col("base") + F.coalesce("_add", F.lit(0)) >= min_samples)).select(
+        "_pid", "_x", "_w", "cell", "dense", "core").transform(cut)
+    core = points.where("core")
+    core_cells = core.groupBy("cell").agg(F.min("_pid").alias("node"), F.first("dense").alias("dense")).transform(cut)
+    # edges of the graph of core cells
+    both = (near.join(core_cells.select(F.col("cell").alias("a"), F.col("node").alias("na"), F.col("dense").alias("da")), "a")
+            .join(core_cells.select(F.col("cell").alias("b"), F.col("node").alias("nb"), F.col("dense").alias("db")), "b")
+            .where("na < nb").transform(cut))
+    whole = both.where("full").select("na", "nb")
+    met = (around.join(core.select(F.col("_pid").alias("p")), "p", "left_semi").join(core.select(F.col("_pid").alias("q")), "q", "left_semi")
+           .select("cell", "other").distinct())
+    node = core_cells.select("cell", "node")
+    single = (met.join(node.withColumnRenamed("node", "na"), "cell").join(
+        node.select(F.col("cell").alias("other"), F.col("node").alias("nb")), "other").select("na", "nb"))
+    undecided = both.where("NOT full AND da AND db").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    joined = B.refine(points.where("dense"), undecided, dims, eps, side, count=False, few=few)
+    dense = (joined.join(node.select(F.col("cell").alias("u"), F.col("node").alias("na")), "u")
+             .join(node.select(F.col("cell").alias("v"), F.col("node").alias("nb")), "v").select("na", "nb"))
+    edges = whole.unionAll(single).unionAll(dense).select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
+    comp = connected_components(edges)
+    placed = node.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).transform(cut)
+    # the component is its smallest node, and a node the smallest core customer of its cell
+    labels = placed.select("cell", F.col("component").alias("_lab"))
+    core_lab = core.select("_pid", "cell").join(labels, "cell").select("_pid", "_lab")
+    border = points.where("NOT core").select("_pid", "cell")
+    via_full = (border.join(near.where("full").select(F.col("a").alias("cell"), F.col("b").alias("other")), "cell")
+                .join(labels.withColumnRenamed("cell", "other"), "other").select("_pid", "_lab"))
+    via_point = (around.select(F.col("p").alias("_pid"), "other", "q").join(core.select(F.col("_pid").alias("q")), "q", "left_semi")
+                 .join(border.select("_pid"), "_pid", "left_semi").join(labels.withColumnRenamed("cell", "other"), "other").select("_pid", "_lab"))
+    reached = border.join(labels, "cell").select("_pid", "_lab").unionAll(via_full).unionAll(via_point).groupBy("_pid").agg(
+        F.min("_lab").alias("_lab"))
+    assigned = core_lab.unionAll(reached)
+    numbered = global_positions(placed.select(F.col("component").alias("_lab")).distinct(), [F.col("_lab").asc()], pos_col="_num")
     lab = assigned.join(numbered, "_lab").select("_pid", (F.col("_num") - 1).alias("_num"))
-    per_uniq = counted.select("_pid", *feats, "_core").join(lab, "_pid", "left")
-    out = pts.join(per_uniq.drop("_pid"), feats, "left")
+    per = points.join(lab, "_pid", "left").select(*[F.col("_x")[i].alias(c) for i, c in enumerate(feats)], "core", "_num")
+    out = pts.join(per, feats, "left")
     return out.select(F.col("_id").alias(id_col),
                       F.when(F.col("_num").isNull(), F.lit("Noise"))
                       .otherwise(F.concat(F.lit("Cluster "), F.col("_num").cast("string"))).alias("segment"),
-                      F.coalesce("_core", F.lit(False)).alias("is_core"))
+                      F.coalesce("core", F.lit(False)).alias("is_core"))

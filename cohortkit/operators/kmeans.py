@@ -1,10 +1,10 @@
-"""K-Means over a k range (Lloyd steps as one aggregate per pass).
+"""K-Means over a k range on a weighted coreset.
 
-The feature table is cached once, with partitions sized to its rows.  All
-restarts of all k advance together: each Lloyd iteration is one pass over
-the data that updates every model, and the lowest-cost restart per k is
-kept; the chosen k reuses it instead of refitting.  All labelings are then scored together:
-WCSS / Davies-Bouldin / Calinski-Harabasz from grouped aggregates, the
+All k and restarts are fitted on one bounded weighted sample of the customers
+(``coreset``), one Spark task per few fits; one pass over all rows then labels
+them for every k.  The loss of any centres on the sample stays within a stated
+bound of their loss on all rows.  All labelings are scored together: WCSS /
+Davies-Bouldin / Calinski-Harabasz from grouped aggregates, the
 squared-distance silhouette from one linear pass.  The Euclidean silhouette
 (F10) is a separate operator that needs all pairs.
 """
@@ -12,7 +12,6 @@ squared-distance silhouette from one linear pass.  The Euclidean silhouette
 from __future__ import annotations
 
 import warnings
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,146 +25,104 @@ from cohortkit.operators.pairs import n_blocks_for, silhouette_sums
 from cohortkit.session import cut
 
 SEED = 42
+CORESET = 40_000  # expected rows of the weighted sample that models are fitted on
+MAX_ITER = 300
 
 
 def assemble(df: DataFrame, feats: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=feats, outputCol=out).transform(df)
 
 
-def sized(data: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
-    """Cache the feature table with partitions sized to its rows.
+def coreset(data: DataFrame, feats: list[str], size: int = CORESET, seed: int = SEED, id_col: str = "customer_id"):
+    """(points, weights): a lightweight coreset (Bachem, Lucic and Krause, 2018), some ``size`` rows whatever the table holds.
 
-    Every K-Means iteration is a Spark job over this table, so a handful of
-    customers should not pay for hundreds of tasks, while a large table
-    still gets one task per ~100k rows."""
-    n = data.count()
-    parts = max(1, -(-n // rows_per_partition))
-    out = data.repartition(parts).cache()  # released by the caller
-    out.count()
-    return out
-
-
-def _kmeanspp(cand: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Weighted k-means++ seeding on the candidate set (driver, bounded size)."""
+    A row is drawn with probability p = size (1 / 2n + d2 / 2 sum of d2), d2
+    its squared distance to the mean, and weighs 1 / p; the coin is a seeded
+    hash of the customer, so reruns agree.  Up to size / 2 rows all are drawn with
+    weight 1, and the fit is the fit of all rows.  Beyond that the loss of any k
+    centres on the coreset differs from their loss on all rows by at most
+    e / 2 (that loss + the loss of the mean alone), where e falls as
+    sqrt(d k log k / size).  Two aggregates over the table.  Rows with a null feature are not drawn.
+    """
+    data = data.dropna(subset=feats)
+    stats = data.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{j}") for j, f in enumerate(feats)],
+                     *[F.var_pop(f).alias(f"v{j}") for j, f in enumerate(feats)]).first()
+    n, spread = stats["n"], sum(stats[f"v{j}"] or 0.0 for j in range(len(feats)))
+    if not n:
+        return np.zeros((0, len(feats))), np.zeros(0)
+    d2 = sum(((F.col(f) - F.lit(float(stats[f"m{j}"]))) ** 2 for j, f in enumerate(feats)), F.lit(0.0))
+    share = F.lit(0.5) + F.lit(0.5) * (d2 / F.lit(float(spread)) if spread > 0 else F.lit(1.0))
+    p = F.least(F.lit(1.0), F.lit(float(size) / n) * share)
+    coin = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = data.where(coin < p).select(id_col, *feats, (F.lit(1.0) / p).alias("_w")).toPandas().sort_values(id_col)
+    return rows[feats].to_numpy(dtype=float), rows["_w"].to_numpy(dtype=float)
+
+
+def _kmeanspp(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Weighted k-means++ seeding."""
     p = w / w.sum()
-    centres = [cand[rng.choice(len(cand), p=p)]]
-    d2 = ((cand - centres[0]) ** 2).sum(1)
+    centres = [x[rng.choice(len(x), p=p)]]
+    d2 = ((x - centres[0]) ** 2).sum(1)
     for _ in range(1, k):
         prob = w * d2
         tot = prob.sum()
-        idx = rng.choice(len(cand), p=prob / tot) if tot > 0 else rng.choice(len(cand), p=p)
-        centres.append(cand[idx])
-        d2 = np.minimum(d2, ((cand - cand[idx]) ** 2).sum(1))
+        centres.append(x[rng.choice(len(x), p=prob / tot if tot > 0 else p)])
+        d2 = np.minimum(d2, ((x - centres[-1]) ** 2).sum(1))
     return np.array(centres)
 
 
-def candidates(data: DataFrame, feats: list[str], per_round: int, seed: int, rounds: int = 5) -> np.ndarray:
-    """k-means|| candidates: in each round a row joins with probability per_round * d2 / sum of d2.
+def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * x @ c.T, 0.0)
 
-    d2 is the squared distance to the nearest candidate so far; the coin is a
-    seeded hash of the customer.  Some rounds * per_round rows reach the driver,
-    whatever the table holds.
-    """
-    name = F.col("customer_id").cast("string")
-    first = data.orderBy(F.xxhash64(F.lit(seed), name), "customer_id").limit(1).select(*feats).collect()
-    cand = np.array(first, dtype=float).reshape(-1, len(feats))
-    for r in range(rounds if len(cand) else 0):
-        far = reduce(F.least, [reduce(lambda a, b: a + b, [(F.col(f) - F.lit(float(x))) ** 2 for f, x in zip(feats, c)])
-                               for c in cand]) if len(cand) > 1 else reduce(
-            lambda a, b: a + b, [(F.col(f) - F.lit(float(x))) ** 2 for f, x in zip(feats, cand[0])])
-        total = data.agg(F.sum(far)).first()[0] or 0.0
-        if total <= 0:
-            break
-        coin = F.pmod(F.xxhash64(F.lit(seed + 1 + r), name), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        new = data.where(coin * F.lit(total) < F.lit(float(per_round)) * far).select(*feats).distinct().collect()
-        if new:
-            cand = np.concatenate([cand, np.array(sorted(tuple(x) for x in new), dtype=float)])
-    return cand
-
-
-def _stats_schema(d: int) -> str:
-    return "m int, c int, n long, cost double, " + ", ".join(f"s{j} double" for j in range(d))
-
-
-def _pass(data: DataFrame, feats: list[str], centres: list[np.ndarray]):
-    """One distributed pass: per model and cluster, member count, coordinate
-    sums and squared-distance cost (partial per partition, then summed)."""
-    d = len(feats)
 
-    def step(it):
-        for pdf in it:
-            x = pdf[feats].to_numpy(dtype=float)
-            if len(x) == 0:
-                continue
-            rows = []
-            for m, c in enumerate(centres):
-                d2 = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * x @ c.T
-                lab = d2.argmin(1)
-                best = np.maximum(d2[np.arange(len(x)), lab], 0.0)
-                k = len(c)
-                cnt = np.bincount(lab, minlength=k)
-                cost = np.bincount(lab, weights=best, minlength=k)
-                sums = np.zeros((k, d))
-                np.add.at(sums, lab, x)
-                for j in range(k):
-                    if cnt[j]:
-                        rows.append((m, j, int(cnt[j]), float(cost[j]), *sums[j]))
-            yield pd.DataFrame(rows, columns=["m", "c", "n", "cost"] + [f"s{j}" for j in range(d)])
-    agg = data.select(*feats).mapInPandas(step, _stats_schema(d)).groupBy("m", "c").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
-    return agg.collect()  # one row per (model, cluster): sum of k over models
+def lloyd(x: np.ndarray, w: np.ndarray, centres: np.ndarray, tol: float, max_iter: int = MAX_ITER):
+    """(centres, inertia, iterations, converged) of weighted Lloyd steps from ``centres``."""
+    k, it, done = len(centres), 0, False
+    while it < max_iter and not done:
+        lab = squared_distances(x, centres).argmin(1)
+        mass = np.bincount(lab, w, k)
+        sums = np.stack([np.bincount(lab, w * col, k) for col in x.T], 1)
+        new = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centres)
+        done = float(((new - centres) ** 2).sum()) <= tol
+        centres, it = new, it + 1
+    return centres, float((w * squared_distances(x, centres).min(1)).sum()), it, done
 
 
 def kmeans_batch(data: DataFrame, feats: list[str], ks: list[int], n_init: int = 10, seed: int = SEED,
-                 max_iter: int = 300, tol: float = 1e-4) -> list[dict]:
-    """F8 for many (k, seed) restarts at once: Lloyd iterations where every
-    pass over the data updates all models (one job per iteration for the
-    whole k range instead of one per model).
-
-    Seeding is k-means||: rounds over all rows draw candidates by their
-    distance from those before (``candidates``), one pass weighs them by the
-    rows nearest to each, and every restart runs weighted k-means++ on them.
-    Convergence as the common rule: total squared centre shift <= tol * mean
+                 max_iter: int = MAX_ITER, tol: float = 1e-4, size: int = CORESET) -> list[dict]:
+    """F8 for many (k, restart) at once, on one coreset.
+
+    The coreset (some megabytes at most) is broadcast; every fit is weighted k-means++
+    and Lloyd steps in a task.  Convergence as the common rule: total squared centre shift <= tol * mean
     feature variance; a restart that ``max_iter`` stops is reported.
-    Returns one dict per restart: k, seed, centres, inertia, iterations, converged.
+    Returns one dict per restart: k, seed, centres, inertia (on the coreset), iterations, converged.
     """
-    var = data.agg(*[F.var_pop(c).alias(c) for c in feats]).first()
-    tol_abs = tol * float(np.mean([var[c] or 0.0 for c in feats]))
-    cand = candidates(data, feats, 2 * max(ks), seed)
-    wrows = _pass(data, feats, [cand])
-    w = np.zeros(len(cand))
-    for r in wrows:
-        w[r["c"]] = r["n"]
-    w = np.maximum(w, 1e-12)
-    models = []
-    for k in ks:
-        for i in range(n_init):
-            kk = min(k, len(cand))
-            models.append({"k": k, "seed": seed + i,
-                           "centres": _kmeanspp(cand, w, kk, np.random.default_rng(seed + i)),
-                           "done": False, "iterations": 0, "inertia": None})
-    for _ in range(max_iter):
-        active = [m for m in models if not m["done"]]
-        if not active:
-            break
-        rows = _pass(data, feats, [m["centres"] for m in active])
-        mi = np.array([r["m"] for r in rows], dtype=int)
-        ci = np.array([r["c"] for r in rows], dtype=int)
-        ni = np.array([r["n"] for r in rows], dtype=float)
-        si = np.array([[r[f"s{j}"] for j in range(len(feats))] for r in rows], dtype=float)
-        for idx, m in enumerate(active):
-            new = m["centres"].copy()
-            sel = (mi == idx) & (ni > 0)
-            new[ci[sel]] = si[sel] / ni[sel][:, None]
-            shift = float(((new - m["centres"]) ** 2).sum())
-            m["centres"] = new
-            m["iterations"] += 1
-            if shift <= tol_abs:
-                m["done"] = True
-    rows = _pass(data, feats, [m["centres"] for m in models])
-    for idx, m in enumerate(models):
-        m["inertia"] = float(sum(r["cost"] for r in rows if r["m"] == idx))
-        m["converged"] = m["done"]
+    spark = data.sparkSession
+    x, w = coreset(data, feats, size, seed)
+    if not len(x):
+        raise ValueError("no rows to cluster")
+    mean = np.average(x, axis=0, weights=w)
+    limit = tol * float(np.average((x - mean) ** 2, axis=0, weights=w).mean())
+    shared = spark.sparkContext.broadcast((x, w))
+    d = len(feats)
+
+    def fit(it):
+        px, pw = shared.value
+        for pdf in it:
+            rows = []
+            for k, s in zip(pdf["k"], pdf["seed"]):
+                start = _kmeanspp(px, pw, min(int(k), len(px)), np.random.default_rng(int(s)))
+                c, inertia, steps, done = lloyd(px, pw, start, limit, max_iter)
+                rows.append((int(k), int(s), inertia, steps, done, c.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["k", "seed", "inertia", "iterations", "converged", "centres"])
+
+    # large k first, dealt one by one, so that tasks end together
+    todo = spark.sparkContext.parallelize([(k, seed + i) for k in sorted(ks, reverse=True) for i in range(n_init)], len(ks) * n_init)
+    found = spark.createDataFrame(todo, "k int, seed int").mapInPandas(
+        fit, "k int, seed int, inertia double, iterations int, converged boolean, centres array<double>").collect()
+    shared.unpersist()
+    models = [{"k": r.k, "seed": r.seed, "centres": np.array(r.centres).reshape(-1, d), "inertia": r.inertia,
+               "iterations": r.iterations, "converged": r.converged} for r in found]
     if not all(m["converged"] for m in models):
         warnings.warn(f"K-Means: {sum(not m['converged'] for m in models)} restarts stopped at {max_iter} iterations", stacklevel=2)
     return models
@@ -192,18 +149,36 @@ def assign(df: DataFrame, feats: list[str], centres: np.ndarray, out: str) -> Da
     return df.withColumn(out, nearest(feats, centres))
 
 
+def lloyd_steps(data: DataFrame, feats: list[str], start: list, steps: int, id_col: str = "customer_id") -> DataFrame:
+    """Labels and squared distances after ``steps`` Lloyd steps over all rows from given centres; an empty cluster keeps its centre."""
+    centres = np.array(start, dtype=float)
+    for _ in range(steps):
+        means = assign(data, feats, centres, "_c").groupBy("_c").agg(*[F.avg(f).alias(f"m{j}") for j, f in enumerate(feats)]).collect()
+        for r in means:  # one row per cluster
+            centres[r["_c"]] = [r[f"m{j}"] for j in range(len(feats))]
+    dists = F.array(*[sum(((F.col(f) - F.lit(float(c[j]))) ** 2 for j, f in enumerate(feats)), F.lit(0.0)) for c in centres])
+    return assign(data, feats, centres, "cluster").select(id_col, "cluster", F.array_min(dists).alias("cost"))
+
+
 def label_all(data: DataFrame, feats: list[str], best: dict, id_col: str = "customer_id") -> DataFrame:
     """``label_k{k}`` for every k in one pass; clusters renumbered by
     descending size, then smallest member id (stable names).  The size
     table has sum(k) rows, so the renumbering is applied as literal maps."""
-    raw = data.select(id_col, *feats, *[nearest(feats, m["centres"]).alias(f"_raw{k}")
-                                        for k, m in best.items()]).transform(cut)
-    parts = [raw.groupBy(F.lit(k).alias("k"), F.col(f"_raw{k}").alias("raw")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")) for k in best]
-    sizes = parts[0]
-    for p in parts[1:]:
-        sizes = sizes.unionByName(p)
-    rows = sizes.collect()
+    centres = {k: m["centres"] for k, m in best.items()}
+    kept = data.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]).dropna(subset=feats)
+
+    def label(it):
+        for pdf in it:
+            x = pdf[feats].to_numpy(dtype=float)
+            for k, c in centres.items():
+                pdf[f"_raw{k}"] = squared_distances(x, c).argmin(1).astype("int32") if len(x) else pd.Series([], dtype="int32")
+            yield pdf
+
+    kinds = ", ".join([f"{id_col} {kept.schema[id_col].dataType.simpleString()}", *[f"{f} double" for f in feats],
+                       *[f"_raw{k} int" for k in best]])
+    raw = kept.mapInPandas(label, kinds).transform(cut)
+    rows = (raw.select(id_col, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_raw{k}").alias("raw")) for k in best])).alias("r"))
+            .groupBy("r.k", "r.raw").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")).collect())
     maps = {}
     for k in best:
         ordered = sorted((r for r in rows if r["k"] == k), key=lambda r: (-r["n"], r["first"]))
@@ -270,14 +245,13 @@ def evaluate_k_range(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_ma
     calinski_harabasz, combined; labelled DataFrame with ``label_k{k}``;
     {k: best restart}).
     """
-    data = sized(feats_df.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats]))
+    data = feats_df.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats]).transform(cut)
     best = best_per_k(kmeans_batch(data, feats, list(range(k_min, k_max + 1)), n_init, seed))
-    labelled = label_all(data, feats, dict(sorted(best.items()))).transform(cut)
+    labelled = label_all(data, feats, dict(sorted(best.items())))
     label_cols = {k: f"label_k{k}" for k in best}
     metrics = label_metrics(labelled, feats, label_cols)
     sil = squared_silhouette(labelled, feats, label_cols)
     scores = combined_score(metrics.join(sil, "k"))
-    data.unpersist()
     return (scores.select("k", "wcss", "silhouette", "davies_bouldin", "calinski_harabasz", "combined"),
             labelled, best)
 
@@ -287,7 +261,7 @@ def cluster_segments(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_ma
     """F23 core: choose k (or take ``k_override`` inside the range), label
     ``Cluster i``.  Returns (customer_id + segment DataFrame, scores, k)."""
     scores, labelled, _ = evaluate_k_range(feats_df, feats, k_min, k_max, n_init)
-    scores = scores.cache()
+    scores = scores.transform(cut)  # one row per k
     if k_override is not None and k_min <= k_override <= k_max:
         k = k_override
     else:

@@ -11,7 +11,8 @@ from cohortkit.operators import marts as H
 from cohortkit.operators import orders as A
 from cohortkit.operators import pairs as PR
 from cohortkit.operators import scaling as SC
-from cohortkit.operators.kmeans import assign, evaluate_k_range, fit_best, pca2, silhouette, sized
+from cohortkit.operators import peaks as PK
+from cohortkit.operators.kmeans import assign, evaluate_k_range, fit_best, lloyd_steps, pca2, silhouette
 from cohortkit.operators.dbscan import dbscan
 from cohortkit.plans import flows
 from cohortkit.plans.q_base import LRFM_SQL, MONEY, RATIO, RFM_SQL, orders_clean, rfm_base
@@ -201,11 +202,31 @@ def f19(spark, sf):
 
 @register("f8_kmeans")
 def f8(spark, sf):
-    data = sized(scaled(spark, sf).select("customer_id", *RFM3))
+    data = scaled(spark, sf).select("customer_id", *RFM3)
     _cost, _seed, centres = fit_best(data, 4, n_init=10, feats=RFM3)
     return assign(data, RFM3, centres, "cluster").select("customer_id", "cluster")
 
 
+START = [(0.0, 0.0, 0.0), (1.0, 0.5, 0.5), (-0.5, -1.0, -1.0)]
+
+
+def _lloyd_sql(steps):
+    out = f"{SCALED_SQL}, s0(c, r, f, m) AS (VALUES {', '.join(f'({i}, {r}, {f}, {m})' for i, (r, f, m) in enumerate(START))})"
+    for i in range(steps + 1):
+        out += f""", a{i} AS (SELECT customer_id, any_value(Recency) AS r, any_value(Frequency) AS f, any_value(Monetary) AS m,
+  arg_min(c, d) AS c, min(d) AS d FROM (SELECT sc.*, c, pow(Recency - r, 2) + pow(Frequency - f, 2) + pow(Monetary - m, 2) AS d
+  FROM sc, s{i}) GROUP BY customer_id)"""
+        if i < steps:
+            out += f""", s{i + 1} AS (SELECT s{i}.c, coalesce(avg(a{i}.r), any_value(s{i}.r)) AS r, coalesce(avg(a{i}.f), any_value(s{i}.f)) AS f,
+  coalesce(avg(a{i}.m), any_value(s{i}.m)) AS m FROM s{i} LEFT JOIN a{i} USING (c) GROUP BY s{i}.c)"""
+    return out + f" SELECT customer_id, CAST(c AS INTEGER) AS cluster, d AS cost FROM a{steps}"
+
+
+@register("f8b_kmeans_given_start", _lloyd_sql(3), {"cost": RATIO})
+def f8_given_start(spark, sf):
+    return lloyd_steps(scaled(spark, sf).select("customer_id", *RFM3), RFM3, START, 3)
+
+
 @register("f13_evaluate_k_range")
 def f13(spark, sf):
     scores, _, _ = evaluate_k_range(scaled(spark, sf), RFM3, 2, 10, n_init=10)
@@ -282,45 +303,46 @@ def t19(spark, sf):
     return PR.pair_distances(emb(spark, sf), "id", PR.cid_kernel("x"), 4, ["x"])
 
 
-DPC_SQL = f"""WITH {EMB_PAIRS}, ids AS (SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings),
-full_ AS (SELECT i, j, dist FROM ep UNION ALL SELECT j, i, dist FROM ep),
-dc AS (SELECT quantile_cont(dist, 0.02) AS dc FROM (SELECT dist FROM full_ UNION ALL SELECT 0.0 FROM ids)),
-rho AS (SELECT ids.id, 1.0 + coalesce(sum(exp(-pow(f.dist / dc.dc, 2))), 0.0) AS rho FROM ids LEFT JOIN full_ f ON f.i = ids.id,
-        dc GROUP BY ids.id),
-dl AS (SELECT f.i AS id, min(f.dist) AS delta FROM full_ f JOIN rho ri ON ri.id = f.i JOIN rho rj ON rj.id = f.j
-       WHERE rj.rho > ri.rho OR (rj.rho = ri.rho AND f.j < f.i) GROUP BY f.i),
-pk AS (SELECT rho.id, rho.rho, coalesce(dl.delta, (SELECT max(delta) FROM dl)) AS delta FROM rho LEFT JOIN dl USING (id)),
+PEAKS_SQL = f"""{SCALED_SQL}, z AS (SELECT customer_id, round(Recency, 6) AS x, round(Frequency, 6) AS y, round(Monetary, 6) AS w FROM sc),
+smp AS (SELECT * FROM z ORDER BY md5('42:' || customer_id), customer_id LIMIT 200),
+dcv AS (SELECT greatest(floor(quantile_cont(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.w - b.w, 2)), 0.02) * 1000 + 0.5) / 1000,
+  0.001) AS dc FROM smp a, smp b),
+cells AS (SELECT floor(x / dc) AS g0, floor(y / dc) AS g1, floor(w / dc) AS g2, count(*) AS n, min(customer_id) AS id, avg(x) AS x,
+  avg(y) AS y, avg(w) AS w, any_value(dc) AS dc FROM z, dcv GROUP BY 1, 2, 3),
+pr AS (SELECT a.id AS i, b.id AS j, b.n, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.w - b.w, 2)) AS d, a.dc FROM cells a, cells b),
+rho AS (SELECT i AS id, round(sum(n * exp(-pow(d / dc, 2))), 6) AS rho FROM pr WHERE d <= 3 * dc GROUP BY 1),
+dl AS (SELECT pr.i AS id, min(d) AS delta FROM pr JOIN rho a ON a.id = pr.i JOIN rho b ON b.id = pr.j
+  WHERE b.rho > a.rho OR (b.rho = a.rho AND pr.j < pr.i) GROUP BY 1),
+pk AS (SELECT z.customer_id AS id, rho.rho, CASE WHEN z.customer_id <> cells.id THEN 0.0
+  ELSE coalesce(dl.delta, (SELECT coalesce(max(delta), 0.0) FROM dl)) END AS delta
+  FROM z, dcv, cells JOIN rho USING (id) LEFT JOIN dl USING (id)
+  WHERE floor(z.x / dcv.dc) = g0 AND floor(z.y / dcv.dc) = g1 AND floor(z.w / dcv.dc) = g2),
 pk2 AS (SELECT *, rho * delta AS gamma FROM pk),
-ranked AS (SELECT id, CAST(row_number() OVER (ORDER BY gamma DESC, id) AS INTEGER) AS center_rank FROM pk2
-           ORDER BY gamma DESC, id LIMIT 4)"""
+ranked AS (SELECT id, CAST(row_number() OVER (ORDER BY gamma DESC, id) AS INTEGER) AS center_rank FROM pk2 ORDER BY gamma DESC, id LIMIT 4)"""
 
 
-def dpc(spark, sf):
-    e = emb(spark, sf)
-    return D.density_peaks(emb_pairs(spark, sf), e.select("id"), 4)
+def rounded(spark, sf):
+    return scaled(spark, sf).select("customer_id", *[F.round(c, 6).alias(c) for c in RFM3]).transform(cut)
 
 
-@register("f20_density_peaks", f"""{DPC_SQL} SELECT pk2.*, ranked.center_rank FROM pk2 LEFT JOIN ranked USING (id)""",
-          {"rho": RATIO, "delta": RATIO, "gamma": RATIO})
+@register("f20_density_peaks", f"{PEAKS_SQL} SELECT pk2.*, ranked.center_rank FROM pk2 LEFT JOIN ranked USING (id)",
+          {"rho": RATIO, "delta": RATIO, "gamma": 4})
 def f20(spark, sf):
-    return dpc(spark, sf).withColumn("center_rank", F.col("center_rank").cast("int"))
+    return PK.density_peaks(rounded(spark, sf), RFM3, 4)
 
 
-@register("j8_higher_density_min", f"{DPC_SQL} SELECT id, delta FROM pk", {"delta": RATIO})
+@register("j8_higher_density_min", f"{PEAKS_SQL} SELECT id, delta FROM pk", {"delta": RATIO})
 def j8(spark, sf):
-    return dpc(spark, sf).select("id", "delta")
+    return PK.density_peaks(rounded(spark, sf), RFM3, 4).select("id", "delta")
 
 
-@register("f21_fuzzy_membership", f"""{DPC_SQL}, cd AS (SELECT f.i AS id, r.center_rank, f.dist FROM full_ f JOIN ranked r ON r.id = f.j
-  UNION ALL SELECT r.id, r.center_rank, 0.0 FROM ranked r)
+@register("f21_fuzzy_membership", f"""{PEAKS_SQL}, cd AS (SELECT a.customer_id AS id, r.center_rank,
+  sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.w - b.w, 2)) AS dist FROM z a, ranked r JOIN z b ON b.customer_id = r.id)
 SELECT id, center_rank, pow(1.0 / (dist + 1e-9), 0.5) / sum(pow(1.0 / (dist + 1e-9), 0.5)) OVER (PARTITION BY id) AS membership
 FROM cd""", {"membership": RATIO})
 def f21(spark, sf):
-    e = emb(spark, sf)
-    pairs = emb_pairs(spark, sf).transform(cut)
-    peaks = D.density_peaks(pairs, e.select("id"), 4)
-    centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
-    return D.fuzzy_membership(pairs, e.select("id"), centers)
+    z = rounded(spark, sf)
+    return PK.fuzzy_membership(z, RFM3, PK.density_peaks(z, RFM3, 4))
 
 
 @register("t22_sample_customers", f"{RFM_SQL} SELECT * FROM rfm ORDER BY md5('42:' || customer_id), customer_id LIMIT 100",
@@ -383,7 +405,7 @@ def f22(spark, sf):
     centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
     u = D.spectral_embedding(D.fuzzy_membership(pairs, e.select("id"), centers), 4)
     feats = [f"u{i}" for i in range(4)]
-    flat = sized(u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)]))
+    flat = u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)])
     _c, _s, centres = fit_best(flat, 4, n_init=10, feats=feats)
     return assign(flat, feats, centres, "cluster").select(F.col("customer_id").alias("id"), "cluster")
 
@@ -402,7 +424,7 @@ def t23(spark, sf):
     centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
     u = D.spectral_embedding(D.fuzzy_membership(pairs, ids, centers), 4)
     feats = [f"u{i}" for i in range(4)]
-    flat = sized(u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)]))
+    flat = u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)])
     _c, _s, centres = fit_best(flat, 4, n_init=10, feats=feats)
     labels = assign(flat, feats, centres, "cluster").select("customer_id", "cluster")
     report = T.churn_risk(normed_series, labels)

@@ -111,7 +111,7 @@ def np_lloyd(x, k, seed, iters=300):
 
 
 def test_kmeans_wcss_close_to_numpy_best(spark, scaled):
-    data = K.sized(scaled.select("customer_id", *RFM3))
+    data = scaled.select("customer_id", *RFM3)
     inertia, _seed, _c = K.fit_best(data, 4, n_init=10, feats=RFM3)
     x = scaled.toPandas()[RFM3].to_numpy()
     best = min(np_lloyd(x, 4, s) for s in range(20))
