@@ -239,12 +239,29 @@ def f23(spark, sf):
     return res
 
 
-@register("f17_dbscan")
+# pairs within eps, core points, cells of side eps / sqrt(3) that hold a link between core points, components of cells
+DBSCAN_SQL = SCALED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+pt AS (SELECT *, floor(Recency / (0.5 / sqrt(3))) || ',' || floor(Frequency / (0.5 / sqrt(3))) || ',' || floor(Monetary / (0.5 / sqrt(3))) AS cell
+  FROM sc),
+nb AS (SELECT a.customer_id AS i, b.customer_id AS j, a.cell AS ci, b.cell AS cj FROM pt a JOIN pt b
+  ON pow(a.Recency - b.Recency, 2) + pow(a.Frequency - b.Frequency, 2) + pow(a.Monetary - b.Monetary, 2) <= 0.25),
+core AS (SELECT i AS id, any_value(ci) AS cell FROM nb GROUP BY 1 HAVING count(*) >= 5),
+link AS (SELECT DISTINCT ci AS u, cj AS v FROM nb JOIN core a ON a.id = i JOIN core b ON b.id = j),
+reach(u, v) AS (SELECT DISTINCT cell, cell FROM core UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v),
+lab AS (SELECT u AS cell, min(id) AS lab FROM reach JOIN core ON core.cell = reach.v GROUP BY 1),
+num AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS k FROM (SELECT DISTINCT lab FROM lab)),
+own AS (SELECT i AS id, min(lab) AS lab FROM nb JOIN core ON core.id = j JOIN lab ON lab.cell = core.cell
+  WHERE i = j OR i NOT IN (SELECT id FROM core) GROUP BY 1),
+seg AS (SELECT pt.customer_id, coalesce('Cluster ' || k::VARCHAR, 'Noise') AS segment, core.id IS NOT NULL AS is_core
+  FROM pt LEFT JOIN own ON own.id = pt.customer_id LEFT JOIN num USING (lab) LEFT JOIN core ON core.id = pt.customer_id)"""
+
+
+@register("f17_dbscan", f"{DBSCAN_SQL} SELECT * FROM seg")
 def f17(spark, sf):
     return dbscan(scaled(spark, sf), RFM3, eps=0.5, min_samples=5)
 
 
-@register("f23b_rfm_dbscan_segments")
+@register("f23b_rfm_dbscan_segments", f"{DBSCAN_SQL} SELECT rfm.*, segment FROM rfm JOIN seg USING (customer_id)", {"Monetary": MONEY})
 def f23b(spark, sf):
     res, _ = flows.rfm_clusters(orders_clean(spark, sf), algorithm="dbscan")
     return res
