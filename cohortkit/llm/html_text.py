@@ -5,7 +5,11 @@ comments and navigation, advert, form and reader-comment containers leave
 nothing.  The text lengths of ``WINDOW`` consecutive lines are summed; a
 surge is a line where the sum leaves zero, the dive is where it falls back,
 and the text between them is a region.  With an ``article`` (or ``main``)
-element the tags decide: all text inside it is main text.  Otherwise lines
+element the tags decide: all text inside it is main text.  Containers of
+comments, adverts, notices and the like go by their element or by the words of
+their class and id; one strong word is enough (``STRONG_NAMES``) where the
+container holds neither the main text nor its title nor nearly all text.  Without
+such an element lines
 that are mostly links count as empty, and all regions are kept: link lists of
 ``WINDOW`` lines and more, or at either end of the page, are what is dropped.
 
@@ -56,6 +60,14 @@ ARTICLE_NAMES = frozenset(
 SECTION_IDS = frozenset("comments disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+# Any of these words in a class or id names such a container, however it goes on (post-comments, ad-300x250), unless
+# a modifier says that the element merely has one (has-sidebar).
+STRONG_NAMES = frozenset(
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising comment comments commentlist consent "
+    "cookie cookies disqus newsletter popup promo promotion sidebar sidebars sponsor sponsored".split())
+MODIFIERS = frozenset("has is no not with without".split())
+CONTAINERS = frozenset("aside dl div ins ol section table ul".split())
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
@@ -93,6 +105,17 @@ def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     return name not in ROOTS and bool(_HIDDEN.search(attrs))
 
 
+def _strongly_named(name: str, attrs: str) -> bool:
+    if name not in CONTAINERS or not attrs:
+        return False
+    for key, a, b, c in _ATTR.findall(attrs):
+        for value in (a or b or c).lower().split():
+            words = [w for w in re.split(r"[^a-z]+", value) if w]
+            if not STRONG_NAMES.isdisjoint(words) and MODIFIERS.isdisjoint(words) and not (key.lower() == "id" and name == "section"):
+                return True
+    return False
+
+
 def page_tags(page: str):
     """Tags as (start, end, closing?, name, attributes); comments and raw elements have the name None."""
     out, at, low, n = [], 0, None, len(page)
@@ -179,6 +202,21 @@ def page_lines(page: str):
     texts = [i for i, t in enumerate(tags)
              if t[3] in ("article", "main") and not t[2] and not _is_boilerplate(t[3], t[4], False)]
 
+    # what a container with a strong name may not hold: the main text, or its title, or nearly all text of the page
+    heads = sorted({*texts, *mains, *[i for i, t in enumerate(tags) if t[3] == "h1" and not t[2]]})
+    written = [0]  # characters outside tags before each tag
+    for i, t in enumerate(tags):
+        written.append(written[-1] + t[0] - (tags[i - 1][1] if i else 0))
+    written.append(written[-1] + len(page) - (tags[-1][1] if tags else 0))
+
+    def strong(i):
+        if not _strongly_named(tags[i][3], tags[i][4]):
+            return False
+        k = bisect.bisect_right(heads, i)
+        if k < len(heads) and heads[k] < ends[i]:
+            return False
+        return 10 * (written[min(ends[i] + 1, len(tags))] - written[i + 1]) <= 9 * written[-1]
+
     def flush():
         nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(buf))).strip()
@@ -221,9 +259,9 @@ def page_lines(page: str):
         if name in BLOCKS:
             flush()
             anchor = 0
-        elif name in ("br", "td", "th", "img"):
+        elif name in ("br", "td", "th"):
             buf.append(" ")
-        if not closing and name not in VOID and _is_boilerplate(name, attrs, article > 0):
+        if not closing and name not in VOID and (_is_boilerplate(name, attrs, article > 0) or strong(i - 1)):
             flush()
             i, at = skip(i - 1)
         elif name in ("article", "main"):

@@ -18,6 +18,14 @@ CASES = [
     ("<article><p>cut off &am", "cut off &am"), ("<article><p>a<div class='x", "a"), ("<nav>menu<article><p>kept</p></article>", "kept"),
     ("<ul><li><a>one</a><li><a>two</a></ul><div><p>" + "long text " * 20 + "</p><p>more text here</p></div>",
      ("long text " * 20).strip() + "\nmore text here"),
+    *[(f"<article><h1>T</h1><p>One foo<img src=x>bar.</p><{e} {k}='{n}'><p>drop this text, all of it</p></{e}><p>Two.</p></article>", "T\nOne foobar.\nTwo.")
+      for e in ("div", "section") for k, n in (("class", "article-comments"), ("class", "post-comments"), ("class", "user-comments"),
+                                               ("class", "ad-300x250"), ("class", "cookie-banner-v2"), ("class", "blog-sidebar"), ("class", "adsbygoogle"))],
+    *[(f"<div><h1>T</h1><p>One.</p><div class={n}><p>drop</p></div><p>Two.</p></div>", "T\nOne.\nTwo.")
+      for n in ("article-comments", "ad-300x250", "cookie-banner-v2", "blog-sidebar", "adsbygoogle")],
+    ("<div class='page has-sidebar'><div class=with-comments><h1>T</h1><p>One.</p></div></div>", "T\nOne."),
+    ("<div class='sidebar-layout'><article><p>One.</p></article></div>", "One."),
+    ("<div class=comment-howto><h1>T</h1><p>One.</p></div>", "T\nOne."),
     ("<article><p class='notice'>hidden</p></article>", ""), ("<article></article>", ""),
 ]
 
