@@ -13,8 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Tables of at most this many rows may be broadcast; they are counted first.
 BROADCAST_ROWS = 50_000
 
-# Labelled texts of more bytes are left out of training samples (scoring covers them).
+# A labelled text of more bytes enters a training sample as PIECES pieces spread evenly over it (scoring takes it whole).
 LONGEST_TEXT = 256 << 10
+PIECES = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,29 +55,30 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, rows: int, max_bytes: int, seed: int) -> DataFrame:
     """A bounded training sample: the columns of ``labels`` (but doc_id) that ``keep`` allows, with ``text``.
 
-    Labels are taken in the order of a seeded hash of ``doc_id``, at most
-    ``rows`` of them, which bounds the broadcast.  Texts over ``LONGEST_TEXT``
-    bytes are left out; the other texts are taken whole, in that order, until
-    the next one would exceed ``max_bytes``, so at least ``max_bytes`` less
-    ``LONGEST_TEXT`` bytes are used where there are as many.  The window runs
-    over the bounded sample only.
+    Labels that have a document are taken in the order of a seeded hash of
+    ``doc_id``, at most ``rows`` of them, which bounds the broadcast.  A text of
+    more than ``LONGEST_TEXT`` bytes is represented by pieces from all over it, of at
+    most so many bytes together; the other texts are taken whole.  Texts are
+    used in that order until the next one would exceed ``max_bytes``, so at least
+    ``max_bytes`` less ``LONGEST_TEXT`` bytes are used where there are as many.
+    The window runs over the bounded sample only.
     """
-    sample = _labelled_texts(docs, labels, keep, rows, seed).where(F.octet_length("text") <= LONGEST_TEXT)
+    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    there = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"))
+    some = (labels.where(F.col("doc_id").isNotNull() & keep).join(there, F.col("doc_id") == F.col("_id"), "left_semi")
+            .orderBy(order, *labels.columns).limit(rows))
+    some = some.select(order.alias("_o"), *[F.col(c).alias(c if c != "doc_id" else "_doc") for c in labels.columns])
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(some), texts["_id"] == some["_doc"]).withColumn("text", excerpt(F.col("text")))
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy("_o", *[c for c in labels.columns if c != "doc_id"], "text")
                                                 .rowsBetween(Window.unboundedPreceding, 0))
     return sample.withColumn("_bytes", so_far).where(F.col("_bytes") <= max_bytes).drop("_id", "_doc", "_bytes", "_o")
 
 
-def refuse_long_labels(docs: DataFrame, labels: DataFrame, keep: Column, rows: int, seed: int) -> None:
-    """For an empty training sample: raise if there are labelled texts, all of them over ``LONGEST_TEXT``."""
-    if _labelled_texts(docs, labels, keep, rows, seed).limit(1).count():
-        raise ValueError(f"labels exist, but every labelled text drawn is longer than {LONGEST_TEXT} bytes; nothing to fit")
-
-
-def _labelled_texts(docs: DataFrame, labels: DataFrame, keep: Column, rows: int, seed: int) -> DataFrame:
-    """The texts of the first ``rows`` labels in hash order, with the order as ``_o``."""
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    some = labels.where(F.col("doc_id").isNotNull() & keep).orderBy(order, *labels.columns).limit(rows)
-    some = some.select(order.alias("_o"), *[F.col(c).alias(c if c != "doc_id" else "_doc") for c in labels.columns])
-    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(some), texts["_id"] == some["_doc"])
+def excerpt(text: Column) -> Column:
+    """``text``, or pieces spread evenly over a text of more than ``LONGEST_TEXT`` bytes; a code point has four bytes at most."""
+    size = LONGEST_TEXT // (4 * PIECES) - 1
+    step = F.length(text) / F.lit(float(PIECES))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)),
+                         lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.least(F.lit(size), F.ceil(step).cast("int"))))
+    return F.when(F.octet_length(text) <= LONGEST_TEXT, text).otherwise(F.array_join(pieces, " "))

@@ -15,8 +15,9 @@ seeded hash, inside one task; scoring is a narrow pass over all documents.
 Edge cases: null and empty texts have no features and get the score 0 under
 the thresholds; null grades and labels without a document are ignored;
 several grades of one document count each; labelled texts over
-``common.LONGEST_TEXT`` bytes are scored but not fitted, and labels that leave
-only such texts are refused; without labelled rows all grades are equally likely; an empty table gives an empty result.
+``common.LONGEST_TEXT`` bytes are scored whole and fitted by pieces from all
+over them; further columns are ignored, whatever their names; without labelled
+rows all grades are equally likely; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm import kernels as K
-from cohortkit.llm.common import labelled_sample, refuse_long_labels
+from cohortkit.llm.common import labelled_sample
 
 TRAIN_ROWS = 8_000    # bounds of the training sample
 TRAIN_BYTES = 24 << 20
@@ -152,8 +153,6 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, train_rows: int = TRA
 
     # the sample is bounded in rows and bytes, so one task can hold it
     made = sample.repartition(1).mapInArrow(train, "model binary, n bigint").first()
-    if not made or not made.n:
-        refuse_long_labels(docs, grades, keep, train_rows, seed)
     return pickle.loads(made[0]) if made else fit_ordinal([], [], np.zeros(0, dtype=np.int64), n_grades)
 
 
