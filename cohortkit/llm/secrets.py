@@ -7,8 +7,9 @@ blob once however many paths share it, and joins the findings of the current
 rule versions back to all paths.
 
 Edge cases: a null text is the empty blob; empty texts have no spans; equal
-texts share one blob; rows with equal or null ids keep a row each; an empty
-table gives empty results.
+texts share one blob; rows with equal or null ids keep a row each; very long
+texts are scanned whole; other columns are handed on, but those named ``_blob``
+and ``_spans`` are replaced; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.llm.common import BROADCAST_ROWS, cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -131,11 +134,20 @@ def findings(ledger: DataFrame, rules=RULES) -> DataFrame:
 
 
 def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """Every row of ``versions`` (all columns) with ``_blob`` and ``_spans`` (null: no findings)."""
+    """Every row of ``versions`` with ``_blob`` and ``_spans`` (null: no findings); input columns of these names are replaced.
+
+    Blobs with findings are few: up to ``BROADCAST_ROWS`` of them (counted) are
+    broadcast, so a blob that a third of all rows share stays where its rows are.
+    Beyond that the written table is joined by an exchange that adaptive
+    execution can split.
+    """
+    versions = versions.drop("_blob", "_spans")
     new = scan_new(versions, ledger, rules)
     every = new if ledger is None else new.unionByName(ledger.select("blob", "kind", "version", "spans"))
     found = findings(every, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    return versions.withColumn("_blob", blob_id(F.col("text"))).join(found, "_blob", "left")
+    found = found.transform(cut)
+    few = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return versions.withColumn("_blob", blob_id(F.col("text"))).join(few, "_blob", "left")
 
 
 def digest_columns(spans: Column, kinds=BASE_KINDS) -> dict[str, Column]:

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+from cohortkit.llm.secrets import RULES
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -12,7 +14,7 @@ ASSIGN = re.compile(
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+PEM = re.compile(next(r.pattern for r in RULES if r.kind == "pem").replace("|$)", r"|\Z)"))  # the rule itself, in another engine
 
 
 def sha(s):
