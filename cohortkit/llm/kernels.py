@@ -91,6 +91,17 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def hash_sets(column):
+    """The 64-bit hashes of every row of an Arrow binary column, without a copy."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offs, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    off = np.frombuffer(offs, dtype=kind)[column.offset:column.offset + len(column) + 1].tolist()
+    for a, b in zip(off[:-1], off[1:]):
+        yield np.frombuffer(data, np.uint64, count=(b - a) // 8, offset=a) if b > a else np.zeros(0, np.uint64)
+
+
 def chunks(off: np.ndarray, size: int = CHUNK):
     """Ranges [i, j) of documents of at most ``size`` bytes, one document at least."""
     i, n = 0, len(off) - 1

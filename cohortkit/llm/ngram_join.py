@@ -216,13 +216,17 @@ def candidates(docs: DataFrame, k: int, percent: int, part_bytes: int | None = N
         return B.hash_rows(key[0].as_py(), values, n_buckets, bits, np.minimum(counts, 255).astype(np.uint8))
 
     def answer(key, table):
-        parts, counts, blobs, values = B.gather(table)
-        weight = np.concatenate([np.frombuffer(b, np.uint8, offset=8 * n) for b, n in zip(blobs, counts)]).astype(np.int64)
-        _, inverse = np.unique(values, return_inverse=True)
-        total = np.bincount(inverse, weight).astype(np.int64)
-        cls = np.minimum(np.log2(total), 63).astype(np.uint8)[inverse]
-        edges = np.cumsum([0, *counts])
-        return B.answers(parts, key[0].as_py(), [cls[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])])
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("n").to_pylist(), table.column("data").to_pylist()))
+        values = np.concatenate([B.decode(blob, n) for _, n, blob in rows])
+        values.sort()
+        known = K.distinct(values, is_sorted=True)
+        del values  # a bucket's hashes are held once; each part's are decoded again where they are used
+        total = np.zeros(len(known), np.int64)
+        for _, n, blob in rows:
+            total[np.searchsorted(known, B.decode(blob, n))] += np.frombuffer(blob, np.uint8, offset=8 * n)
+        classes = np.minimum(np.log2(total), 63).astype(np.uint8)
+        return B.answers([part for part, _, _ in rows], key[0].as_py(),
+                         [classes[np.searchsorted(known, B.decode(blob, n))].tobytes() for _, n, blob in rows])
 
     def finish(key, left, right):
         sets = list(shingle_sets(left.column("text"), k))
@@ -267,10 +271,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with their set sizes and the size of their intersection: a, b, n_a, n_b, both."""
     def run(batches):
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            out = [(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))
+                   for x, y in zip(K.hash_sets(batch.column("x")), K.hash_sets(batch.column("y")))]
             cols = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(c, pa.int64()) for c in cols]],
                                              names=["a", "b", "n_a", "n_b", "both"])
