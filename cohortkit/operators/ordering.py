@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.session import cut, ensure_checkpoint_dir, shuffle_partitions
+from cohortkit.operators.selection import quantiles
+from cohortkit.session import cut, shuffle_partitions
 
 _LOCAL_MASK = (1 << 33) - 1
 
@@ -138,14 +139,12 @@ def grouped_exact_quantiles(df: DataFrame, group: list[str], value: str, probs:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], prefix: str = "q") -> DataFrame:
-    """One row of exact quantiles of ``value`` over the whole table (see above).
+    """One row of exact quantiles of ``value`` over the whole table, by narrowing (``selection``).
 
     An empty input gives one row of nulls.
     """
-    one = df.select(F.lit(0).alias("_g"), value)
-    q = grouped_exact_quantiles(one, ["_g"], value, probs, prefix)
-    base = df.sparkSession.range(1).select(F.lit(0).alias("_g"))
-    return base.join(q, "_g", "left").drop("_g")
+    q = quantiles(df, [value], probs)[value]
+    return df.sparkSession.createDataFrame([tuple(q)], ", ".join(f"{prefix}{i} double" for i in range(len(probs))))
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n,

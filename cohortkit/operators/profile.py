@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortkit.functions.core import is_negative
-from cohortkit.operators.ordering import exact_quantiles, grouped_exact_quantiles
+from cohortkit.operators.ordering import exact_quantiles
+from cohortkit.operators.selection import quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -113,7 +114,6 @@ def validation_report(df: DataFrame, required: list[str] | None = None,
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per numeric column."""
     cols = cols or numeric_columns(df)
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     wide = df.agg(*[x for i, c in enumerate(cols) for x in (
         F.count(c).alias(f"n_{i}"), F.avg(c).alias(f"a_{i}"), F.stddev_samp(c).alias(f"s_{i}"),
         F.min(F.col(c).cast("double")).alias(f"l_{i}"), F.max(F.col(c).cast("double")).alias(f"h_{i}"))])
@@ -121,9 +121,8 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         F.lit(c).alias("column_name"), F.col(f"n_{i}").alias("count"), F.col(f"a_{i}").cast("double").alias("mean"),
         F.col(f"s_{i}").alias("std"), F.col(f"l_{i}").alias("min"), F.col(f"h_{i}").alias("max"))
         for i, c in enumerate(cols)])).alias("r")).select("r.*")
-    # quartiles of all columns in one job over the long form
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column_name, value)")
-    q = grouped_exact_quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75], prefix="p")
+    found = quantiles(df, cols, [0.25, 0.5, 0.75])
+    q = F.broadcast(df.sparkSession.createDataFrame([(c, *found[c]) for c in cols], "column_name string, p0 double, p1 double, p2 double"))
     return stats.join(q, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", F.col("p0").alias("p25"), F.col("p1").alias("p50"),
         F.col("p2").alias("p75"), "max")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions.core import add_scalars
-from cohortkit.operators.ordering import grouped_exact_quantiles
+from cohortkit.operators.selection import quantiles
 
 
 def standard_scale(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
@@ -28,22 +28,10 @@ def log_features(df: DataFrame, cols: list[str] = ("F", "M")) -> DataFrame:
     return df.withColumns({c: F.log1p(F.col(c)) for c in cols})
 
 
-def column_quantiles(df: DataFrame, cols: list[str], p: float) -> DataFrame:
-    """Exact quantile ``p`` of each column in one distributed job (long form
-    feature/value, grouped by feature).  One row per column: (feature, q0)."""
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (feature, value)")
-    return grouped_exact_quantiles(long, ["feature"], "value", [p])
-
-
 def winsorize(df: DataFrame, cols: list[str], p: float = 0.99) -> DataFrame:
-    """cap each column at its exact ``p`` quantile (upper side only)."""
-    q = column_quantiles(df, cols, p)
-    one = q.groupBy().pivot("feature", cols).agg(F.first("q0"))
-    one = one.select(*[F.col(f"`{c}`").alias(f"_cap_{c}") for c in cols])
-    j = add_scalars(df, one)
-    return j.withColumns({c: F.least(F.col(c).cast("double"), F.col(f"_cap_{c}")) for c in cols}).drop(
-        *[f"_cap_{c}" for c in cols])
+    """cap each column at its exact ``p`` quantile (upper side only); all caps are found together by narrowing."""
+    caps = quantiles(df, cols, [p])
+    return df.withColumns({c: F.least(F.col(c).cast("double"), F.lit(caps[c][0]).cast("double")) for c in cols})
 
 
 def variance_weights(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions.core import add_scalars
-from cohortkit.session import cut
-from cohortkit.operators.ordering import exact_quantiles, global_positions, grouped_exact_quantiles, prefix_sums
+from cohortkit.operators.ordering import exact_quantiles, prefix_sums
+from cohortkit.operators.selection import quantiles, rank_cuts
 from cohortkit.session import cut
 
 # Built-in RFM segment rules, priority order, full match, first wins.
@@ -108,15 +108,16 @@ def rank_qcut_score(df: DataFrame, col: str, out: str, q: int = 5,
     """Quantile bin of ``rank(method='first')`` (ties in ``tie`` order).
 
     Ranks are 1..n, so the edges are 1 + (n-1)j/q and the bin is
-    max(1, ceil(q(rank-1)/(n-1))), in integer arithmetic.
+    max(1, ceil(q(rank-1)/(n-1))): bin b ends at the row with floor(b(n-1)/q)
+    rows before it.  These q - 1 rows are found by narrowing, and bins are
+    comparisons with them: the table is neither sorted nor exchanged.
+    ``tie`` is compared as text.
     """
-    ranked = global_positions(df, [F.col(col).asc(), F.col(tie).asc()], pos_col="_rank")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    num = F.lit(q) * (F.col("_rank") - 1)
-    den = F.col("_n") - 1
-    score = F.when(den <= 0, F.lit(1)).otherwise(
-        F.greatest(F.lit(1), F.floor((num + den - 1) / den)))
-    return add_scalars(ranked, n).withColumn(out, score.cast("int")).drop("_rank", "_n")
+    cuts = rank_cuts(df, col, tie, lambda n: [b * (n - 1) // q for b in range(1, q)])
+    inf = float("inf")
+    x = F.coalesce(F.nanvl(F.col(col).cast("double"), F.lit(inf)), F.lit(-inf))
+    above = sum((F.when((x > F.lit(v)) | ((x == F.lit(v)) & (F.col(tie).cast("string") > F.lit(t))), 1).otherwise(0) for v, t in cuts), F.lit(0))
+    return df.withColumn(out, (F.lit(1) + above).cast("int"))
 
 
 def rfm_code(df: DataFrame, out: str = "RFM_Score") -> DataFrame:
@@ -156,12 +157,10 @@ def custom_rules(segments: list[dict]) -> list:
 
 
 def multi_qcut_edges(df: DataFrame, cols: list[str], q: int = 5) -> dict:
-    """qcut edges of several columns from one grouped quantile job (long
-    form column/value); returns {column: one-row edges DataFrame}."""
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (_col, _val)")
-    e = grouped_exact_quantiles(long, ["_col"], "_val", [i / q for i in range(q + 1)], prefix="e").transform(cut)
-    return {c: e.where(F.col("_col") == c).drop("_col") for c in cols}
+    """qcut edges of several columns, found together by narrowing; returns {column: one-row edges DataFrame}."""
+    edges = quantiles(df, cols, [i / q for i in range(q + 1)])
+    kinds = ", ".join(f"e{j} double" for j in range(q + 1))
+    return {c: df.sparkSession.createDataFrame([tuple(edges[c])], kinds) for c in cols}
 
 
 def rfm_scores(rfm_df: DataFrame, q: int = 5, on_ties: str = "raise") -> DataFrame:
@@ -217,10 +216,8 @@ def cluster_type(profile: DataFrame, population: DataFrame, l: str = "L", r: str
                  m: str = "M") -> DataFrame:
     """Name clusters by comparing mean L, R', M with population medians."""
     pop = population.select(F.col(l).alias("_l"), F.col(r).alias("_r"), F.col(m).alias("_m"))
-    stack = "stack(3, 'l', CAST(_l AS DOUBLE), 'r', CAST(_r AS DOUBLE), 'm', CAST(_m AS DOUBLE)) as (_col, _val)"
-    q = grouped_exact_quantiles(pop.selectExpr(stack), ["_col"], "_val", [0.5], prefix="q")
-    med = q.groupBy().pivot("_col", ["l", "r", "m"]).agg(F.first("q0")).select(
-        F.col("l").alias("ml0"), F.col("r").alias("mr0"), F.col("m").alias("mm0"))
+    q = quantiles(pop, ["_l", "_r", "_m"], [0.5])
+    med = pop.sparkSession.createDataFrame([(q["_l"][0], q["_r"][0], q["_m"][0])], "ml0 double, mr0 double, mm0 double")
     t = (F.when(F.col(l) < F.col("ml0"),
                 F.when(F.col(r) < F.col("mr0"), CLUSTER_TYPES["new_active"])
                 .otherwise(CLUSTER_TYPES["new_inactive"]))
@@ -239,5 +236,3 @@ def quantile_scores(df: DataFrame, cols: list[str], q: int = 5, on_ties: str = "
         df = qcut_score(df, c, f"{c}_score", q, on_ties=on_ties, edges=edges[c])
     return df
 
-
-__all__ = ["grouped_exact_quantiles"]
