@@ -7,6 +7,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from cohortkit.functions.core import add_scalars
+
 from cohortkit.operators import clean as C
 from cohortkit.operators import mapping as M
 from cohortkit.operators import orders as A
@@ -292,6 +294,25 @@ def c1(spark, sf):
     return M.apply_mapping(C.dedup_raw(td.raw_dirty_orders(spark, sf)), td.DIRTY_MAPPING)
 
 
+_REPEATED = """raw AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders
+  UNION ALL SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, 'changed' FROM orders WHERE o_orderkey % 5 = 0)"""
+
+
+@register("c1b_dedup_repeated_keys", f"""WITH {_REPEATED}, d AS (SELECT DISTINCT * FROM raw WHERE o_totalprice > 0)
+SELECT (SELECT count(*) FROM raw) AS rows_before, (SELECT count(*) FROM raw) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS removed_duplicates,
+  count(*) AS rows_after, count(*) AS flow_rows, sum(o_totalprice) AS flow_total FROM d""", {"flow_total": MONEY})
+def c1b(spark, sf):
+    """Whole copies go, rows that share a key with other contents stay; C11 counts what the flow removes."""
+    o = td.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    raw = (o.unionAll(o.where("o_orderkey % 7 = 0"))
+           .unionAll(o.where("o_orderkey % 5 = 0").withColumn("o_orderpriority", F.lit("changed"))))
+    stats = C.clean_stats_raw(raw, td.ORDERS_MAPPING).select("rows_before", "removed_duplicates", "rows_after")
+    flow = C.clean_raw(raw, td.ORDERS_MAPPING, key=td.ORDERS_KEY).agg(
+        F.count(F.lit(1)).alias("flow_rows"), F.sum("order_total").alias("flow_total"))
+    return add_scalars(stats, flow)
+
+
 @register("c2_dedup_mapped", f"WITH {DIRTY} SELECT DISTINCT * FROM dirty", _DR)
 def c2(spark, sf):
     return C.dedup_mapped(td.dirty_orders(spark, sf))

@@ -6,7 +6,9 @@ import json
 import re
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,44 +83,78 @@ def add_run_metadata(df: DataFrame, meta: dict) -> DataFrame:
     })
 
 
+def _log_path(path: str) -> str:
+    return path.rstrip("/") + "-runs"
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, run_timestamp, folder) of the finished runs of a history; one small row per run."""
+    schema = "run_id string, run_timestamp timestamp_ntz, folder string"
+    try:
+        return spark.read.schema(schema).parquet(_log_path(path))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_history(df: DataFrame, path: str, meta: dict) -> str:
-    """K8: append one run to a history table partitioned by run date.
+    """K8: add one run to a history, in a folder of its own under its run date.
 
+    A run counts once its folder is written and its line is in the log beside
+    the history (``<path>-runs``).  A write that is tried again replaces the
+    folder of an unfinished run and leaves a finished one alone, so it adds nothing.
     New result columns are allowed: readers use ``mergeSchema``.
     """
-    out = add_run_metadata(df, meta).withColumn("run_date", F.to_date("run_timestamp"))
-    out.write.mode("append").partitionBy("run_date").parquet(path)
+    spark = df.sparkSession
+    if committed_runs(spark, path).where(F.col("run_id") == F.lit(str(meta["run_id"]))).limit(1).count():
+        return path
+    # a letter in front, so that folder names are never read as numbers
+    folder = f"run_date={meta['run_timestamp']:%Y-%m-%d}/run=r{quote(str(meta['run_id']), safe='')}"
+    add_run_metadata(df, meta).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder}")
+    line = spark.createDataFrame([(str(meta["run_id"]), meta["run_timestamp"], folder)], "run_id string, run_timestamp timestamp_ntz, folder string")
+    line.coalesce(1).write.mode("append").parquet(_log_path(path))
     return path
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """All runs; ``run_date`` comes from the folders."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("run")
 
 
-def latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """K9: rows of the newest run (run_timestamp = max).
+def latest_folder(spark: SparkSession, path: str) -> str:
+    """The folder of the newest finished run (ties: the larger run_id), from the log alone."""
+    newest = committed_runs(spark, path).agg(F.max(F.struct("run_timestamp", "run_id", "folder")).alias("r")).first().r
+    if newest is None:
+        raise ValueError(f"no finished run in {path}")
+    return f"{path.rstrip('/')}/{newest.folder}"
 
-    Two steps: the newest ``run_date`` from partition values alone, then the
-    newest timestamp inside that folder; both scans of data prune to it.
-    """
-    hist = read_history(spark, path)
-    day = hist.select("run_date").distinct().agg(F.max("run_date")).first()[0]
-    folder = hist.where(F.col("run_date") == F.lit(day))
-    newest = folder.agg(F.max("run_timestamp")).first()[0]
-    return folder.where(F.col("run_timestamp") == F.lit(newest).cast("timestamp_ntz")).drop("run_date")
+
+def latest_run(spark: SparkSession, path: str) -> DataFrame:
+    """K9: rows of the newest finished run; only its folder is listed and opened."""
+    return spark.read.parquet(latest_folder(spark, path))
 
 
 def create_latest_view(spark: SparkSession, path: str, view: str) -> DataFrame:
-    """K9 as a view that callers query by name; it is replaced at every call."""
-    rows = latest_run(spark, path)
-    rows.createOrReplaceTempView(view)
+    """K9 as a catalog view that callers query by name; every call points it to the newest run."""
+    spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.`{latest_folder(spark, path)}`")
+    return spark.table(view)
+
+
+def create_latest_table_view(spark: SparkSession, table: str, view: str) -> DataFrame:
+    """K9 over a catalog table (``append_history_table``): a lasting view that follows later runs by itself."""
+    spark.sql(f"""CREATE OR REPLACE VIEW {view} AS SELECT * FROM {table} WHERE run_date = (SELECT max(run_date) FROM {table})
+        AND run_timestamp = (SELECT max(run_timestamp) FROM {table} WHERE run_date = (SELECT max(run_date) FROM {table}))""")
     return spark.table(view)
 
 
 def append_history_table(df: DataFrame, table: str, meta: dict) -> str:
-    """K8 into a catalog table: created if absent, new columns are added to it first."""
+    """K8 into a catalog table: created if absent, new columns are added to it first; a run that is in the table is not added again."""
     spark = df.sparkSession
     out = add_run_metadata(df, meta).withColumn("run_date", F.to_date("run_timestamp"))
+    if spark.catalog.tableExists(table) and spark.table(table).where(
+            (F.col("run_date") == F.lit(meta["run_timestamp"].date())) & (F.col("run_id") == F.lit(meta["run_id"]))).limit(1).count():
+        return table
     if not spark.catalog.tableExists(table):
         out.write.partitionBy("run_date").format("parquet").saveAsTable(table)
         return table
