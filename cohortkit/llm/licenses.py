@@ -1,38 +1,44 @@
 """License scans by MinHash bands over overlapping windows, in DataFrame operations only.
 
 Texts become lower-cased words of letters and digits, and 3-word shingles.
-Windows of ``SPAN`` words start every ``STRIDE`` words, so any run of
-SPAN - STRIDE + 1 words lies whole inside a window.  A window's signature is
-the minimum of its shingle hashes under ``BANDS`` seeded permutations, one
-row per band; a template has a signature for its window at every word.  Words
-that a template holds in braces (versions) must stand in the text unchanged.  At a
-window similarity of 0.5, the least a five-word notice reaches, 16 bands of
-one row collide with probability 1 - 0.5**16 > 0.9999.
+Windows start every few words, in two scales: long ones (8 words, every 4) for
+templates of more than ``FEW`` shingles, short ones (6 words, every 2) for the
+others, so a run of five words lies whole inside a window of either.  A window's
+signature is the minimum of its shingle hashes under ``BANDS`` seeded permutations,
+one row per band; a template has a signature for its window at every word.
+Every template is retrieved by its bands alone: with 32 bands of one row, windows
+that share one of four shingles (a three-word name) collide with probability
+1 - 0.75**32 = 0.9999, two of four or more with 1 - 2e-10.
 
 A window can only collide where it holds a shingle that is the minimum of
 some template band, so signatures are computed for windows with such a
 shingle and no others; the result is the same.  Windows that collide retrieve
 their template, and the share of the template's shingles found around the
-window decides: containment of at least ``CONTAIN``, by exact shingles.
+window decides: containment of at least ``CONTAIN``, by exact shingles.  Words
+that a template holds in braces (versions) must also stand there unchanged,
+which is part of this check.  A template table of more than ``MAX_SHINGLES``
+words is scanned block by block.
 
 Edge cases: null and empty texts and texts under three words match nothing;
-repeated rows get the same result each; templates under three words are
+repeated rows get the same result each; very long texts are scanned whole;
+further columns are ignored, whatever their names; templates under three words are
 refused; an empty document table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
-SPAN = 8
-STRIDE = 4
-BANDS = 16
+SCALES = ((8, 4), (6, 2))  # words of a window, and from one start to the next
+FEW = 4                    # templates of more shingles use the first scale
+BANDS = 32
 CONTAIN = 0.8
-MAX_SHINGLES = 50_000  # bound of the template table, which plans carry as literals
+MAX_SHINGLES = 50_000      # words of the templates of one block, which plans carry as literals
 
 # Notices and clauses of public licenses, several per license.  Words in braces must stand in the
 # text as they are, next to each other, so that versions and variants are told apart.
@@ -123,7 +129,7 @@ def _permute(band: int):
 
 
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
-    """(id, license, size, shingles, exact): one row per template; a small table by MAX_SHINGLES.
+    """(id, license, size, shingles, exact): one row per template of a block.
 
     ``templates`` gives a text or several per license; ``exact`` holds the
     shingles of the words in braces.
@@ -135,33 +141,41 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
             rows.append((len(rows), k, _words(t), _words(held.group(1)) if held else []))
     if any(len(w) < GRAM or 0 < len(held) < GRAM for _, _, w, held in rows):
         raise ValueError("a template, and what it holds in braces, needs three words")
-    if sum(len(w) for _, _, w, _ in rows) > MAX_SHINGLES:
-        raise ValueError(f"templates are limited to {MAX_SHINGLES} words a run; split the table")
     df = spark.createDataFrame(rows, "id int, license string, words array<string>, held array<string>")
     return df.select("id", "license", F.size("words").alias("size"), shingle_hashes(F.col("words")).alias("shingles"),
                      shingle_hashes(F.col("held")).alias("exact"))
 
 
+def blocks_of(templates, most: int = MAX_SHINGLES) -> list[dict]:
+    """The templates in blocks of at most ``most`` words (one text at least)."""
+    out, size = [{}], 0
+    for k, texts in templates.items():
+        for t in (texts,) if isinstance(texts, str) else texts:
+            n = len(_words(t))
+            if size and size + n > most:
+                out.append({})
+                size = 0
+            out[-1].setdefault(k, []).append(t)
+            size += n
+    return out
+
+
 def template_bands(templates: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(id, band, value, shingle): minima of the template windows at every word, with the shingle that gives them.
+    """(id, scale, band, value, shingle): minima of the template windows at every word, with the shingle that gives them."""
+    made = []
+    for scale, (span, _) in enumerate(SCALES):
+        per = span - GRAM + 1
+        many = F.size("shingles") > FEW
+        starts = F.sequence(F.lit(1), F.greatest(F.size("shingles") - per + 1, F.lit(1)))
+        wins = templates.where(many if scale == 0 else ~many).select("id", F.explode(F.transform(starts, _slice_of(per))).alias("win"))
+        least = [F.array_min(F.transform("win", _pair(b))) for b in range(bands)]
+        made.append(wins.select("id", F.lit(scale).alias("scale"), F.posexplode(F.array(*least)).alias("band", "m"))
+                    .select("id", "scale", "band", F.col("m.value").alias("value"), F.col("m.shingle").alias("shingle")))
+    return made[0].unionByName(made[1]).distinct()
 
-    Exact words, and templates of so few shingles that all are needed, are
-    looked up by a shingle, as band -1: their windows are too small a part of
-    a text window for the bands.
-    """
-    per = SPAN - GRAM + 1
-    wins = templates.select("id", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("shingles") - per + 1, F.lit(1))),
-        lambda i: F.slice("shingles", i, per))).alias("win"))
-    least = [F.array_min(F.transform("win", _pair(b))) for b in range(bands)]
-    made = (wins.select("id", F.posexplode(F.array(*least)).alias("band", "m"))
-            .select("id", "band", F.col("m.value").alias("value"), F.col("m.shingle").alias("shingle")))
-    needed = F.when(F.size("exact") > 0, F.element_at("exact", -1)).when(
-        F.ceil(CONTAIN * F.size("shingles")) == F.size("shingles"), F.element_at("shingles", -1))
-    direct = templates.select("id", F.lit(-1).alias("band"), needed.alias("value"), needed.alias("shingle"))
-    # a template with exact words is found by them alone
-    held = templates.where(F.size("exact") > 0).select("id")
-    return made.join(F.broadcast(held), "id", "left_anti").unionByName(direct.where("value IS NOT NULL")).distinct()
+
+def _slice_of(per: int):
+    return lambda i: F.slice("shingles", i, per)
 
 
 def _pair(band: int):
@@ -170,30 +184,40 @@ def _pair(band: int):
 
 def scan(docs: DataFrame, templates=TEMPLATES, contain: float = CONTAIN) -> DataFrame:
     """Matches: doc_id, text_hash, license, start (word), containment; one row per license and place."""
+    return reduce(DataFrame.unionAll, [_scan_block(docs, block, contain) for block in blocks_of(templates)])
+
+
+def _scan_block(docs: DataFrame, templates: dict, contain: float) -> DataFrame:
     spark = docs.sparkSession
     table = template_table(spark, templates)
     bands = template_bands(table).persist()
     minima = [r.shingle for r in bands.select("shingle").distinct().collect()]  # bounded by MAX_SHINGLES
     longest = table.agg(F.max("size")).first()[0]
-    per, reach = SPAN - GRAM + 1, int(longest)
+    per, reach = SCALES[0][0] - GRAM + 1, int(longest)
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS), F.lit(0)).alias("w"))
     # the row number also keeps filters above from being evaluated below, where the shingles would be computed again
     rows = rows.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), shingle_hashes(F.col("w")).alias("s"))
     at = F.filter(F.transform("s", lambda h, i: F.when(h.isin(minima), i)), lambda i: i.isNotNull())
     hit = rows.select("row", "doc_id", "text_hash", "s", F.explode(at).alias("p"))
-    # starts (multiples of the stride) of the windows that hold shingle p
-    first = F.greatest(F.lit(0), F.ceil((F.col("p") - (per - 1)) / STRIDE) * STRIDE).cast("int")
-    last = (F.floor(F.col("p") / STRIDE) * STRIDE).cast("int")
-    wins = (hit.select("row", "doc_id", "text_hash", "s", F.explode(F.sequence(first, last, F.lit(STRIDE))).alias("start"))
-            .select("row", "doc_id", "text_hash", "start", F.slice("s", F.col("start") + 1, F.lit(per)).alias("win"),
+
+    def starts(scale: int):
+        """Starts of the windows of a scale that hold shingle p."""
+        span, stride = SCALES[scale]
+        first = F.greatest(F.lit(0), F.ceil((F.col("p") - (span - GRAM)) / stride) * stride).cast("int")
+        last = (F.floor(F.col("p") / stride) * stride).cast("int")
+        return F.transform(F.sequence(first, last, F.lit(stride)), lambda x: F.struct(F.lit(scale).alias("scale"), x.alias("start")))
+
+    size = F.element_at(F.array(*[F.lit(span - GRAM + 1) for span, _ in SCALES]), F.col("scale") + 1)
+    wins = (hit.select("row", "doc_id", "text_hash", "s", F.explode(F.concat(*[starts(i) for i in range(len(SCALES))])).alias("x"))
+            .select("row", "doc_id", "text_hash", "s", "x.scale", "x.start")
+            .select("row", "doc_id", "text_hash", "scale", "start", F.slice("s", F.col("start") + 1, size).alias("win"),
                     F.slice("s", F.greatest(F.lit(1), F.col("start") + 1 - reach), F.lit(2 * reach + per)).alias("around"))
-            .dropDuplicates(["row", "start"]))
-    keys = F.concat(F.transform(signature(F.col("win")), lambda v, i: F.struct(i.alias("band"), v.alias("value"))),
-                    F.transform("win", lambda h: F.struct(F.lit(-1).alias("band"), h.alias("value"))))
-    signed = wins.select("row", "doc_id", "text_hash", "start", "around", F.explode(keys).alias("k")).select(
-        "row", "doc_id", "text_hash", "start", "around", "k.band", "k.value")
-    found = (signed.join(F.broadcast(bands.select("id", "band", "value").distinct()), ["band", "value"])
+            .dropDuplicates(["row", "scale", "start"]))
+    keys = F.transform(signature(F.col("win")), lambda v, i: F.struct(i.alias("band"), v.alias("value")))
+    signed = wins.select("row", "doc_id", "text_hash", "scale", "start", "around", F.explode(keys).alias("k")).select(
+        "row", "doc_id", "text_hash", "scale", "start", "around", "k.band", "k.value")
+    found = (signed.join(F.broadcast(bands.select("id", "scale", "band", "value").distinct()), ["scale", "band", "value"])
              .groupBy("row", "doc_id", "text_hash", "start", "id").agg(F.first("around").alias("around")))
     # the part of the surroundings that a template of this size can reach from the window
     near = F.slice("around", F.greatest(F.lit(1), F.least("start", F.lit(reach)) + 1 - F.col("size")), 2 * F.col("size") + per)
