@@ -9,8 +9,8 @@ from cohortkit.operators import cluster_metrics as CM
 from cohortkit.operators import density as D
 from cohortkit.operators import marts as H
 from cohortkit.operators import orders as A
-from cohortkit.operators import pairs as PR
 from cohortkit.operators import scaling as SC
+from cohortkit.operators import landmarks as LM
 from cohortkit.operators import peaks as PK
 from cohortkit.operators.kmeans import assign, evaluate_k_range, fit_best, lloyd_steps, pca2, silhouette
 from cohortkit.operators.dbscan import dbscan
@@ -140,7 +140,7 @@ def stand_in_sil(spark, sf):
     return silhouette(stand_in(scaled(spark, sf)), RFM3, {k: f"label_k{k}" for k in KS})
 
 
-@register("f10_silhouette_euclid", f"{SIL_SQL} SELECT * FROM sil", {"silhouette": RATIO})
+@register("f10_silhouette_euclid", f"{SIL_SQL} SELECT *, 0.0::DOUBLE AS bound FROM sil", {"silhouette": RATIO, "bound": RATIO})
 def f10(spark, sf):
     return stand_in_sil(spark, sf)
 
@@ -154,7 +154,7 @@ scores AS (SELECT *, 0.4 * (CASE WHEN max(silhouette) OVER () = min(silhouette)
 
 
 def stand_in_scores(spark, sf):
-    return CM.combined_score(stand_in_metrics(spark, sf).join(stand_in_sil(spark, sf), "k"))
+    return CM.combined_score(stand_in_metrics(spark, sf).join(stand_in_sil(spark, sf).drop("bound"), "k"))
 
 
 @register("f14_combined_score", f"{COMB_SQL} SELECT * FROM scores", {**_M, "silhouette": RATIO, "combined": RATIO})
@@ -291,33 +291,31 @@ def emb(spark, sf):
         F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
-EMB_PAIRS = """ep AS (SELECT CAST(a.vec_id AS VARCHAR) AS i, CAST(b.vec_id AS VARCHAR) AS j,
-  list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist
-  FROM embeddings a, embeddings b WHERE CAST(a.vec_id AS VARCHAR) < CAST(b.vec_id AS VARCHAR))"""
+# every vector against the landmarks of T22's sample
+EMB_MARKS = """ev AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS x,
+  sqrt(list_sum(list_transform(range(1, len(embedding)), lambda p: pow(CAST(embedding[p + 1] AS DOUBLE) - CAST(embedding[p] AS DOUBLE), 2)))) AS c
+  FROM embeddings), mk AS (SELECT * FROM ev ORDER BY md5('42:' || id), id LIMIT 64),
+ep AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS dist, a.c AS ca, b.c AS cb FROM ev a, mk b)"""
 
 
-def emb_pairs(spark, sf):
-    e = emb(spark, sf)
-    return PR.pair_distances(e, "id", PR.euclid_kernel("x"), 4, ["x"])
+def emb_marks(spark, sf, complexity=False):
+    e = emb(spark, sf).select("id", "x")
+    return LM.landmark_distances(e, LM.choose(e), complexity=complexity)
 
 
-@register("t17_pair_distances", f"WITH {EMB_PAIRS} SELECT * FROM ep", {"dist": RATIO})
+@register("t17_pair_distances", f"WITH {EMB_MARKS} SELECT i, j, dist FROM ep", {"dist": 5})
 def t17(spark, sf):
-    return emb_pairs(spark, sf)
+    return emb_marks(spark, sf)
 
 
-@register("j9_all_pairs", f"WITH {EMB_PAIRS} SELECT i, j FROM ep")
+@register("j9_all_pairs", f"WITH {EMB_MARKS} SELECT i, j FROM ep")
 def j9(spark, sf):
-    return emb_pairs(spark, sf).select("i", "j")
+    return emb_marks(spark, sf).select("i", "j")
 
 
-@register("t19_cid_distance", """WITH ce AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS x,
-  sqrt(list_sum(list_transform(range(1, len(embedding)), lambda p: pow(CAST(embedding[p + 1] AS DOUBLE) - CAST(embedding[p] AS DOUBLE), 2)))) AS c
-  FROM embeddings)
-SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) * greatest(a.c, b.c) / (least(a.c, b.c) + 1e-9) AS dist
-FROM ce a, ce b WHERE a.id < b.id""", {"dist": RATIO})
+@register("t19_cid_distance", f"WITH {EMB_MARKS} SELECT i, j, dist * greatest(ca, cb) / (least(ca, cb) + 1e-9) AS dist FROM ep", {"dist": 5})
 def t19(spark, sf):
-    return PR.pair_distances(emb(spark, sf), "id", PR.cid_kernel("x"), 4, ["x"])
+    return emb_marks(spark, sf, complexity=True)
 
 
 PEAKS_SQL = f"""{SCALED_SQL}, z AS (SELECT customer_id, round(Recency, 6) AS x, round(Frequency, 6) AS y, round(Monetary, 6) AS w FROM sc),
@@ -409,42 +407,37 @@ def monthly_series(spark, sf):
 @register("t18_dtw_distances")
 def t18(spark, sf):
     packed, _ = monthly_series(spark, sf)
-    n = packed.count()
-    return PR.pair_distances(packed.withColumnRenamed("customer_id", "id"), "id", PR.dtw_kernel("series"),
-                             PR.n_blocks_for(n, 200), ["series"])
+    series = packed.select(F.col("customer_id").alias("id"), "series").transform(cut)
+    return LM.nearest_by_dtw(series, LM.choose(series, 16))
+
+
+def spectral_labels(vec, k):
+    """(id, cluster) by K-Means on the rows of the spectral embedding."""
+    feats = [f"u{i}" for i in range(k)]
+    flat = LM.spectral_embedding(vec, k).select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)]).transform(cut)
+    _c, _s, centres = fit_best(flat, k, n_init=10, feats=feats)
+    return assign(flat, feats, centres, "cluster").select(F.col("customer_id").alias("id"), "cluster")
 
 
 @register("f22_spectral_clusters")
 def f22(spark, sf):
-    e = emb(spark, sf)
-    pairs = emb_pairs(spark, sf).transform(cut)
-    peaks = D.density_peaks(pairs, e.select("id"), 4)
-    centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
-    u = D.spectral_embedding(D.fuzzy_membership(pairs, e.select("id"), centers), 4)
-    feats = [f"u{i}" for i in range(4)]
-    flat = u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)])
-    _c, _s, centres = fit_best(flat, 4, n_init=10, feats=feats)
-    return assign(flat, feats, centres, "cluster").select(F.col("customer_id").alias("id"), "cluster")
+    z = rounded(spark, sf)
+    members = PK.fuzzy_membership(z, RFM3, PK.density_peaks(z, RFM3, 4))
+    vec = members.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("center_rank", "membership"))).alias("m"))  # four of them
+    return spectral_labels(vec.select("id", F.transform("m", lambda x: x["membership"]).alias("f")), 4)
 
 
 @register("t23_mts_segments")
 def t23(spark, sf):
-    """T12-T15 -> F2 -> T18 (all customers) -> F20 -> F21 -> F22 -> S10 -> T21."""
+    """T12-T15 -> F2 -> T18 (all customers, 16 landmarks) -> F20 -> F21 -> F22 -> S10 -> T21."""
     from cohortkit.operators import series as T
     from cohortkit.operators.scores import rename_segments
     packed, normed_series = monthly_series(spark, sf)
-    n = packed.count()
-    ids = packed.select(F.col("customer_id").alias("id"))
-    pairs = PR.pair_distances(packed.withColumnRenamed("customer_id", "id"), "id", PR.dtw_kernel("series"),
-                              PR.n_blocks_for(n, 200), ["series"]).transform(cut)
-    peaks = D.density_peaks(pairs, ids, 4)
-    centers = peaks.where(F.col("center_rank").isNotNull()).select("id", F.col("center_rank").cast("int"))
-    u = D.spectral_embedding(D.fuzzy_membership(pairs, ids, centers), 4)
-    feats = [f"u{i}" for i in range(4)]
-    flat = u.select(F.col("id").alias("customer_id"), *[F.col("u")[i].alias(f) for i, f in enumerate(feats)])
-    _c, _s, centres = fit_best(flat, 4, n_init=10, feats=feats)
-    labels = assign(flat, feats, centres, "cluster").select("customer_id", "cluster")
-    report = T.churn_risk(normed_series, labels)
+    series = packed.select(F.col("customer_id").alias("id"), "series").transform(cut)
+    marks = LM.choose(series, 16)
+    dists = LM.dtw_distances(series, marks).transform(cut)
+    labels = spectral_labels(LM.memberships(dists, LM.landmark_peaks(dists, marks, 4)), 4)
+    report = T.churn_risk(normed_series, labels.withColumnRenamed("id", "customer_id"))
     return rename_segments(report, {}, "Nombre_Segmento")
 
 

@@ -50,7 +50,7 @@ def test_two_dense_touching_cells_meet_as_boxes(spark):
 def test_median_tree_deals_evenly_and_reaches_every_neighbour():
     r = np.random.default_rng(2)
     x = r.normal(size=(5000, 4)) ** 3
-    rows, leaf, own = B._leaves_of(B.median_tree(x, 16), x, x, .05)
+    rows, leaf, own = B.leaves_of(B.median_tree(x, 16), x, x, .05)
     assert sorted(rows[own]) == list(range(5000)) and np.bincount(leaf[own]).max() < 2 * 5000 / 16
     home = dict(zip(rows[own].tolist(), leaf[own].tolist()))
     there = set(zip(rows.tolist(), leaf.tolist()))
