@@ -133,6 +133,82 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS com
 FROM w JOIN reach ON reach.a = w.rid JOIN d o ON o.rid = reach.b LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid, w.doc_id
 """
 
+# CRC-32 (reflected, polynomial 0xEDB88320): a table by eight shifts a byte, then a fold over the bytes of ASCII text
+_CRC = """crct AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+# turns in order -> rebuilt turns -> prefix names -> nodes, subtrees by the names that start with a node's
+OP11 = f"""
+WITH {_CRC},
+tu AS (SELECT conv_id AS c, turn, length(coalesce(text, '')) AS n,
+  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY turn ASC NULLS FIRST, k) AS i FROM tu),
+h AS (SELECT c, {_crc('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM o), crct),
+reb AS (SELECT h.c, o.k, o.n, 0 AS part, o.i FROM h JOIN o ON o.c = h.c - h.c % 100 AND o.i <= h.h
+  UNION ALL SELECT h.c, o.k, o.n, 1, o.i FROM h JOIN o ON o.c = h.c AND o.i > h.h),
+mem AS (SELECT c, n, row_number() OVER w AS d, string_agg(k, '') OVER w AS p FROM reb
+  WINDOW w AS (PARTITION BY c ORDER BY part, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+node AS (SELECT p, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM mem GROUP BY p),
+kids AS (SELECT p[:32 * (d - 1)] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (p)),
+below AS (SELECT a.p, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.n)::BIGINT AS saved
+  FROM full_ a JOIN full_ b ON starts_with(b.p, a.p) GROUP BY 1),
+last AS (SELECT c, max(d) AS d FROM mem GROUP BY 1),
+ends AS (SELECT p, string_agg(c::VARCHAR, ',' ORDER BY c) AS s FROM mem JOIN last USING (c, d) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved AS saved_tokens,
+  sha256(coalesce(ends.s, '')) AS ends_sha256
+FROM full_ f JOIN below USING (p) LEFT JOIN ends USING (p) LEFT JOIN node u ON f.d > 0 AND u.p = f.p[:32 * (f.d - 1)]
+"""
+
+# damage -> faults -> one row at a time, the cheapest and then least edits for each state, up to two inserts before a row
+OP13 = f"""
+WITH RECURSIVE {_CRC},
+raw AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations, crct),
+dm AS (SELECT c, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw, range(CASE WHEN fault = 3 THEN 2 ELSE 1 END) WHERE fault <> 0),
+nb AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn ASC NULLS FIRST, role, text) AS i FROM dm),
+st AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END AS f, left(role, 1) AS r,
+  lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM nb),
+ins(s, s2, e, roles) AS (VALUES ('', '', '', []), ('', 'u', 'I', ['user:']), ('', 'a', 'II', ['user:', 'assistant:']),
+  ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']),
+  ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('u', 'u', 'II', ['assistant:', 'user:']),
+  ('a', 'a', '', []), ('a', 'u', 'I', ['user:']), ('a', 'a', 'II', ['user:', 'assistant:'])),
+nx(s, nxt, role) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+mv AS (SELECT c, i, ins.s, nxt, e || x.edit AS e, 3 * len(e) + x.cost AS cost, list_concat(roles, x.line) AS lines, x.s AS s3
+  FROM st, ins JOIN nx ON nx.s = ins.s2, LATERAL (SELECT unnest([
+    {{'edit': 'D', 'cost': 4, 's': ins.s2, 'line': []::VARCHAR[], 'ok': true}},
+    {{'edit': 'K', 'cost': CASE WHEN f = 't' THEN 3 ELSE 0 END, 's': r, 'line': [st.role || ':' || text],
+      'ok': f NOT IN ('b', 'd') AND (r = nxt OR (r = 's' AND ins.s2 = ''))}},
+    {{'edit': 'R', 'cost': CASE WHEN f = 't' THEN 6 ELSE 3 END, 's': nxt, 'line': [nx.role || ':' || text], 'ok': f NOT IN ('b', 'd')}}]) AS x) WHERE x.ok),
+dp(c, i, s, cost, e, lines) AS (
+  SELECT DISTINCT c, 0::BIGINT, '', 0::BIGINT, '', []::VARCHAR[] FROM st
+  UNION ALL
+  SELECT c, i, s, b.cost, b.e, b.lines FROM (
+    SELECT dp.c, mv.i, mv.s3 AS s, min({{'cost': (dp.cost + mv.cost)::BIGINT, 'e': dp.e || mv.e, 'lines': list_concat(dp.lines, mv.lines)}}) AS b
+    FROM dp JOIN mv ON mv.c IS NOT DISTINCT FROM dp.c AND mv.i = dp.i + 1 AND mv.s = dp.s GROUP BY ALL)),
+n AS (SELECT c, max(i) AS i, count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate,
+  count(*) FILTER (WHERE f = 't') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM st GROUP BY 1),
+fin AS (SELECT dp.c, min({{'cost': dp.cost + x.cost, 'e': dp.e || x.e, 'lines': list_concat(dp.lines, x.lines)}}) AS b
+  FROM dp JOIN n ON n.c IS NOT DISTINCT FROM dp.c AND n.i = dp.i JOIN (VALUES ('', 0, '', []), ('s', 6, 'II', ['user:', 'assistant:']),
+    ('u', 3, 'I', ['assistant:']), ('a', 0, '', [])) x(s, cost, e, lines) ON x.s = dp.s GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.e, '') AS audit,
+  sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.c IS NOT DISTINCT FROM o.conv_id LEFT JOIN fin ON fin.c IS NOT DISTINCT FROM o.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": OP1, "op5_host_rules": OP5, "op7_substrings": OP7, "op8_winnowing": OP8, "op9_jaccard_join": OP9,
-    "op10_mixing": OP10}
+    "op10_mixing": OP10, "op11_prefix_trie": OP11, "op13_structure_repair": OP13}

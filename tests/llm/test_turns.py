@@ -166,3 +166,13 @@ def test_columns_of_the_contracts(spark):
     assert set(NODE) <= set(queries.op11_prefix_trie(spark, SF001).columns)
     assert set(AUDIT) <= set(queries.op13_structure_repair(spark, SF001).columns)
     assert {"doc_id", "fingerprint", "component_id"} <= set(queries.op12_simhash(spark, SF001).columns)
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_structure_repair"])
+def test_sql(spark, name):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF001}/conversations.parquet'")
+    res = con.execute(queries.oracle_sql()[name])
+    cols = [d[0] for d in res.description]
+    assert rows_of(queries.queries()[name](spark, SF001), *cols) == sorted(res.fetchall(), key=repr)
