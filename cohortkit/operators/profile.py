@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,12 +100,14 @@ def validation_report(df: DataFrame, required: list[str] | None = None,
     """Per column nulls, percent (2 dp), distinct values, and an error flag
     for a required column with more than ``max_null_pct`` percent nulls."""
     required = set(required if required is not None else df.columns)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
     names = list(enumerate(df.columns))
-    wide = df.agg(F.count(F.lit(1)).alias("_total"), *[distinct(F.col(c)).alias(f"_d_{i}") for i, c in names],
-                  *[F.count(F.when(is_missing(df, c), 1)).alias(f"_c_{i}") for i, c in names])
-    stack = ", ".join(f"'{c}', _c_{i}, _d_{i}, {str(c in required).lower()}" for i, c in names)
+    wide = df.agg(F.count(F.lit(1)).alias("_total"), *[F.count(F.when(is_missing(df, c), 1)).alias(f"_c_{i}") for i, c in names],
+                  *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"_d_{i}") for i, c in names if approx])
+    stack = ", ".join(f"'{c}', _c_{i}, {f'_d_{i}' if approx else 'CAST(NULL AS BIGINT)'}, {str(c in required).lower()}" for i, c in names)
     long = wide.selectExpr("_total", f"stack({len(names)}, {stack}) as (column_name, nulls, distinct_values, required)")
+    if not approx:
+        found = distinct_counts(df).withColumnRenamed("distinct_values", "_n")  # one row per column
+        long = long.join(F.broadcast(found), "column_name", "left").withColumn("distinct_values", F.coalesce("_n", F.lit(0)))
     pct = F.when(F.col("_total") > 0, F.col("nulls") * 100.0 / F.col("_total")).otherwise(0.0)
     return (long.withColumn("pct", pct)
             .select("column_name", F.col("nulls").cast("bigint").alias("nulls"), F.round("pct", 2).alias("pct_nulls"),
@@ -111,6 +115,30 @@ def validation_report(df: DataFrame, required: list[str] | None = None,
                     (F.col("required") & (F.col("pct") > max_null_pct)).alias("error")))
 
 
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(column_name, distinct_values) of all columns in one scan, exactly (nulls left out; columns without values: no row).
+
+    Every batch of rows names its distinct values once per column by 128 bits,
+    so a column of few values travels as few rows; the names are then counted
+    by (column, name).  Counting all columns in one aggregate would copy every
+    row once per column instead.
+    """
+    names = df.columns
+    text = [F.when(F.isnan(F.col(f"`{c}`")), F.lit("NaN")).otherwise((F.col(f"`{c}`") + F.lit(0.0)).cast("string"))  # -0.0 is 0.0
+            if t in ("double", "float") else F.col(f"`{c}`").cast("string") for c, t in df.dtypes]
+    rows = df.select(*[t.alias(f"c{i}") for i, t in enumerate(text)])
+
+    def run(batches):
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                values = [hashlib.md5(v.encode()).digest() for v in column.unique().to_pylist() if v is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(values), pa.int32()), pa.array(values, pa.binary())], names=["i", "h"])
+
+    found = rows.mapInArrow(run, "i int, h binary").groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
+    label = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("i") + 1)
+    return found.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_values")).select(label.alias("column_name"), "distinct_values")
+
+
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per numeric column."""
     cols = cols or numeric_columns(df)

@@ -616,7 +616,8 @@ def j5(spark, sf):
 
 # ------------------------------------------------------- sinks round trips (K)
 
-@register("k1_read_csv")
+@register("k1_read_csv", f"""WITH {STD} SELECT CAST(customer_id AS INTEGER) AS customer_id, CAST(order_id AS INTEGER) AS order_id,
+  order_date, order_total FROM std""", {"order_total": MONEY})
 def k1(spark, sf):
     """K6 then K1: orders written as CSV in the shared folder, read back (types inferred)."""
     import uuid
@@ -647,7 +648,10 @@ def k8(spark, sf):
     return io.read_history(spark, path).select("customer_id", "run_id", "extra")
 
 
-@register("k5_preview")
+@register("k5_preview", f"""WITH {RAW_DIRTY}, t AS (SELECT *, row_number() OVER (ORDER BY ord) AS _n FROM raw)
+SELECT coalesce(CAST(cust AS VARCHAR), '') AS cust, coalesce(CAST(ord AS VARCHAR), '') AS ord, coalesce(date_txt, '') AS date_txt,
+  coalesce(total_txt, '') AS total_txt, coalesce(CAST(qty AS VARCHAR), '') AS qty, coalesce(CAST(price AS VARCHAR), '') AS price,
+  coalesce(CAST(sat AS VARCHAR), '') AS sat FROM t WHERE _n <= 10""")
 def k5(spark, sf):
     return io.preview(td.raw_dirty_orders(spark, sf).orderBy("ord"), 10)
 

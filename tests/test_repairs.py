@@ -111,3 +111,15 @@ def test_history_table_takes_new_columns(spark):
         assert sorted((r.run_id, r.extra) for r in spark.table(name).select("run_id", "extra").collect()) == [("r1", None), ("r2", 7)]
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_exact_distincts_without_a_row_per_column(spark):
+    from cohortkit.operators import profile
+    df = spark.range(30_000).selectExpr("id", "id % 7 AS `a b`", "CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 11 AS STRING) END AS s",
+                                        "CASE WHEN id % 2 = 0 THEN double('NaN') WHEN id % 5 = 0 THEN -0.0D ELSE 0.0D END AS x", "CAST(NULL AS INT) AS none",
+                                        "timestamp_seconds(id % 13) AS t")
+    got = {r.column_name: r.distinct_values for r in profile.distinct_counts(df).collect()}
+    assert got == {"id": 30_000, "a b": 7, "s": 11, "x": 2, "t": 13}
+    report = profile.validation_report(df)
+    assert {r.column_name: r.distinct_values for r in report.collect()} == {**got, "none": 0}
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
