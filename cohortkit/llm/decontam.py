@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm import kernels as K
+from cohortkit.llm.common import cut
 
 WINDOW = 10
 GRAM = 5
@@ -177,24 +178,24 @@ def _document_rows(batch, block: Block):
 
 
 def blocks(spark, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS):
-    """Broadcast blocks of the benchmark's windows, each of bounded size (checked by a count)."""
+    """Broadcast blocks of the benchmark's windows, each of bounded size (checked by a count), one at a time."""
     wins = item_windows(benchmark).persist()
     n = max(1, -(-wins.count() // block_windows))
     for b in range(n):
         # a hash bucket is near n-th of the rows; windows of one text share a bucket
         rows = wins.where(F.pmod(F.xxhash64("item_id", "hash"), F.lit(n)) == b).collect()
+        if b == n - 1:
+            wins.unpersist()
         yield n, spark.sparkContext.broadcast(Block(rows))
-    wins.unpersist()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    made = list(blocks(spark, benchmark, block_windows))
+    parts = blocks(spark, benchmark, block_windows)
+    n_blocks, block = next(parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    if len(made) == 1:
-        block = made[0][1]
-
+    if n_blocks == 1:
         def run(batches):
             schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                                 ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
@@ -208,10 +209,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_windows: int = BL
                     [batch.column("doc_id"), *[pa.array(c, t.type) for c, t in zip(cols, list(schema)[1:])]], schema=schema)
 
         return rows.mapInArrow(run, RESULT)
-    passes = [_block_pass(rows, b) for _, b in made]
-    merged = passes[0]
-    for p in passes[1:]:
-        merged = merged.unionByName(p)
+    # the driver holds one block at a time: its pass is written before the next one is made
+    merged, number = _block_pass(rows, block, 0).transform(cut), 0
+    block.destroy()
+    for _, block in parts:
+        number += 1
+        merged = merged.unionByName(_block_pass(rows, block, number).transform(cut))
+        block.destroy()
     # one group per distinct (doc_id, text): at most one row per block and copy after the first step
     merged = (merged.groupBy("doc_id", "digest", "block", "n_words").agg(
         F.count(F.lit(1)).alias("copies"), F.first("spans").alias("spans"), F.first("items").alias("items"))
@@ -229,12 +233,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_windows: int = BL
                     (F.col("n_hit") > 0).alias("contaminated")))
 
 
-def _block_pass(rows: DataFrame, block) -> DataFrame:
-    """One block against all documents: merged spans and items per document row."""
+def _block_pass(rows: DataFrame, block, number: int) -> DataFrame:
+    """One block against all documents: merged spans and items per document row; only the first one has rows without a hit."""
     span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("block", pa.int64()), ("n_words", pa.int64()),
                         ("spans", span), ("items", pa.list_(pa.string()))])
-    number = id(block)
 
     def run(batches):
         for batch in batches:
@@ -248,8 +251,9 @@ def _block_pass(rows: DataFrame, block) -> DataFrame:
                     spans = [{"a": int(a), "b": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
                 out.append((hashlib.sha256((text or "").encode()).digest(), number, n, spans, sorted(names)))
             cols = list(zip(*out)) or [[]] * 5
+            keep = pa.array([number == 0 or bool(x) for x in cols[3]], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, t.type) for c, t in zip(cols, list(schema)[1:])]], schema=schema)
+                [batch.column("doc_id"), *[pa.array(c, t.type) for c, t in zip(cols, list(schema)[1:])]], schema=schema).filter(keep)
 
     return rows.mapInArrow(run, "doc_id bigint, digest binary, block bigint, n_words bigint, "
                                 "spans array<struct<a:bigint,b:bigint>>, items array<string>")
