@@ -13,6 +13,13 @@ occurs as often as its source's repetition rate asks for.
 The first stage's classifier is fitted, which SQL cannot express, so there is
 no SQL for the rows of ``run``; ``tests/llm/test_pipeline.py`` compares the
 other stages with direct versions.
+
+Edge cases, alike in every stage: columns beyond those of ``documents`` are
+dropped, whatever their names; null and empty texts are documents like others (the
+quality model gives them the score of no features, near copies and benchmark
+windows need words, they hold no secrets, the mix gives them size 0); rows without
+doc_id and repeated rows are kept or dropped by their own text; very long texts are
+taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.llm import decontam, mixing, ngram_join, quality_model, secrets
-from cohortkit.llm.common import ensure_checkpoint_dir, table
+from cohortkit.llm.common import delete_folder, ensure_checkpoint_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,11 +77,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``; each is written to the shared checkpoint folder and read again.
+
+    A stage's table is deleted as soon as the next one is written; the last one stays for the caller.
+    """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            delete_folder(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
