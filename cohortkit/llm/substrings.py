@@ -4,10 +4,12 @@ A window of 13 words is repeated when its word sequence also starts in a
 document with a smaller ``doc_id``; covered words are removed and neighbouring
 windows merge into maximal intervals.
 
-Documents are cut into parts by ``doc_id`` range, in id order.  Each part
+Documents are cut into parts by ``doc_id`` range, in id order, at counted
+quantiles of the ids.  An id that fills whole quantiles by itself has a rank of
+its own and is dealt over several parts of that rank.  Each part
 hashes its windows, finds repeats inside the part itself, and sends its
 distinct hashes to hash-range buckets as compact blobs (see ``blobs``).  A
-bucket tells each part, one bit per hash, whether an earlier part holds it.
+bucket tells each part, one bit per hash, whether a part of an earlier rank holds it.
 The parts then mark, merge and cut.  Texts are shuffled once (both uses read
 the same exchange), hashes once at some six bytes a window, answers at one bit.
 
@@ -15,9 +17,9 @@ Two windows are held equal when their 64-bit hashes agree.
 
 Edge cases: null and empty texts have no words; rows without ``doc_id``
 neither remove nor lose words; rows that share a ``doc_id`` never remove from
-each other, as neither id is smaller; an empty table gives an empty result.
-Parts follow quantiles of ``doc_id``, so a third of all rows under one id would
-be one part: ids are keys here.
+each other, as neither id is smaller, and may be a third of all rows; very long
+texts are taken whole, so a part is as long as its longest text at least; further columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from cohortkit.llm import blobs as B
 from cohortkit.llm import kernels as K
 
 WINDOW = 13
-SLICES = 64              # doc_id quantiles; parts divide the slices evenly
+SLICES = (64, 1024)      # doc_id quantiles, as many as parts within these bounds; beyond, parts divide the slices evenly
+SUB_BITS = 20            # of a part number: the place within its rank
 
 RESULT = "doc_id bigint, n_words bigint, spans array<struct<a:bigint,b:bigint>>, kept_sha256 string, kept string"
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -42,20 +45,30 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _S
                    ("kept", pa.string())])
 
 
-def part_of(doc_id: Column, cuts: list[int], per_slice: int) -> Column:
-    """Part number of an id: never falls as the id grows, equal ids share a part."""
-    slices = len(cuts) - 1
-    cut = F.array(*[F.lit(int(c)).cast("double") for c in cuts])
-    inner = [F.when(doc_id >= F.lit(int(c)), F.lit(1)).otherwise(F.lit(0)) for c in cuts[1:-1]]
-    s = F.lit(0)
-    for x in inner:
-        s = s + x
-    if per_slice == 1:
-        return s.cast("long")
-    lo, hi = F.element_at(cut, s + 1), F.element_at(cut, s + 2)
+def part_of(doc_id: Column, deal: Column, cuts: list[int], per_slice: int) -> Column:
+    """Part number of an id: rank << SUB_BITS | place.
+
+    The rank never falls as the id grows, and equal ids share it.  A quantile value that
+    stands for several quantiles marks an id with that share of all rows: it
+    has a rank to itself, with a place for each of its slices, dealt by ``deal``.
+    """
+    inner = sorted(set(cuts[1:-1]))
+    heavy = {c: cuts.count(c) * per_slice for c in set(cuts) if cuts.count(c) > 1}
+    limits = F.array(*[F.lit(int(c)) for c in inner]).cast("array<bigint>")
+    s = F.size(F.filter(limits, lambda c: doc_id >= c)).cast("long")
+    ends = F.array(*[F.lit(float(c)) for c in [cuts[0], *inner, cuts[-1]]])
+    lo, hi = F.element_at(ends, (s + 1).cast("int")), F.element_at(ends, (s + 2).cast("int"))
     fine = F.floor((doc_id.cast("double") - lo) / (hi - lo + 1) * per_slice)
-    fine = F.least(F.lit(per_slice - 1), F.greatest(F.lit(0), fine))
-    return (s.cast("long") * per_slice + fine) if slices > 1 else fine.cast("long")
+    fine = F.least(F.lit(per_slice - 1), F.greatest(F.lit(0), fine)) + 1
+    place = F.lit(0)
+    if heavy:
+        is_heavy = doc_id.isin([int(c) for c in heavy])
+        fine = F.when(is_heavy, F.lit(0)).otherwise(fine)  # a heavy id starts its slice
+        share = F.lit(1)
+        for c, n in heavy.items():
+            share = F.when(doc_id == F.lit(int(c)), F.lit(n)).otherwise(share)
+        place = F.pmod(deal, share)
+    return (s * (per_slice + 1) + fine).cast("long") * F.lit(1 << SUB_BITS) + place.cast("long")
 
 
 def _windows(texts, window: int):
@@ -100,10 +113,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     ``part_bytes`` and ``bucket_bytes`` are the text behind a part and a bucket (default: ``blobs.side_bytes``).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    quantiles = [i / SLICES for i in range(SLICES + 1)]
-    size, cuts = rows.agg(F.sum(F.octet_length("text")), F.approx_percentile("doc_id", quantiles, 10_000)).first()
-    size = size or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bytes, bucket_bytes = part_bytes or B.side_bytes(size), bucket_bytes or B.side_bytes(size)
+    slices = min(SLICES[1], max(SLICES[0], -(-size // part_bytes)))
+    cuts = rows.agg(F.approx_percentile("doc_id", [i / slices for i in range(slices + 1)], 100 * slices)).first()[0]
 
     def plain(batches):
         for batch in batches:
@@ -116,10 +129,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     nameless = rows.where(F.col("doc_id").isNull()).mapInArrow(plain, RESULT)
     if not cuts:
         return nameless
-    per_slice = max(1, -(-size // (SLICES * part_bytes)))
+    per_slice = max(1, -(-size // (slices * part_bytes)))
     n_buckets = max(1, -(-size // bucket_bytes))
     known = rows.where(F.col("doc_id").isNotNull()).select(
-        part_of(F.col("doc_id"), sorted(cuts), per_slice).alias("part"), "doc_id", "text")
+        part_of(F.col("doc_id"), F.xxhash64("text"), sorted(cuts), per_slice).alias("part"), "doc_id", "text")
 
     def send(key, table):
         distinct = _windows(_in_order(table).column("text"), window)[2]
@@ -128,9 +141,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     def answer(key, table):
         parts, counts, _, values = B.gather(table)
         order = np.argsort(values, kind="stable")  # parts in order within a value
-        again = np.zeros(len(values), dtype=bool)
+        rank = np.repeat(np.array(parts, np.int64) >> SUB_BITS, counts)[order]
         ranked = values[order]
-        again[order[1:]] = ranked[1:] == ranked[:-1]
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        again = np.zeros(len(values), dtype=bool)
+        again[order] = rank > rank[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
         edges = np.cumsum([0, *counts])
         bits = [np.packbits(again[i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:])]
         said = [i for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if again[a:b].any()]
@@ -151,10 +166,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
         hit = K.covered(starts[repeated], int(woff[-1]), window)
         return _results(ids, texts, woff, hit, with_text)
 
-    def in_part(key, table):
-        return send(key, table)
-
-    sent = known.groupBy("part").applyInArrow(in_part, B.HASH_SCHEMA)
+    sent = known.groupBy("part").applyInArrow(send, B.HASH_SCHEMA)
     said = sent.groupBy("bucket").applyInArrow(answer, B.ANSWER_SCHEMA)
     done = known.groupBy("part").cogroup(said.groupBy("part")).applyInArrow(finish, RESULT)
     return done.unionByName(nameless)

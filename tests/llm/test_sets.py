@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortkit.llm import blobs as B
 from cohortkit.llm import kernels as K
@@ -44,6 +45,24 @@ def test_substrings(spark, odd_docs, sizes):
         assert all(brute.sha(g[4]) == g[3] for g in got)
 
 
+@pytest.mark.parametrize("part_bytes", [1500, 60_000])
+def test_substrings_of_uneven_ids(spark, part_bytes):
+    """A third of all rows under one id, ids in far clusters, one very large id, ids below zero."""
+    r = random.Random(8)
+    rows = [(r.choice([5, 5, d, d + 10**15, 2**62, -d]), t) for d, t in near_rows(5)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(x.doc_id, x.n_words, sum(s.b - s.a for s in x.spans), x.kept_sha256)
+           for x in substrings.dedup_substrings(df, part_bytes=part_bytes, bucket_bytes=3000).collect()]
+    assert sorted(got) == sorted(brute.repeats(rows))
+
+
+def test_parts_of_uneven_ids_are_even(spark):
+    df = spark.range(100_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id ELSE id + 4000000000000000000 END AS doc_id", "id AS t")
+    cuts = df.agg(F.approx_percentile("doc_id", [i / 64 for i in range(65)], 6400)).first()[0]
+    parts = df.select(substrings.part_of(F.col("doc_id"), F.xxhash64("t"), sorted(cuts), 1).alias("p")).groupBy("p").count().collect()
+    assert max(x["count"] for x in parts) < 2.5 * 100_000 / 64 and len(parts) > 55
+
+
 @pytest.mark.parametrize("sizes", [{}, {"part_bytes": 4000, "bucket_bytes": 500}])
 def test_jaccard_join(spark, odd_docs, sizes, monkeypatch):
     if sizes:
