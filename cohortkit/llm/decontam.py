@@ -17,7 +17,9 @@ more blocks each makes a pass and the spans are merged per distinct text.
 Edge cases: null and empty texts have no words; items without words match
 nothing; rows of one ``item_id`` are one item, a null ``item_id`` is the item
 named by the empty string; repeated rows and ties are judged on their own;
-an empty benchmark marks nothing, an empty document table gives no rows.
+very long texts are searched whole; further columns are ignored or handed on
+(``clean_documents``), whatever their names; an empty benchmark marks nothing,
+an empty document table gives no rows.
 """
 
 from __future__ import annotations

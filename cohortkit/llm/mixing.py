@@ -8,7 +8,8 @@ fraction of the rate.
 Edge cases: null and empty texts have size 0; null sources are one source,
 ordered last; a source of size 0 has target 0 and rate 0; repeated rows with
 one ``doc_id`` share a coin; rows without ``doc_id`` take the coin of their
-text; an empty table gives an empty result.
+text; very long texts are counted whole; input columns keep their names and
+values, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

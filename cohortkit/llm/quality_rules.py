@@ -8,7 +8,8 @@ a host whose shrunk rate exceeds the limit is rejected with all its documents.
 Edge cases: null and empty texts have no words (they fail ``few_words``); null
 hosts are one host; repeated rows count once each; with one host, or hosts
 that do not differ, the prior falls back to a weight of ``PRIOR_WEIGHT``
-documents at the corpus rate; an empty table gives an empty result.
+documents at the corpus rate; very long texts are judged whole; further columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -79,6 +79,17 @@ def test_winnowing(spark, odd_docs, block_windows):
         assert got == want
 
 
+def test_window_that_all_items_share(spark):
+    common = " ".join(f"prompt{i}" for i in range(14))
+    items = [(f"i{n:03d}", f"{common} own{n} a{n} b{n}") for n in range(300)]
+    rows = [(n, f"x{n} {common} y{n}" if n % 2 else f"nothing here {n} " * 6) for n in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(brute.contamination(rows, items), key=repr)
+    for block_windows in (decontam.BLOCK_WINDOWS, 400):
+        got = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"), block_windows)
+        assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
 def test_mixing(spark, odd_docs):
     docs = read(spark, SF001, "documents")
     want = brute.mix([(r.doc_id, r.source, r.text) for r in docs.collect()])

@@ -53,3 +53,13 @@ def test_run_and_odd_rows(spark, odd_docs):
         assert stage(spark, odd, SF001).columns == list(P.COLUMNS)
         assert stage(spark, odd.limit(0), SF001).count() == 0
         assert stage(spark, odd, SF001).count() >= 0
+
+
+def test_empty_labels_and_benchmark(spark, odd_docs, tmp_path):
+    for name, schema in (("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    odd = odd_docs.selectExpr("doc_id", "text", "lang", "source", "CAST(n_chars AS BIGINT) AS n_chars")
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    assert ids(P.quality(spark, odd, str(tmp_path)).where("doc_id IS NOT NULL").collect()) == ids(odd.where("doc_id IS NOT NULL").collect())
+    assert P.decontaminate(spark, odd, str(tmp_path)).count() == odd.count()
+    assert P.run(spark, str(tmp_path)).columns == list(P.COLUMNS)
