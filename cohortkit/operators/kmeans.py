@@ -297,9 +297,13 @@ def evaluate_k_range(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_ma
 def cluster_segments(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_max: int = 10,
                      method: str = "combined", k_override: int | None = None, n_init: int = 10):
     """F23 core: choose k (or take ``k_override`` inside the range), label
-    ``Cluster i``.  Returns (customer_id + segment DataFrame, scores, k)."""
-    scores, labelled, _ = evaluate_k_range(feats_df, feats, k_min, k_max, n_init)
-    scores = scores.transform(cut)  # one row per k
+    ``Cluster i``.  Returns (customer_id + segment DataFrame, scores, k); the
+    scores say for every k in how many iterations its best restart ended, and
+    whether it converged."""
+    scores, labelled, best = evaluate_k_range(feats_df, feats, k_min, k_max, n_init)
+    fits = feats_df.sparkSession.createDataFrame([(k, m["iterations"], m["converged"]) for k, m in best.items()],
+                                                 "k int, iterations int, converged boolean")
+    scores = scores.join(F.broadcast(fits), "k", "left").transform(cut)  # one row per k
     if k_override is not None and k_min <= k_override <= k_max:
         k = k_override
     else:

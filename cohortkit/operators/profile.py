@@ -96,9 +96,10 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def validation_report(df: DataFrame, required: list[str] | None = None,
-                      max_null_pct: float = 10.0, approx: bool = False) -> DataFrame:
+                      max_null_pct: float = 10.0, approx: bool = False, totals: bool = False) -> DataFrame:
     """Per column nulls, percent (2 dp), distinct values, and an error flag
-    for a required column with more than ``max_null_pct`` percent nulls."""
+    for a required column with more than ``max_null_pct`` percent nulls;
+    ``totals`` adds the number of rows."""
     required = set(required if required is not None else df.columns)
     names = list(enumerate(df.columns))
     wide = df.agg(F.count(F.lit(1)).alias("_total"), *[F.count(F.when(is_missing(df, c), 1)).alias(f"_c_{i}") for i, c in names],
@@ -110,7 +111,8 @@ def validation_report(df: DataFrame, required: list[str] | None = None,
         long = long.join(F.broadcast(found), "column_name", "left").withColumn("distinct_values", F.coalesce("_n", F.lit(0)))
     pct = F.when(F.col("_total") > 0, F.col("nulls") * 100.0 / F.col("_total")).otherwise(0.0)
     return (long.withColumn("pct", pct)
-            .select("column_name", F.col("nulls").cast("bigint").alias("nulls"), F.round("pct", 2).alias("pct_nulls"),
+            .select("column_name", *([F.col("_total").alias("total_rows")] if totals else []),
+                    F.col("nulls").cast("bigint").alias("nulls"), F.round("pct", 2).alias("pct_nulls"),
                     F.col("distinct_values").cast("bigint").alias("distinct_values"),
                     (F.col("required") & (F.col("pct") > max_null_pct)).alias("error")))
 

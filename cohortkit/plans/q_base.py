@@ -236,7 +236,21 @@ UNION ALL SELECT 'qty', 1.0, 0.0, 1.0
 UNION ALL SELECT 'price', 1.0, 0.0, 1.0
 UNION ALL SELECT 'sat', 1.0, 0.0, 1.0""", {"number_score": RATIO, "date_score": RATIO, "string_score": RATIO})
 def m2(spark, sf):
-    return M.type_profile(td.raw_dirty_orders(spark, sf), sample=None)
+    return M.type_profile(td.raw_dirty_orders(spark, sf), sample=None, numbers_as_dates=False)
+
+
+@register("m2b_type_profile_numbers_as_dates", f"""WITH {RAW_DIRTY}, huge AS (
+  SELECT *, CASE WHEN ord % 6 = 0 THEN NULL WHEN ord % 4 = 0 THEN qty * 1e19 ELSE qty END AS far, ord % 2 = 0 AS flag FROM raw)
+SELECT 'ord' AS column_name, 1.0 AS number_score, 1.0 AS date_score, 1.0 AS string_score
+UNION ALL SELECT 'far', 1.0, avg(CASE WHEN far BETWEEN -9.2e18 AND 9.2e18 THEN 1.0 ELSE 0.0 END), 1.0 FROM huge WHERE far IS NOT NULL
+UNION ALL SELECT 'flag', 1.0, 0.0, 1.0
+UNION ALL SELECT 'date_txt', avg(CASE WHEN TRY_CAST(date_txt AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0.0 END),
+                 avg(CASE WHEN TRY_CAST(date_txt AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END), 1.0
+          FROM raw WHERE date_txt IS NOT NULL""", {"number_score": RATIO, "date_score": RATIO, "string_score": RATIO})
+def m2b(spark, sf):
+    far = F.when(F.col("ord") % 6 == 0, F.lit(float("nan"))).when(F.col("ord") % 4 == 0, F.col("qty") * 1e19).otherwise(F.col("qty"))
+    raw = td.raw_dirty_orders(spark, sf)
+    return M.type_profile(raw.select("ord", far.alias("far"), (F.col("ord") % 2 == 0).alias("flag"), "date_txt"))
 
 
 @register("m5_apply_mapping", f"WITH {DIRTY} SELECT * FROM dirty",
@@ -265,6 +279,24 @@ def m8(spark, sf):
                           "transaction_date": "o_orderdate", "transaction_amount": "o_totalprice"})
 
 
+_REPORT_MODEL = {**M.STANDARDISER_MODEL, "satisfaction": "double"}
+_REPORT_COLUMNS = ("customer_id", "transaction_id", "transaction_date", "transaction_amount", "satisfaction", "qty")
+
+
+@register("m8b_standardize_report", f"""WITH {DIRTY}, std AS (
+  SELECT customer_id, order_id AS transaction_id, order_date AS transaction_date, order_total AS transaction_amount, satisfaction, quantity AS qty
+  FROM dirty), counts AS (
+  {" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
+                      f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values FROM std" for c in _REPORT_COLUMNS)}),
+pct AS (SELECT *, round(nulls * 100.0 / total_rows, 2) AS pct_nulls FROM counts)
+SELECT *, CASE WHEN column_name <> 'qty' AND pct_nulls > 10 THEN printf('required column ''%s'' has %.2f%% nulls', column_name, pct_nulls) END AS error
+FROM pct""", {"pct_nulls": 2})
+def m8b(spark, sf):
+    mapping = {"customer_id": "cust", "transaction_id": "ord", "transaction_date": "date_txt", "transaction_amount": "total_txt",
+               "satisfaction": "sat", "qty": "qty"}
+    return M.standardize_report(M.standardize(td.raw_dirty_orders(spark, sf), mapping, _REPORT_MODEL), _REPORT_MODEL)
+
+
 @register("m9_normalize_ids", """
 SELECT CAST(CAST(CAST(o_custkey AS DOUBLE) AS BIGINT) AS VARCHAR) AS customer_id, o_orderkey FROM orders""")
 def m9(spark, sf):

@@ -267,6 +267,20 @@ def f23b(spark, sf):
     return res
 
 
+@register("f23c_dbscan_figures", f"""{DBSCAN_SQL} SELECT 'dbscan' AS algorithm, CAST(n AS BIGINT) AS optimal_k, CAST(n AS BIGINT) AS n_clusters, noise_points
+FROM (SELECT count(DISTINCT segment) FILTER (WHERE segment <> 'Noise') AS n, count(*) FILTER (WHERE segment = 'Noise') AS noise_points FROM seg)""")
+def f23c(spark, sf):
+    _, figures = flows.rfm_clusters(orders_clean(spark, sf), algorithm="dbscan")
+    return flows.run_figures(spark, figures).select(
+        "algorithm", *[F.col(c).cast("bigint").alias(c) for c in ("optimal_k", "n_clusters", "noise_points")])
+
+
+@register("f23d_rfm_cluster_figures")
+def f23d(spark, sf):
+    _, figures = flows.rfm_clusters(orders_clean(spark, sf))
+    return flows.run_figures(spark, figures)
+
+
 @register("f18_pca2")
 def f18(spark, sf):
     return pca2(scaled(spark, sf), RFM3)
@@ -278,6 +292,12 @@ def t10(spark, sf):
     return res
 
 
+@register("t10b_lrfms_figures")
+def t10b(spark, sf):
+    _, figures = flows.lrfms(returns_orders(spark, sf), n_intervals=4, s_weight=1.0)
+    return flows.run_figures(spark, figures)
+
+
 @register("h3_lrfms_summary", None)
 def h3(spark, sf):
     res, _ = flows.lrfms(returns_orders(spark, sf), n_intervals=4, s_weight=1.0)
