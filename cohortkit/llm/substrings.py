@@ -5,7 +5,8 @@ document with a smaller ``doc_id``; covered words are removed and neighbouring
 windows merge into maximal intervals.
 
 Documents are cut into parts by ``doc_id`` range, in id order, at counted
-quantiles of the ids.  An id that fills whole quantiles by itself has a rank of
+quantiles of the ids, in two levels where there are over a thousand parts.  An
+id that fills whole quantiles by itself has a rank of
 its own and is dealt over several parts of that rank.  Each part
 hashes its windows, finds repeats inside the part itself, and sends its
 distinct hashes to hash-range buckets as compact blobs (see ``blobs``).  A
@@ -25,7 +26,8 @@ ignored, whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from bisect import bisect_right
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,12 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm import blobs as B
 from cohortkit.llm import kernels as K
+from cohortkit.session import cut
 
 WINDOW = 13
-SLICES = (64, 1024)      # doc_id quantiles, as many as parts within these bounds; beyond, parts divide the slices evenly
+SLICES = (64, 1024)      # doc_id quantiles, as many as parts within these bounds; beyond, slices have quantiles of their own
+BROADCAST_CUTS = 2_000_000  # of eight bytes, one a part: some 128 TB of text; beyond, rows are joined with their slice's cuts
+EXACT_DOUBLES = 2 ** 53
 SUB_BITS = 20            # of a part number: the place within its rank
 
 RESULT = "doc_id bigint, n_words bigint, spans array<struct<a:bigint,b:bigint>>, kept_sha256 string, kept string"
@@ -45,30 +50,88 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _S
                    ("kept", pa.string())])
 
 
-def part_of(doc_id: Column, deal: Column, cuts: list[int], per_slice: int) -> Column:
+def id_cuts(rows: DataFrame, slices: int) -> list[int]:
+    """The ``slices`` + 1 quantiles of the ids, in order; empty without ids.
+
+    Quantiles come as doubles, which tell ids beyond 2**53 apart by steps of
+    up to 1,024 only.  Where one such value stands for several quantiles, the ids
+    behind it are counted one by one, so that an id on a large share of the
+    rows is known exactly.
+    """
+    cuts = rows.agg(F.approx_percentile("doc_id", [i / slices for i in range(slices + 1)], 100 * slices)).first()[0] or []
+    rough = {c for c in cuts if abs(c) > EXACT_DOUBLES and cuts.count(c) > 1}
+    if rough:
+        near = F.col("doc_id").cast("double").isin([float(c) for c in rough])
+        counted = rows.where(near).groupBy("doc_id").count().collect()  # a thousand ids a value at most
+        for c in rough:
+            own = sorted((r.doc_id, r["count"]) for r in counted if float(r.doc_id) == float(c))
+            ends, n = list(accumulate(size for _, size in own)), cuts.count(c)
+            exact = [own[bisect_right(ends, (j + 0.5) * ends[-1] / n)][0] for j in range(n)]
+            cuts = [x for x in cuts if x != c] + exact
+    return sorted(cuts)
+
+
+def slice_of(doc_id: Column, cuts: list[int]) -> Column:
+    """Number of the quantile slice of an id; equal cuts end no slice of their own."""
+    limits = F.array(*[F.lit(int(c)) for c in sorted(set(cuts[1:-1]))]).cast("array<bigint>")
+    return F.size(F.filter(limits, lambda c: doc_id >= c)).cast("long")
+
+
+def fine_cuts(rows: DataFrame, cuts: list[int], per_slice: int) -> DataFrame:
+    """(slice, fine): the quantiles of the ids inside every slice; ids that fill whole slices are left out.
+
+    One narrow pass over the ids, counted from the start of their slice, so
+    that dense ids stay apart as doubles (but for a slice that bridges a gap of
+    over 2**53: ids beyond the gap are told apart by steps of up to 1,024).
+    Written once, as an approximate quantile may come out differently when it
+    is computed again.
+    """
+    heavy = [int(c) for c in set(cuts) if cuts.count(c) > 1]
+    at = [j / per_slice for j in range(1, per_slice)]
+    wide = F.col("doc_id").cast("decimal(20,0)")
+    starts = F.array(*[F.lit(int(c)) for c in [cuts[0], *sorted(set(cuts[1:-1]))]]).cast("array<bigint>")
+    start = F.element_at(starts, F.col("slice").cast("int") + 1).cast("decimal(20,0)")
+    return (rows.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").isin(heavy))
+            .withColumn("slice", slice_of(F.col("doc_id"), cuts))
+            .groupBy("slice").agg(F.approx_percentile(wide - start, at, 100 * per_slice).alias("fine"))
+            .select("slice", F.transform("fine", lambda c: (c + start).try_cast("bigint")).alias("fine")).transform(cut))
+
+
+def part_of(doc_id: Column, deal: Column, cuts: list[int], per_slice: int, fine: Column | None = None) -> Column:
     """Part number of an id: rank << SUB_BITS | place.
 
     The rank never falls as the id grows, and equal ids share it.  A quantile value that
     stands for several quantiles marks an id with that share of all rows: it
     has a rank to itself, with a place for each of its slices, dealt by ``deal``.
+    ``fine`` holds the quantiles inside the slice of the id, where parts are
+    smaller than slices; the same rule holds for them.
     """
-    inner = sorted(set(cuts[1:-1]))
     heavy = {c: cuts.count(c) * per_slice for c in set(cuts) if cuts.count(c) > 1}
-    limits = F.array(*[F.lit(int(c)) for c in inner]).cast("array<bigint>")
-    s = F.size(F.filter(limits, lambda c: doc_id >= c)).cast("long")
-    ends = F.array(*[F.lit(float(c)) for c in [cuts[0], *inner, cuts[-1]]])
-    lo, hi = F.element_at(ends, (s + 1).cast("int")), F.element_at(ends, (s + 2).cast("int"))
-    fine = F.floor((doc_id.cast("double") - lo) / (hi - lo + 1) * per_slice)
-    fine = F.least(F.lit(per_slice - 1), F.greatest(F.lit(0), fine)) + 1
-    place = F.lit(0)
-    if heavy:
-        is_heavy = doc_id.isin([int(c) for c in heavy])
-        fine = F.when(is_heavy, F.lit(0)).otherwise(fine)  # a heavy id starts its slice
+    inside, place = F.lit(1).cast("long"), F.lit(0).cast("long")
+    if fine is not None:
+        known = F.coalesce(fine, F.array().cast("array<bigint>"))
+        copies = F.size(F.filter(known, lambda c: c == doc_id))
+        below = F.size(F.array_distinct(F.filter(known, lambda c: c <= doc_id)))
+        inside = (2 * below + F.when(copies > 1, 0).otherwise(1)).cast("long")  # odd: between two cuts
+        place = F.when(copies > 1, F.pmod(deal, copies)).otherwise(0)
+    if heavy:  # a heavy id starts its slice
         share = F.lit(1)
         for c, n in heavy.items():
             share = F.when(doc_id == F.lit(int(c)), F.lit(n)).otherwise(share)
-        place = F.pmod(deal, share)
-    return (s * (per_slice + 1) + fine).cast("long") * F.lit(1 << SUB_BITS) + place.cast("long")
+        is_heavy = doc_id.isin([int(c) for c in heavy])
+        inside, place = F.when(is_heavy, F.lit(0)).otherwise(inside), F.when(is_heavy, F.pmod(deal, share)).otherwise(place)
+    return (slice_of(doc_id, cuts) * (2 * per_slice + 2) + inside).cast("long") * F.lit(1 << SUB_BITS) + place.cast("long")
+
+
+def with_parts(rows: DataFrame, cuts: list[int], per_slice: int) -> DataFrame:
+    """``rows`` (doc_id, text) that have an id, with their ``part``."""
+    known, fine = rows.where(F.col("doc_id").isNotNull()), None
+    if per_slice > 1:
+        table = fine_cuts(rows, cuts, per_slice)
+        table = F.broadcast(table) if len(cuts) * per_slice <= BROADCAST_CUTS else table
+        known = known.withColumn("slice", slice_of(F.col("doc_id"), cuts)).join(table, "slice", "left")
+        fine = F.col("fine")
+    return known.select(part_of(F.col("doc_id"), F.xxhash64("text"), cuts, per_slice, fine).alias("part"), "doc_id", "text")
 
 
 def _windows(texts, window: int):
@@ -116,7 +179,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bytes, bucket_bytes = part_bytes or B.side_bytes(size), bucket_bytes or B.side_bytes(size)
     slices = min(SLICES[1], max(SLICES[0], -(-size // part_bytes)))
-    cuts = rows.agg(F.approx_percentile("doc_id", [i / slices for i in range(slices + 1)], 100 * slices)).first()[0]
+    cuts = id_cuts(rows, slices)
 
     def plain(batches):
         for batch in batches:
@@ -131,8 +194,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
         return nameless
     per_slice = max(1, -(-size // (slices * part_bytes)))
     n_buckets = max(1, -(-size // bucket_bytes))
-    known = rows.where(F.col("doc_id").isNotNull()).select(
-        part_of(F.col("doc_id"), F.xxhash64("text"), sorted(cuts), per_slice).alias("part"), "doc_id", "text")
+    known = with_parts(rows, cuts, per_slice)
 
     def send(key, table):
         distinct = _windows(_in_order(table).column("text"), window)[2]

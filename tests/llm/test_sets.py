@@ -63,6 +63,44 @@ def test_parts_of_uneven_ids_are_even(spark):
     assert max(x["count"] for x in parts) < 2.5 * 100_000 / 64 and len(parts) > 55
 
 
+def test_parts_inside_slices_are_even(spark):
+    """Dense clusters far apart, an id on a third of the rows, one on a hundredth: in rank order, of like size."""
+    df = spark.range(90_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 100 = 1 THEN 4000000000000123 WHEN id % 3 = 1 THEN id ELSE id DIV 50 + 4000000000000000 END AS doc_id",
+        "CAST(id AS STRING) AS text")
+    got = substrings.with_parts(df, substrings.id_cuts(df, 64), 16)
+    assert got.count() == 90_000
+    sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+    assert max(sizes) < 3 * 90_000 / (64 * 16) and len(sizes) > 700
+    ranks = got.groupBy("doc_id").agg(F.min(F.shiftright("part", substrings.SUB_BITS)).alias("a"),
+                                      F.max(F.shiftright("part", substrings.SUB_BITS)).alias("z")).orderBy("doc_id").collect()
+    assert all(r.a == r.z for r in ranks) and all(x.a <= y.a for x, y in zip(ranks, ranks[1:]))
+    owners = [x.a for x in ranks]
+    for heavy in (7, 4000000000000123):
+        (own,) = [r.a for r in ranks if r.doc_id == heavy]
+        assert owners.count(own) == 1  # ids that share a rank cannot remove from each other across parts
+
+
+def test_large_ids_on_many_rows_are_known_exactly(spark):
+    df = spark.range(9_000).selectExpr("CASE WHEN id % 3 = 0 THEN 4000000000000000123 WHEN id % 3 = 1 THEN id ELSE 9223372036854775806 - id % 2 END AS doc_id")
+    cuts = substrings.id_cuts(df, 60)
+    assert len(cuts) == 61 and cuts == sorted(cuts) and 18 <= cuts.count(4000000000000000123) <= 22
+    assert 8 <= cuts.count(2**63 - 2) <= 12 and 8 <= cuts.count(2**63 - 3) <= 12
+    assert substrings.id_cuts(df.limit(0), 60) == []
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_substrings_with_parts_inside_slices(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(substrings, "SLICES", (4, 8))
+    monkeypatch.setattr(substrings, "BROADCAST_CUTS", broadcast)
+    r = random.Random(9)
+    rows = [(r.choice([5, 5, d // 9, d + 10**15, 10**15, 2**62, -d]), t) for d, t in near_rows(6)] * 2 + [(None, "a b"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(x.doc_id, x.n_words, sum(s.b - s.a for s in x.spans), x.kept_sha256)
+           for x in substrings.dedup_substrings(df, part_bytes=1500, bucket_bytes=3000).collect()]
+    assert sorted(got, key=repr) == sorted(brute.repeats(rows), key=repr)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"part_bytes": 4000, "bucket_bytes": 500}])
 def test_jaccard_join(spark, odd_docs, sizes, monkeypatch):
     if sizes:
