@@ -313,12 +313,17 @@ def cluster_segments(feats_df: DataFrame, feats: list[str], k_min: int = 2, k_ma
 
 
 def pca2(df: DataFrame, feats: list[str]) -> DataFrame:
-    """first two principal components of the centred features."""
+    """first two principal components of the centred features.
+
+    An axis may point either way; here the loading of largest magnitude is positive.
+    """
     mu = df.agg(*[F.avg(c).alias(c) for c in feats]).first()
     centred = df.select("customer_id", *[(F.col(c) - F.lit(mu[c])).alias(c) for c in feats])
     data = assemble(centred, feats)
     model = PCA(k=2, inputCol="features", outputCol="_pc").fit(data)
     out = model.transform(data).select("customer_id", vector_to_array("_pc").alias("_pc"))
+    axes = model.pc.toArray()  # features x 2
+    way = [1.0 if axis[np.argmax(np.abs(axis))] >= 0 else -1.0 for axis in axes.T]
     ev = [float(v) for v in model.explainedVariance]
-    return out.select("customer_id", F.col("_pc")[0].alias("pc1"), F.col("_pc")[1].alias("pc2"),
+    return out.select("customer_id", (F.col("_pc")[0] * way[0]).alias("pc1"), (F.col("_pc")[1] * way[1]).alias("pc2"),
                       F.lit(ev[0]).alias("explained_1"), F.lit(ev[1]).alias("explained_2"))

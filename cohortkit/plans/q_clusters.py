@@ -281,7 +281,34 @@ def f23d(spark, sf):
     return flows.run_figures(spark, figures)
 
 
-@register("f18_pca2")
+_CELLS = ("rr", "rf", "rm", "ff", "fm", "mm")  # of a symmetric matrix
+
+
+def _axis_sql(name, matrix):
+    """CTEs for the main axis of a covariance matrix: its 2^40th power is, but for the scale, the axis times itself."""
+    squared = {"rr": "rr*rr+rf*rf+rm*rm", "rf": "rr*rf+rf*ff+rm*fm", "rm": "rr*rm+rf*fm+rm*mm",
+               "ff": "rf*rf+ff*ff+fm*fm", "fm": "rf*rm+ff*fm+fm*mm", "mm": "rm*rm+fm*fm+mm*mm"}
+    columns = ", ".join(_CELLS)
+    return f"""{name}_p(i, {columns}) AS (SELECT 0, {", ".join(f"{c}/(rr+ff+mm)" for c in _CELLS)} FROM {matrix}
+  UNION ALL SELECT i + 1, {", ".join(f"({e})/t" for e in squared.values())}
+  FROM (SELECT *, {squared["rr"]}+{squared["ff"]}+{squared["mm"]} AS t FROM {name}_p WHERE i < 40)),
+{name}_c AS (SELECT CASE WHEN rr >= ff AND rr >= mm THEN rr WHEN ff >= mm THEN rf ELSE rm END AS r,
+  CASE WHEN rr >= ff AND rr >= mm THEN rf WHEN ff >= mm THEN ff ELSE fm END AS f,
+  CASE WHEN rr >= ff AND rr >= mm THEN rm WHEN ff >= mm THEN fm ELSE mm END AS m FROM {name}_p WHERE i = 40),
+{name} AS (SELECT r/n AS r, f/n AS f, m/n AS m FROM (SELECT *, sqrt(r*r+f*f+m*m) AS n FROM {name}_c)),
+{name}_v AS (SELECT rr*r*r+ff*f*f+mm*m*m+2*(rf*r*f+rm*r*m+fm*f*m) AS v FROM {matrix}, {name})"""
+
+
+@register("f18_pca2", SCALED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+mu AS (SELECT avg(Recency) AS r0, avg(Frequency) AS f0, avg(Monetary) AS m0 FROM sc),
+ce AS (SELECT customer_id, Recency - r0 AS x, Frequency - f0 AS y, Monetary - m0 AS z FROM sc, mu),
+cov AS (SELECT avg(x*x) AS rr, avg(x*y) AS rf, avg(x*z) AS rm, avg(y*y) AS ff, avg(y*z) AS fm, avg(z*z) AS mm FROM ce),
+{_axis_sql("one", "cov")},
+rest AS (SELECT rr-v*r*r AS rr, rf-v*r*f AS rf, rm-v*r*m AS rm, ff-v*f*f AS ff, fm-v*f*m AS fm, mm-v*m*m AS mm FROM cov, one, one_v),
+{_axis_sql("two", "rest")}
+SELECT customer_id, x*one.r + y*one.f + z*one.m AS pc1, x*two.r + y*two.f + z*two.m AS pc2,
+       one_v.v/(rr+ff+mm) AS explained_1, two_v.v/(rr+ff+mm) AS explained_2 FROM ce, one, two, one_v, two_v, cov""",
+          {"pc1": RATIO, "pc2": RATIO, "explained_1": RATIO, "explained_2": RATIO})
 def f18(spark, sf):
     return pca2(scaled(spark, sf), RFM3)
 

@@ -107,3 +107,14 @@ def test_kmeans_wcss_close_to_numpy_best(spark, scaled):
     x = scaled.toPandas()[RFM3].to_numpy()
     best = min(np_lloyd(x, 4, s) for s in range(20))
     assert inertia <= best * 1.01
+
+
+def test_axes_point_along_their_largest_loading(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3)) @ np.array([[3.0, 0, 0], [-2.0, 1.0, 0], [0.5, 0, 0.2]])
+    df = spark.createDataFrame([(str(i), *map(float, r)) for i, r in enumerate(x)], "customer_id string, a double, b double, c double")
+    got = {int(r.customer_id): (r.pc1, r.pc2) for r in K.pca2(df, ["a", "b", "c"]).collect()}
+    centred = x - x.mean(0)
+    axes = np.linalg.svd(centred)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
+    assert np.allclose([got[i] for i in range(200)], centred @ axes.T)

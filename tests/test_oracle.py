@@ -12,7 +12,8 @@ FAST = ["a1_aggregate_orders", "a2_aggregate_orders_with_returns", "a3_rfm", "a5
         "c13_clean_pipeline", "p1_quality_report", "p2_nulls_by_column", "p6_validation_report", "s8_rfm_quintile_segments",
         "s9_abc", "h1_segment_summary", "h6_top10_per_segment", "h7_pareto_curve", "h19_boxplot_stats",
         "t4_lrfms_long", "t9_pivot_wide", "t14_fill_series", "t21_churn_risk", "f9_f11_f12_label_metrics",
-        "f10_silhouette_euclid", "f20_density_peaks", "j6_interval_assign", "k9_latest_run"]
+        "f10_silhouette_euclid", "f20_density_peaks", "j6_interval_assign", "k9_latest_run",
+        "m2b_type_profile_numbers_as_dates", "m8b_standardize_report", "f18_pca2"]
 
 
 @pytest.fixture(scope="module")
