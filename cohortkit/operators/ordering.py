@@ -21,8 +21,13 @@ _LOCAL_MASK = (1 << 33) - 1
 BROADCAST_GROUPS = 50_000
 
 
+# Rows of a range partition; a table of more gets more ranges than the session's setting asks for.
+ROWS_PER_RANGE = 2_000_000
+
+
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
-    return n_parts or shuffle_partitions(df.sparkSession)
+    """Ranges for a table: counted, as adaptive execution keeps an explicit number as it is."""
+    return n_parts or max(shuffle_partitions(df.sparkSession), -(-df.count() // ROWS_PER_RANGE))
 
 
 def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
@@ -32,7 +37,8 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
     Range exchange + sort within partitions; the local index comes from
     ``monotonically_increasing_id`` (partition id << 33 | row index), so no
     second exchange is needed.  The numbered table is checkpointed so that
-    both uses see the same rows even if executors are lost.
+    both uses see the same rows even if executors are lost.  ``df`` is read
+    three times (count, range bounds, exchange): cut a costly plan first.
     """
     n = _n_parts(df, n_parts)
     numbered = (df.repartitionByRange(n, *order)
@@ -59,6 +65,8 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
     ``order`` must be a total order.  Local running sums use a window
     partitioned by the range partition id, so each window task holds one
     range partition; the per-partition totals are prefixed and broadcast.
+    ``df`` is read three times (count, range bounds, exchange): cut a costly
+    plan first.
     """
     n = _n_parts(df, n_parts)
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
@@ -100,7 +108,7 @@ def grouped_exact_quantiles(df: DataFrame, group: list[str], value: str, probs:
     spark = df.sparkSession
     vals = (df.where(F.col(value).isNotNull())
             .groupBy(*group, F.col(value).cast("double").alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
+            .agg(F.count(F.lit(1)).alias("_c")).transform(cut))
     order = [F.col(g).asc() for g in group] + [F.col("_v").asc()]
     cum = prefix_sums(vals, order, {"_cum": F.col("_c")}, pos_col=None)  # checkpointed inside, read twice
     stats = cum.groupBy(*group).agg(F.min(F.col("_cum") - F.col("_c")).alias("_goff"),

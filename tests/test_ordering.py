@@ -56,3 +56,18 @@ def test_no_single_task_window_over_customers(spark):
     # only one-row aggregates and per-partition offsets may meet in one task
     for part in plan.split("Exchange SinglePartition")[1:]:
         assert "partial_" in part.split("\n")[1] or "HashAggregate" in part.split("\n")[1], part[:300]
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("v"))
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 100)
+    assert ordering._n_parts(df, None) == 50 and ordering._n_parts(df, 3) == 3
+    pos = ordering.global_positions(df, [F.col("v").asc()])
+    cum = ordering.prefix_sums(df, [F.col("v").asc()], {"c": F.col("v")})
+    got = {r.v: (r.pos, r.cpos, r.c) for r in pos.join(cum.withColumnRenamed("pos", "cpos"), "v").collect()}
+    total = 0
+    for i, v in enumerate(sorted(got), 1):
+        total += v
+        assert got[v] == (i, i, total)
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 10**6)
+    assert ordering._n_parts(df, None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
