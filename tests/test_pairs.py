@@ -4,9 +4,41 @@ import numpy as np
 import pytest
 
 from cohortkit.operators import kmeans as K
+from cohortkit.operators import pairs as PR
+from cohortkit.plans import q_clusters as Q
 from tests.test_models import RFM3, np_silhouette
 
 
+@pytest.mark.parametrize("distance", [PR.euclid, PR.complexity_invariant])
+def test_every_pair_of_vectors_has_its_distance(spark, distance):
+    x = np.random.default_rng(5).normal(size=(150, 6)) + 50
+    x[7], x[8] = x[3], x[3] + 1e-7
+    rows = [(str(i), v.tolist()) for i, v in enumerate(x)] + [("5", x[9].tolist()), (None, x[0].tolist()), ("x", None)]
+    df = spark.createDataFrame(rows, "id string, x array<double>")
+    got = PR.pair_distances(df, len(rows), distance, block=40).collect()
+    names = [r for r in rows if r[0] is not None]
+    assert len(got) == sum(a[0] < b[0] for a in names for b in names)
+    assert all(r.i < r.j and (r.dist is None) == (r.j == "x") for r in got)
+    for r in got:
+        if r.j == "x" or "5" in (r.i, r.j):
+            continue
+        a, b = x[int(r.i)], x[int(r.j)]
+        want = np.sqrt(((a - b) ** 2).sum())
+        if distance is not PR.euclid:
+            ca, cb = (np.sqrt((np.diff(v) ** 2).sum()) for v in (a, b))
+            want *= max(ca, cb) / (min(ca, cb) + 1e-9)
+        assert r.dist == pytest.approx(want, rel=1e-7, abs=1e-12)
+
+
+@pytest.mark.parametrize("query", [Q.t17])
+def test_queries_on_vectors_return_all_pairs(spark, tmp_path, query):
+    x = np.random.default_rng(1).normal(size=(90, 4))  # more than the 64 landmarks
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    got = {(r.i, r.j) for r in query(spark, str(tmp_path)).collect()}
+    assert got == {(str(a), str(b)) for a in range(90) for b in range(90) if str(a) < str(b)}
+
+
 def test_silhouette_is_exact_beyond_2048_customers(spark):
     r = np.random.default_rng(2)
     x, lab = np.round(r.normal(size=(2600, 3)), 2), r.integers(0, 3, 2600)
