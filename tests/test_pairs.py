@@ -30,7 +30,7 @@ def test_every_pair_of_vectors_has_its_distance(spark, distance):
         assert r.dist == pytest.approx(want, rel=1e-7, abs=1e-12)
 
 
-@pytest.mark.parametrize("query", [Q.t17, Q.j9])
+@pytest.mark.parametrize("query", [Q.t17, Q.j9, Q.t19])
 def test_queries_on_vectors_return_all_pairs(spark, tmp_path, query):
     x = np.random.default_rng(1).normal(size=(90, 4))  # more than the 64 landmarks
     spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").write.parquet(
