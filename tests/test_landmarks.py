@@ -84,3 +84,35 @@ def test_spectral_embedding_agrees_with_the_exact_one(spark):
                                                   for t in range(10)), key=lambda m: m[1])[0]).argmin(1)
     assert rand_index(label(u), label(w)) > 0.95
     assert LM.spectral_embedding(df.limit(0), 4).count() == 0 and df.agg(F.count("id")).first()[0] == len(f)
+
+
+def test_a_warping_steps_by_diagonals_not_by_cells():
+    import sys
+    r = np.random.default_rng(4)
+    x, y, lines = [r.random((n, 3)) for n in (60, 55, 60)], [r.random((n, 3)) for n in (50, 62, 50)], []
+
+    def count(frame, event, _arg):
+        if frame.f_code.co_filename == LM.__file__:
+            lines.append(event)
+            return count
+
+    sys.settrace(count)
+    try:
+        got = LM.warp_pairs(x, y, np.full(3, np.inf))
+    finally:
+        sys.settrace(None)
+    assert np.sqrt(got) == pytest.approx([np_dtw(a, b) for a, b in zip(x, y)]) and len(lines) < 60 * (60 + 62)
+
+
+def test_warpings_over_several_batches_and_lengths(spark):
+    x = walks(1100, 7)
+    df = spark.createDataFrame([(f"c{i:04d}", s.tolist()) for i, s in enumerate(x)], "id string, series array<array<double>>").coalesce(1)
+    marks = LM.choose(df, 4)
+    y = [np.stack(v) for v in marks["series"]]
+    d = {r.id: r.d for r in LM.dtw_distances(df, marks).collect()}
+    near = {r.id: r for r in LM.nearest_by_dtw(df, marks).collect()}
+    assert len(d) == len(near) == 1100
+    for i in range(0, 1100, 7):
+        want = [np_dtw(x[i], b) for b in y]
+        assert d[f"c{i:04d}"] == pytest.approx(want) and near[f"c{i:04d}"].dist == pytest.approx(min(want))
+    assert LM.dtw_distances(df.limit(0), marks).count() == 0
