@@ -28,12 +28,18 @@ from cohortkit.operators.ordering import global_positions
 from cohortkit.session import cut, ensure_checkpoint_dir
 
 
+BROADCAST_CELLS = 50_000  # counted tables of one row per cell go to every task up to here, so points are not exchanged to meet their cell
+
+
 def _grid(df: DataFrame, feats: list[str], eps: float, id_col: str):
-    """(customers, distinct points with their cell, cells, pairs of neighbouring cells, side of a cell)."""
+    """(customers, distinct points with their cell, cells, pairs of neighbouring cells, side of a cell).
+
+    Customers are written first: a sum worked out twice may differ in its last bit, and they meet their point by equal features.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     side = eps / math.sqrt(len(feats))
     # 0.0 + x: a negative zero would fall into another box than zero
-    pts = df.select(F.col(id_col).cast("string").alias("_id"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in feats])
+    pts = df.select(F.col(id_col).cast("string").alias("_id"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in feats]).transform(cut)
     points = (pts.dropna(subset=feats).groupBy(*feats).agg(F.count(F.lit(1)).alias("_w"), F.min("_id").alias("_pid"))
               .select("_pid", "_w", F.array(*feats).alias("_x")))
     points = points.withColumn("cell", B.box_of(F.col("_x"), side)).transform(cut)
@@ -74,7 +80,8 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
     pts, points, cells, near, side = _grid(df, feats, eps, id_col)
     dims = len(feats)
     cells = _whole_weight(cells, near).withColumn("dense", F.col("base") >= min_samples).transform(cut)
-    flags = cells.select(F.col("box").alias("cell"), "base", "dense")
+    per_cell = F.broadcast if cells.count() <= BROADCAST_CELLS else lambda t: t
+    flags = per_cell(cells.select(F.col("box").alias("cell"), "base", "dense"))
     points = points.join(flags, "cell").transform(cut)
     # points of light cells against the points of undecided neighbours: fewer than min_samples a cell
     part = near.where(~F.col("full")).select(F.col("a").alias("cell"), F.col("b").alias("other"))
@@ -88,14 +95,15 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
         "_pid", "_x", "_w", "cell", "dense", "core").transform(cut)
     core = points.where("core")
     core_cells = core.groupBy("cell").agg(F.min("_pid").alias("node"), F.first("dense").alias("dense")).transform(cut)
+    sent = per_cell(core_cells)
     # edges of the graph of core cells
-    both = (near.join(core_cells.select(F.col("cell").alias("a"), F.col("node").alias("na"), F.col("dense").alias("da")), "a")
-            .join(core_cells.select(F.col("cell").alias("b"), F.col("node").alias("nb"), F.col("dense").alias("db")), "b")
+    both = (near.join(sent.select(F.col("cell").alias("a"), F.col("node").alias("na"), F.col("dense").alias("da")), "a")
+            .join(sent.select(F.col("cell").alias("b"), F.col("node").alias("nb"), F.col("dense").alias("db")), "b")
             .where("na < nb").transform(cut))
     whole = both.where("full").select("na", "nb")
     met = (around.join(core.select(F.col("_pid").alias("p")), "p", "left_semi").join(core.select(F.col("_pid").alias("q")), "q", "left_semi")
            .select("cell", "other").distinct())
-    node = core_cells.select("cell", "node")
+    node = sent.select("cell", "node")
     single = (met.join(node.withColumnRenamed("node", "na"), "cell").join(
         node.select(F.col("cell").alias("other"), F.col("node").alias("nb")), "other").select("na", "nb"))
     undecided = both.where("NOT full AND da AND db").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -104,9 +112,9 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
              .join(node.select(F.col("cell").alias("v"), F.col("node").alias("nb")), "v").select("na", "nb"))
     edges = whole.unionAll(single).unionAll(dense).select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
     comp = connected_components(edges)
-    placed = node.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).transform(cut)
+    placed = core_cells.select("cell", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).transform(cut)
     # the component is its smallest node, and a node the smallest core customer of its cell
-    labels = placed.select("cell", F.col("component").alias("_lab"))
+    labels = per_cell(placed.select("cell", F.col("component").alias("_lab")))
     core_lab = core.select("_pid", "cell").join(labels, "cell").select("_pid", "_lab")
     border = points.where("NOT core").select("_pid", "cell")
     via_full = (border.join(near.where("full").select(F.col("a").alias("cell"), F.col("b").alias("other")), "cell")
@@ -117,7 +125,7 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
         F.min("_lab").alias("_lab"))
     assigned = core_lab.unionAll(reached)
     numbered = global_positions(placed.select(F.col("component").alias("_lab")).distinct(), [F.col("_lab").asc()], pos_col="_num")
-    lab = assigned.join(numbered, "_lab").select("_pid", (F.col("_num") - 1).alias("_num"))
+    lab = assigned.join(per_cell(numbered), "_lab").select("_pid", (F.col("_num") - 1).alias("_num"))
     per = points.join(lab, "_pid", "left").select(*[F.col("_x")[i].alias(c) for i, c in enumerate(feats)], "core", "_num")
     out = pts.join(per, feats, "left")
     return out.select(F.col("_id").alias(id_col),

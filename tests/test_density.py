@@ -47,6 +47,31 @@ def test_two_dense_touching_cells_meet_as_boxes(spark):
     assert {r.segment for r in dbscan(apart, feats, .5, 5).collect()} == {"Cluster 0", "Cluster 1"}
 
 
+def test_dbscan_works_its_input_out_once(spark):
+    from cohortkit.plans.q_clusters import scaled
+    from tests.conftest import SF001
+    df, feats = frame(spark, blobs(3))
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+
+    assert dbscan(df.mapInPandas(through, df.schema), feats, .5, 5).count() == df.count() == seen.value
+    assert "FileScan" not in scaled(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dbscan_is_the_same_with_cells_sent_or_exchanged(spark, monkeypatch):
+    from cohortkit.operators import dbscan as DB
+    df, feats = frame(spark, blobs(3))
+    found = []
+    for most in (DB.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(DB, "BROADCAST_CELLS", most)
+        found.append(sorted(dbscan(df, feats, .5, 6, few=16).collect()))
+    assert found[0] == found[1]
+
+
 def test_median_tree_deals_evenly_and_reaches_every_neighbour():
     r = np.random.default_rng(2)
     x = r.normal(size=(5000, 4)) ** 3
