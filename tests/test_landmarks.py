@@ -116,3 +116,26 @@ def test_warpings_over_several_batches_and_lengths(spark):
         want = [np_dtw(x[i], b) for b in y]
         assert d[f"c{i:04d}"] == pytest.approx(want) and near[f"c{i:04d}"].dist == pytest.approx(min(want))
     assert LM.dtw_distances(df.limit(0), marks).count() == 0
+
+
+def test_series_are_filled_and_packed_without_exchanging_the_spine(spark):
+    from cohortkit.operators import series as T
+    rows = [("a", "1996-01-05", "1", 5.0), ("a", "1996-01-20", "2", 6.0), ("a", "1996-04-02", "3", 7.0), ("b", "1996-03-31", "4", 1.0)]
+    o = spark.createDataFrame(rows, "customer_id string, d string, order_id string, order_total double").withColumn(
+        "order_date", F.col("d").cast("timestamp_ntz"))
+    m = T.monthly_lrfm(o).localCheckpoint()
+    filled = T.fill_series(T.month_spine(m), m)
+    got = [(r.customer_id, r.month.month, r.L, r.R_prime, r.F, r.M) for r in filled.orderBy("customer_id", "month").collect()]
+    assert got == [("a", 1, 15.0, 11.0, 2.0, 11.0), ("a", 2, 0.0, 40.0, 0.0, 0.0), ("a", 3, 0.0, 71.0, 0.0, 0.0), ("a", 4, 0.0, 28.0, 1.0, 7.0),
+                   ("b", 3, 0.0, 0.0, 1.0, 1.0), ("b", 4, 0.0, 30.0, 0.0, 0.0)]
+    assert "hashpartitioning(customer_id" in (plan := filled._jdf.queryExecution().executedPlan().toString())
+    assert not [line for line in plan.splitlines() if "hashpartitioning(" in line and "month" in line.split("hashpartitioning(")[1].split("]")[0]]
+    packed = T.pack_series(filled, "month", ["L", "F", "M"])
+    back = [(r.customer_id, r.month, r.M) for r in T.unpack_series(packed, "month", {"M": 2}).orderBy("customer_id", "month").collect()]
+    assert back == [("a", 0, 11.0), ("a", 1, 0.0), ("a", 2, 0.0), ("a", 3, 7.0), ("b", 0, 1.0), ("b", 1, 0.0)]
+
+
+def test_orders_of_the_monthly_series_are_read_once(spark):
+    from cohortkit.plans.q_clusters import monthly_series
+    from tests.conftest import SF001
+    assert "FileScan" not in monthly_series(spark, SF001)._jdf.queryExecution().executedPlan().toString()
