@@ -7,9 +7,10 @@
 * A cell that holds min_samples with the cells wholly within eps is dense: all
   its points are core, without a look at any pair.  Only points of other, light
   cells (fewer than min_samples each) are compared with the points around.
-* Dense cells are joined if their bounding boxes are wholly within eps;
-  undecided ones are halved until some boxes decide (``boxes.refine``), so two
-  dense cells that touch never meet point by point.
+* Dense cells are joined if their bounding boxes are wholly within eps or two
+  of their outermost points are (``boxes.rim``).  Of the undecided pairs, those
+  between different components are halved until some boxes decide
+  (``boxes.refine``), so two dense cells that touch never meet point by point.
 * Clusters are the components of the graph of core cells.  A border point takes
   the smallest adjacent cluster; clusters are numbered by their smallest core
   customer id (the reference's row order).
@@ -106,13 +107,25 @@ def dbscan(df: DataFrame, feats: list[str], eps: float = 0.5, min_samples: int =
     node = sent.select("cell", "node")
     single = (met.join(node.withColumnRenamed("node", "na"), "cell").join(
         node.select(F.col("cell").alias("other"), F.col("node").alias("nb")), "other").select("na", "nb"))
-    undecided = both.where("NOT full AND da AND db").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = B.refine(points.where("dense"), undecided, dims, eps, side, count=False, few=few)
-    dense = (joined.join(node.select(F.col("cell").alias("u"), F.col("node").alias("na")), "u")
-             .join(node.select(F.col("cell").alias("v"), F.col("node").alias("nb")), "v").select("na", "nb"))
-    edges = whole.unionAll(single).unionAll(dense).select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
+    # two dense cells touch if two of their outermost points do
+    undecided = both.where("NOT full AND da AND db")
+    rims = per_cell(B.rim(points.where("dense"), F.col("cell"), dims).transform(cut))
+    touch = (undecided.join(rims.select(F.col("box").alias("a"), F.col("x").alias("ax")), "a")
+             .join(rims.select(F.col("box").alias("b"), F.col("x").alias("bx")), "b")
+             .where(B.distance2(F.col("ax"), F.col("bx"), dims) <= F.lit(eps * eps)).select("na", "nb"))
+    edges = whole.unionAll(single).unionAll(touch).select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct().transform(cut)
     comp = connected_components(edges)
-    placed = core_cells.select("cell", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).transform(cut)
+    placed = core_cells.select("cell", "node").join(comp, "node", "left").select(
+        "cell", F.coalesce("component", "node").alias("component")).transform(cut)
+    # of the other pairs, only those between different components can change a cluster
+    part_of = per_cell(placed)
+    apart = (undecided.select(F.col("a").alias("u"), F.col("b").alias("v"))
+             .join(part_of.select(F.col("cell").alias("u"), F.col("component").alias("cu")), "u")
+             .join(part_of.select(F.col("cell").alias("v"), F.col("component").alias("cv")), "v").where("cu != cv").transform(cut))
+    joined = B.refine(points.where("dense"), apart.select("u", "v"), dims, eps, side, count=False, few=few)
+    links = apart.join(joined, ["u", "v"]).select(F.col("cu").alias("a"), F.col("cv").alias("b")).distinct().transform(cut)
+    more = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+    placed = placed.join(more, "component", "left").select("cell", F.coalesce("_joined", "component").alias("component")).transform(cut)
     # the component is its smallest node, and a node the smallest core customer of its cell
     labels = per_cell(placed.select("cell", F.col("component").alias("_lab")))
     core_lab = core.select("_pid", "cell").join(labels, "cell").select("_pid", "_lab")

@@ -47,6 +47,40 @@ def test_two_dense_touching_cells_meet_as_boxes(spark):
     assert {r.segment for r in dbscan(apart, feats, .5, 5).collect()} == {"Cluster 0", "Cluster 1"}
 
 
+def test_touching_dense_cells_are_not_refined(spark, monkeypatch):
+    df, feats = frame(spark, np.random.default_rng(5).uniform(0, 2, (4000, 2)))
+    refine, asked = B.refine, []
+    monkeypatch.setattr(B, "refine", lambda points, pairs, *a, **k: asked.append(pairs.count()) or refine(points, pairs, *a, **k))
+    assert {r.segment for r in dbscan(df, feats, .5, 5).collect()} == {"Cluster 0"} and asked == [0]
+
+
+@pytest.mark.parametrize("middle,clusters", [(.349, 1), (.347, 2)])
+def test_dense_cells_that_touch_by_inner_points(spark, middle, clusters):
+    corners = [[a, b] for a in (.0, .01, .35) for b in (0, .35)]  # outermost, and beyond eps from the other cell
+    x = np.array(corners + [[middle, .175]] + [[.848 + .01 * i, .175] for i in range(6)])
+    df, feats = frame(spark, x)
+    lab, core = np_dbscan(x, .5, 5)
+    assert core.all() and len(set(lab)) == clusters
+    assert [r.segment for r in dbscan(df, feats, .5, 5).orderBy("customer_id").collect()] == [f"Cluster {i}" for i in lab]
+
+
+@pytest.mark.parametrize("count", [True, False])
+def test_refine_reads_the_points_of_undecided_boxes_only(spark, count, monkeypatch):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.uniform(0, .5, 100), r.uniform(.5, 1, 100), r.uniform(20, 20.5, 1000)])
+    points = spark.createDataFrame([(f"c{i:05d}", 1, [float(v)]) for i, v in enumerate(x)], "_pid string, _w long, _x array<double>")
+    pairs = spark.createDataFrame([([0], [1])], "u array<bigint>, v array<bigint>")
+    boxes, seen = B.boxes, []
+    monkeypatch.setattr(B, "boxes", lambda points, *a: seen.append(points.count()) or boxes(points, *a))
+    got = B.refine(points, pairs, 1, .5, .5, count, few=16).collect()
+    assert max(seen) == 200
+    if count:
+        n = (abs(x[:100, None] - x[None, 100:200]) <= .5).sum(1)
+        assert {g["_pid"]: g["add"] for g in got} == {f"c{i:05d}": int(v) for i, v in enumerate(n) if v}
+    else:
+        assert [(g.u, g.v) for g in got] == [([0], [1])]
+
+
 def test_dbscan_works_its_input_out_once(spark):
     from cohortkit.plans.q_clusters import scaled
     from tests.conftest import SF001
