@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortkit.operators import kmeans as K
 from cohortkit.operators import pairs as PR
@@ -49,3 +50,18 @@ def test_silhouette_is_exact_beyond_2048_customers(spark):
     assert got[3].silhouette == pytest.approx(np_silhouette(x, lab), abs=1e-10) and got[3].bound == 0
     assert got[2].silhouette == pytest.approx(np_silhouette(x, lab % 2), abs=1e-10)
     assert K.silhouette(df.limit(0), RFM3, {3: "l3"}).count() == 0
+
+
+def test_pairs_leave_in_runs_of_their_first_id(spark):
+    x = np.random.default_rng(6).normal(size=(1200, 2))
+    df = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, x array<double>")
+    got = PR.pair_distances(df, 1200).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    got = got.orderBy("row").select("part", "i", "j").toPandas()
+    runs = ((got["i"] != got["i"].shift()) | (got["part"] != got["part"].shift())).sum()
+    assert len(got) == 1200 * 1199 // 2 and runs < len(got) / 40  # else files hold an id of several bytes a row
+
+
+def test_a_null_value_leaves_no_distance(spark):
+    rows = [("a", [1.0, None]), ("b", [1.0, 2.0]), ("c", [4.0, 6.0])]
+    got = PR.pair_distances(spark.createDataFrame(rows, "id string, x array<double>"), 3).collect()
+    assert {(r.i, r.j): r.dist for r in got} == {("a", "b"): None, ("a", "c"): None, ("b", "c"): 5.0}
